@@ -1,0 +1,32 @@
+"""Queries over the given tables, each next to the SQL that must agree with it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import prepare
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``fn(spark, sf_dir)`` and, if it can be said in SQL, its oracle."""
+
+    def register(fn):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(prepare(spark), sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql.strip()
+        return fn
+
+    return register
+
+
+def load() -> None:
+    from . import corpus, evaluation, lifecycle, lookup, monitoring, similarity, storage, streams, text  # noqa: F401
