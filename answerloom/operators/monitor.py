@@ -243,10 +243,9 @@ def performance_summary(history: DataFrame, alerts: DataFrame, now) -> DataFrame
     tail = history_tail(history)
     sample = F.struct("cache_hit_rate", "cache_memory_usage")
     latest = tail.agg(F.max_by(sample, "ts").alias("m"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    us = F.lit(1_000_000)
     kept = history_tail(alerts, ALERT_SIZE).agg(
         F.count(F.lit(1)).alias("total_alerts"),
-        F.count_if(micros(F.lit(now)) - micros(F.col("ts")) < 3600 * us).alias("recent_alerts"),
+        F.count_if(micros(F.lit(now)) - micros(F.col("ts")) < 3600 * 1_000_000).alias("recent_alerts"),
     )
     advice = F.concat_ws(
         "; ",

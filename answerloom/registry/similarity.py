@@ -26,10 +26,11 @@ def cosine_pairs(spark, sf):
     return sm.cosine_pairs(p, "a", "b").select("pair_id", F.round("sim", 6).alias("sim"))
 
 
-_SUMS = "round(list_sum(list_transform({0}, lambda v, i: v * i)), 4)"
+# Components go through FLOAT as stored vectors do.
+_SUMS = "round(list_sum(list_transform({0}, lambda v, i: v::FLOAT::DOUBLE * i)), 4)"
 
 
-@query("unit_normalize", f"""WITH t AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v * (1 + vec_id % 5)) AS e FROM embeddings),
+@query("unit_normalize", f"""WITH t AS (SELECT vec_id, list_transform(embedding, lambda v: (v * (1 + vec_id % 5)::FLOAT)::DOUBLE) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS len FROM t)
 SELECT vec_id, round(list_inner_product(u, u), 4) AS squared, {_SUMS.format('u')} AS weighted
 FROM (SELECT vec_id, list_transform(e, lambda v: v / len) AS u FROM n)""")
