@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.entries import is_expired, level_rank, ttl_for, expires_at
 from ..plans.search import nearest
 from ..schemas import LEVELS
+from ..session import stage
 
 
 def live(entries: DataFrame, now) -> DataFrame:
@@ -90,7 +91,7 @@ def cached_answer(
         "qid", "query", F.lit("exact").alias("source"), F.col("query").alias("matched_query"),
         F.lit(1.0).alias("sim"), "value",
     )
-    missed = requests.join(values, "query", "left_anti")
+    missed = stage(requests.select("qid", "query", "embedding").join(values, "query", "left_anti"), "missed")
     asked = missed.groupBy("query").agg(F.min("qid").alias("qid"))
     once = missed.select("qid", "embedding").join(asked, "qid")
     found = (

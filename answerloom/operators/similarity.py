@@ -9,6 +9,7 @@ from ..functions.entries import percent
 from ..plans.components import connected, similar_edges
 from ..plans.search import nearest
 from ..schemas import LEVELS
+from ..session import stage
 
 
 def build_index(rows: DataFrame, dedup: bool = False) -> DataFrame:
@@ -131,20 +132,23 @@ def semantic_clusters(
     )
 
 
-def reuse_embeddings(texts: DataFrame, known: DataFrame, embed, text_col: str = "query") -> DataFrame:
-    """Texts with embeddings: known ones looked up by hash, each new text embedded once.
+def reuse_embeddings(
+    texts: DataFrame, known: DataFrame, embed, text_col: str = "query", id_col: str = "id"
+) -> DataFrame:
+    """(id, query_hash, embedding, reused): known vectors by hash, each new text embedded once.
 
-    ``embed`` maps a string column to an ``array<float>`` column.
+    ``embed`` maps a string column to an ``array<float>`` column. Texts are
+    hashed once; grouping and joining then work on ids and hashes, and only the
+    text chosen for each new hash (smallest id) is read again.
     """
-    hashed = texts.withColumn("query_hash", tx.query_hash(F.col(text_col)))
-    known = known.select("query_hash", F.col("embedding").alias("known_embedding"))
-    todo = (
-        hashed.groupBy("query_hash").agg(F.min(text_col).alias("_text"))
-        .join(known, "query_hash", "left_anti")
+    hashed = stage(texts.select(id_col, tx.query_hash(F.col(text_col)).alias("query_hash")), "hashes")
+    known = known.select("query_hash", "embedding")
+    chosen = hashed.groupBy("query_hash").agg(F.min(id_col).alias(id_col)).join(known, "query_hash", "left_anti")
+    fresh = texts.select(id_col, text_col).join(chosen, id_col).select(
+        "query_hash", embed(F.col(text_col)).alias("embedding")
     )
-    fresh = todo.select("query_hash", embed(F.col("_text")).alias("known_embedding"))
     table = known.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
-    return hashed.join(table, "query_hash", "left").withColumnRenamed("known_embedding", "embedding")
+    return hashed.join(table, "query_hash", "left")
 
 
 def drift(history: DataFrame, limit: float = 0.1, keep: int = 10) -> DataFrame:

@@ -6,10 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import stage
-from .search import BLOCK_ROWS, SCORE_CELLS, SLACK, Cells, matrix
+from .search import BLOCK_ROWS, SCORE_CELLS, SLACK, Cells, matrix, side
 
 _EDGE = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
@@ -58,14 +58,15 @@ def similar_edges(
     directly, and pivots near each other are linked up front, so the crowd
     around a pivot is never compared with itself.
     """
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("vec")).filter("vec is not null")
+    rows = side(vectors, id_col, vec_col, "vec_id")
+    rows = rows.filter("vec is not null")
     distinct = stage(rows.groupBy("vec").agg(F.min("vec_id").alias("vec_id")).select("vec_id", "vec"), "distinct")
     copies = (
         rows.join(distinct.withColumnRenamed("vec_id", "src"), "vec")
         .select("src", F.col("vec_id").alias("dst")).filter("src <> dst")
     )
     core = math.acos(min(1.0, threshold + SLACK))
-    placed = Cells(distinct, cells, block_rows, core_angle=core)
+    placed = Cells.place(distinct, cells, block_rows, core)
     pivot_sims = np.round(placed.pivots @ placed.pivots.T, 6)
     u, v = np.nonzero(pivot_sims >= threshold)
     joined = _unite(np.arange(len(placed.pivots)), u, v)
@@ -114,13 +115,14 @@ def connected(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             "src", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         short = labels.select(F.col("src").alias("label"), F.col("label").alias("next"))
-        after = stage(
+        seen = Observation()
+        labels = stage(
             hooked.join(short, "label", "left")
-            .select("src", "old", F.least("label", F.coalesce("next", "label")).alias("label")),
+            .select("src", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
+            .observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed"))
+            .select("src", "label"),
             "labels",
         )
-        changed = after.filter("old <> label").limit(1).count()
-        labels = after.select("src", "label")
-        if not changed:
+        if not seen.get["changed"]:
             return labels.select(F.col("src").alias("id"), F.col("label").alias("group_id"))
     raise RuntimeError("groups did not settle")

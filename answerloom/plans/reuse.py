@@ -66,20 +66,47 @@ def positions(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
     return linked.withColumn("prev", F.coalesce("prev", F.lit(0)).cast("bigint"))
 
 
+def _grouped(group: np.ndarray, order_key: np.ndarray, value: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """:func:`count_before` inside each group, for many groups in one go.
+
+    Later groups get larger keys and values, so all rows of the groups before
+    count, and their number is taken off again.
+    """
+    low = min(value.min(), probe.min())
+    width = max(value.max(), probe.max()) - low + 1
+    shift = group * width
+    span = order_key.max() - order_key.min() + 1
+    counts = count_before(group * span + order_key - order_key.min(), shift + value - low, shift + probe - low)
+    sizes = np.bincount(group)
+    before = np.cumsum(sizes) - sizes
+    return counts - before[group]
+
+
+def _ids(table: pa.Table, chunk: str) -> np.ndarray:
+    """Dense numbers of the (cache_id, chunk) pairs."""
+    cache = np.unique(table.column("cache_id").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    part = table.column(chunk).to_numpy()
+    part = part - part.min()
+    return np.unique(cache.astype(np.int64) * (part.max() + 1) + part, return_inverse=True)[1]
+
+
 def _counted(table: pa.Table, counts: np.ndarray, repeated: np.ndarray) -> pa.Table:
-    mask = pa.array(repeated)
-    kept = table.select(["cache_id", "pos"]).filter(mask)
+    kept = table.select(["cache_id", "pos"]).filter(pa.array(repeated))
     return kept.append_column("n", pa.array(counts[repeated], pa.int64()))
 
 
 def _within_chunk(table: pa.Table) -> pa.Table:
     pos, prev = table.column("pos").to_numpy(), table.column("prev").to_numpy()
-    return _counted(table, count_before(pos, prev, prev), prev > 0)
+    return _counted(table, _grouped(_ids(table, "chunk"), pos, prev, prev), prev > 0)
 
 
 def _within_prev_chunk(table: pa.Table) -> pa.Table:
     chunk, prev = table.column("chunk").to_numpy(), table.column("prev").to_numpy()
-    return _counted(table, count_before(prev, chunk, chunk - 1), prev > 0)
+    return _counted(table, _grouped(_ids(table, "prev_chunk"), prev, chunk, chunk - 1), prev > 0)
+
+
+def _long_caches(slim: DataFrame) -> DataFrame:
+    return slim.groupBy("cache_id").agg(F.max("chunk").alias("last")).filter("last > 0")
 
 
 def _corner_counts(slim: DataFrame) -> DataFrame:
@@ -87,7 +114,7 @@ def _corner_counts(slim: DataFrame) -> DataFrame:
 
     (rows / chunk_rows) squared cells per cache, and none for a cache of one chunk.
     """
-    long = slim.groupBy("cache_id").agg(F.max("chunk").alias("last")).filter("last > 0")
+    long = _long_caches(slim)
     side = F.sequence(F.lit(0).cast("bigint"), F.col("last"))
     cells = long.withColumn("chunk", F.explode(side)).withColumn("prev_chunk", F.explode(side))
     counts = (
@@ -120,11 +147,18 @@ def reuse_distance(log: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_unit: str
     )
     slim = placed.select("cache_id", "pos", "prev", "chunk", "prev_chunk")
     schema = f"cache_id {log.schema['cache_id'].dataType.simpleString()}, pos bigint, n bigint"
-    inside = slim.groupBy("cache_id", "chunk").applyInArrow(_within_chunk, schema)
-    beside = (
-        slim.filter("prev_chunk >= 0")
-        .groupBy("cache_id", "prev_chunk").applyInArrow(_within_prev_chunk, schema)
-    )
+    # Many small caches share a call: chunks are dealt out to buckets of about
+    # one chunk's rows, never fewer buckets than shuffle partitions.
+    rows = slim.count()
+    buckets = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // chunk_rows))
+
+    def bucket(chunk):
+        return F.pmod(F.xxhash64("cache_id", chunk), F.lit(buckets)).alias("bucket")
+
+    inside = slim.groupBy(bucket("chunk")).applyInArrow(_within_chunk, schema)
+    # With a single chunk per cache there is no earlier chunk to look at.
+    crossing = slim.filter("prev_chunk >= 0").join(_long_caches(slim), "cache_id", "left_semi")
+    beside = crossing.groupBy(bucket("prev_chunk")).applyInArrow(_within_prev_chunk, schema)
     near = inside.unionByName(beside).groupBy("cache_id", "pos").agg(F.sum("n").alias("near"))
     return (
         placed.join(_corner_counts(slim), ["cache_id", "chunk", "prev_chunk"], "left")

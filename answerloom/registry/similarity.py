@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import answers as an, similarity as sm
-from ..plans.search import nearest
+from ..plans.search import Cells, nearest, side
+from ..session import new_path, stage
 from . import query
 from .views import (
-    LOG, NORMAL, PAIRS, SCORES, THRESHOLD, VECTORS, access_log, embeddings, index_rows, level_of, pairs, questions,
-    table, us, user_turns,
+    LOG, NORMAL, PAIRS, SCORES, THRESHOLD, VECTORS, access_log, embeddings, index_rows, documents, level_of, pairs, questions,
+    us, user_turns,
 )
 
 T = THRESHOLD
@@ -100,6 +101,14 @@ def topk_similarity_cells(spark, sf):
     return nearest(questions(spark, sf), index_rows(spark, sf), 10, plan="cells")
 
 
+@query("topk_similarity_saved", f"WITH {SCORES} {_TOP}")
+def topk_similarity_saved(spark, sf):
+    """Against an index placed and written once, read back for the search."""
+    index = side(index_rows(spark, sf), "vec_id", "embedding", "vec_id")
+    saved = Cells.place(index, path=new_path(spark, "index"))
+    return nearest(questions(spark, sf), saved, 10)
+
+
 @query("similar_queries", f"""WITH {SCORES}, top AS ({_TOP.replace('FROM scores', "FROM scores WHERE level = 'result'")})
 SELECT qid, vec_id, md5('question number ' || vec_id) AS query_hash, sim, rank FROM top WHERE sim >= 0.2""")
 def similar_queries(spark, sf):
@@ -213,16 +222,13 @@ def embed_hashing(spark, sf):
 known AS (SELECT DISTINCT md5(n) AS h FROM u WHERE lang = 'en')
 SELECT doc_id, md5(n) AS query_hash, md5(n) IN (SELECT h FROM known) AS reused, 64 AS dims FROM u""")
 def embedding_reuse(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("query"), "lang")
+    docs = documents(spark, sf).select("doc_id", F.col("text").alias("query"), "lang")
     embed = an.hashing_embedder(64)
-    from ..functions import text as tx
-
-    known = (
-        docs.filter("lang = 'en'").withColumn("query_hash", tx.query_hash(F.col("query")))
-        .groupBy("query_hash").agg(F.min("query").alias("query"))
-        .select("query_hash", embed(F.col("query")).alias("embedding"))
-    )
-    out = sm.reuse_embeddings(docs, known, embed)
+    none = spark.createDataFrame([], "query_hash string, embedding array<float>")
+    english = sm.reuse_embeddings(docs.filter("lang = 'en'"), none, embed, id_col="doc_id")
+    # What an earlier run would have left behind: a vector per hash.
+    known = stage(english.select("query_hash", "embedding").dropDuplicates(["query_hash"]), "known")
+    out = sm.reuse_embeddings(docs, known, embed, id_col="doc_id")
     return out.select("doc_id", "query_hash", "reused", F.size("embedding").alias("dims"))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.entries import TTL_BY_LEVEL, expires_at, ttl_for
 from ..schemas import LEVELS
+from ..session import spread
 
 THRESHOLD = 0.35  # the given vectors are far apart: their best matches score up to 0.49
 ANSWERS_NOW = datetime(2024, 1, 11, tzinfo=timezone.utc)
@@ -16,8 +18,14 @@ TTL_SCALE = 288  # lifetimes of minutes become days, as the log spans a month
 _now: dict[str, datetime] = {}
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is looked up once."""
+    if (sf, name) not in _schemas:
+        _schemas[sf, name] = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.read.schema(_schemas[sf, name]).parquet(f"{sf}/{name}.parquet")
 
 
 def us(*names: str):
@@ -253,7 +261,7 @@ BEST = PAIRS + """, best AS (SELECT p.pair_id, p.q1, p.q2, p.is_duplicate, o.q1
 # -------------------------------------------------------------------- text
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def user_turns(spark, sf) -> DataFrame:

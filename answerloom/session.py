@@ -18,11 +18,15 @@ RUNTIME_CONF = {
 }
 
 
+# Settings that only count before the session starts.
+START_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "answerloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**RUNTIME_CONF, **START_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -54,6 +58,20 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Shares a small input out over the cores before work that is heavy per row.
+
+    A table of fewer bytes than one scan split per core would leave cores idle
+    (one file is often one task). Larger inputs have splits enough and pass
+    through without a shuffle. The size comes from the plan's statistics.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * split else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_dir(spark)}/answerloom/{name}-{uuid.uuid4().hex}"

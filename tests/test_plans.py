@@ -166,3 +166,11 @@ def test_connected_chain(spark):
     random.Random(8).shuffle(order)
     edges = spark.createDataFrame(list(zip(order, order[1:])), "src bigint, dst bigint")
     assert {r["group_id"] for r in components.connected(edges).collect()} == {0}
+
+
+def test_null_vectors_are_left_out(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 1.0])]
+    x = spark.createDataFrame(rows, "id bigint, embedding array<float>")
+    for plan in ("broadcast", "cells"):
+        got = search.nearest(x, x, 5, query_id="id", index_id="id", plan=plan, cells=2).collect()
+        assert {(r["qid"], r["vec_id"]) for r in got} == {(0, 0), (0, 2), (2, 0), (2, 2)}
