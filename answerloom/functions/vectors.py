@@ -24,7 +24,7 @@ def raw_cosine(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Clamped to [0, 1]; a zero vector is similar to nothing."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw_cosine(a, b))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw_cosine(a, b), F.lit(0.0))))
 
 
 def unit(a: Column) -> Column:

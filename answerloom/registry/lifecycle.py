@@ -169,6 +169,35 @@ def replay_ops(spark, sf):
     return access_log(spark, sf).select("cache_id", "key", "ts", "seq", kind.alias("op"), F.lit(DAY).alias("ttl"))
 
 
-@query("batch_cache_replay")
+# The fold as SQL: a list of (key, expiry) per cache, least recently used first.
+REPLAY = f"""{LOG}, o AS (SELECT cache_id, seq, key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY cache_id ORDER BY ts, seq) AS rn,
+  CASE WHEN op IN ('signup', 'purchase') THEN 'set' WHEN op IN ('view', 'click') THEN 'get' ELSE 'delete' END AS op FROM log),
+f AS (SELECT cache_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, []::STRUCT(k VARCHAR, e BIGINT)[] AS held, NULL::VARCHAR AS outcome, 0 AS evicted
+  FROM (SELECT DISTINCT cache_id FROM o)
+  UNION ALL SELECT cache_id, rn, seq,
+    CASE WHEN op = 'set' THEN list_slice(moved, greatest(1, len(moved) - {C - 2}), len(moved))
+      WHEN op = 'get' AND alive THEN moved WHEN op = 'get' AND NOT known THEN held ELSE others END,
+    CASE WHEN op = 'set' THEN 'set' WHEN op = 'get' THEN CASE WHEN alive THEN 'hit' ELSE 'miss' END
+      WHEN known THEN 'deleted' ELSE 'absent' END,
+    CASE WHEN op = 'set' THEN greatest(0, len(moved) - {C - 1}) ELSE 0 END::INT
+  FROM (SELECT *, list_append(others, {{'k': key, 'e': t + {DAY * 1_000_000}}}) AS moved FROM (
+    SELECT o.cache_id, o.rn, o.seq, o.op, o.key, o.t, f.held, list_filter(f.held, lambda x: x.k <> o.key) AS others,
+      len(list_filter(f.held, lambda x: x.k = o.key)) > 0 AS known,
+      len(list_filter(f.held, lambda x: x.k = o.key AND o.t <= x.e)) > 0 AS alive
+    FROM f JOIN o ON o.cache_id = f.cache_id AND o.rn = f.rn + 1)))"""
+
+
+@query("batch_cache_replay", f"WITH RECURSIVE {REPLAY} SELECT cache_id, seq, outcome, evicted::INT AS evicted FROM f WHERE rn > 0")
 def batch_cache_replay(spark, sf):
     return lc.cache_replay(replay_ops(spark, sf), C).select("cache_id", "seq", "outcome", "evicted")
+
+
+@query("replay_hit_rates", f"""WITH RECURSIVE {REPLAY} SELECT cache_id, count(*) FILTER (outcome IN ('hit', 'miss')) AS requests,
+  count(*) FILTER (outcome = 'hit') AS hits,
+  CASE WHEN count(*) FILTER (outcome IN ('hit', 'miss')) = 0 THEN 0 ELSE
+    round(100.0::DOUBLE * count(*) FILTER (outcome = 'hit') / count(*) FILTER (outcome IN ('hit', 'miss')), 2) END AS hit_rate
+FROM f WHERE outcome IN ('hit', 'miss') GROUP BY 1""")
+def replay_hit_rates(spark, sf):
+    replayed = lc.cache_replay(replay_ops(spark, sf), C)
+    gets = replayed.filter("outcome in ('hit', 'miss')").withColumn("hit", F.col("outcome") == "hit")
+    return lc.hit_summary(gets)

@@ -6,14 +6,19 @@ from ..session import new_path
 from ..streaming import jobs
 from ..streaming.run import run_to_parquet
 from . import query
-from .lifecycle import C, DAY
+from .lifecycle import C, DAY, REPLAY
 from .lookup import _BEST_LIVE, _cached
+from .monitoring import _WINDOW
 from .storage import STATE, _state
 from .views import (
     ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, answer_index, answers, op_log, requests, slow_alerts, table, us,
 )
 
 
+# The watermark trails the latest event, in whole milliseconds.
+NOW_US = "(SELECT epoch_us(max(ts)) // 1000 * 1000 FROM ev)"
+
+
 def _stream(spark, sf, name, folder=None):
     """A table's file as a stream; one file is one micro-batch."""
     schema = table(spark, sf, name).schema
@@ -41,13 +46,19 @@ def _written(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("stream_ttl_expiry")
+# One micro-batch: timers are set from the last write of each key, then fire up
+# to the watermark, the latest write's time (in whole milliseconds).
+@query("stream_ttl_expiry", f"""WITH {OPS}, w AS (SELECT key, arg_max(operation, (ts, seq)) AS operation, arg_max(level, (ts, seq)) AS level,
+  epoch_us(arg_max(ts, (ts, seq))) + arg_max(ttl, (ts, seq))::BIGINT * 1000000 AS expires_at
+  FROM ops WHERE operation IN ('set', 'delete') GROUP BY key)
+SELECT key, level, expires_at FROM w WHERE operation = 'set'
+  AND expires_at // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM ops WHERE operation IN ('set', 'delete'))""")
 def stream_ttl_expiry(spark, sf):
     ops = _written(spark, op_log(spark, sf), "ops")
     return run_to_parquet(jobs.ttl_expiry(ops), "expired").select("key", "level", *us("expires_at"))
 
 
-@query("stream_cache_replay")
+@query("stream_cache_replay", f"WITH RECURSIVE {REPLAY} SELECT cache_id, seq, outcome, evicted::INT AS evicted FROM f WHERE rn > 0")
 def stream_cache_replay(spark, sf):
     op = F.col("op")
     kind = F.when(op.isin("signup", "purchase"), "set").when(op.isin("view", "click"), "get").otherwise("delete")
@@ -55,13 +66,18 @@ def stream_cache_replay(spark, sf):
     return run_to_parquet(jobs.cache_replay_stream(ops, C), "replay")
 
 
-@query("stream_metrics")
+# Only windows that end by the watermark are out.
+@query("stream_metrics", f"""WITH {LOG}, w AS ({_WINDOW})
+SELECT *, CASE WHEN hits + misses = 0 THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * hits / (hits + misses), 2) END AS cache_hit_rate
+FROM w WHERE ts + 3600000000 <= {NOW_US} - 600000000""")
 def stream_metrics(spark, sf):
     out = run_to_parquet(jobs.metrics_stream(_log(spark, sf), "1 hour"), "metrics")
     return out.withColumn("ts", us("ts")[0])
 
 
-@query("stream_access_counts")
+@query("stream_access_counts", f"""WITH {LOG}, a AS (SELECT epoch_us(date_trunc('day', ts)) AS window_start, key, count(*) AS access_count,
+  epoch_us(max(ts)) AS last_access FROM log GROUP BY 1, 2)
+SELECT * FROM a WHERE window_start + 86400000000 <= {NOW_US} - 86400000000""")
 def stream_access_counts(spark, sf):
     out = run_to_parquet(jobs.access_counts_stream(_log(spark, sf)), "accesses")
     return out.select(*us("window_start"), "key", "access_count", *us("last_access"))
