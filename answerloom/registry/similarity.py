@@ -109,7 +109,12 @@ def topk_similarity_saved(spark, sf):
     return nearest(questions(spark, sf), saved, 10)
 
 
-@query("similar_queries", f"""WITH {SCORES}, top AS ({_TOP.replace('FROM scores', "FROM scores WHERE level = 'result'")})
+# Index vectors as stored: scaled to length one, then FLOAT.
+_UNIT = "list_transform({0}, lambda v: (v / sqrt(list_inner_product({0}, {0})))::FLOAT)::DOUBLE[]"
+_STORED = SCORES.replace("round(list_cosine_similarity(q.e, x.e), 6)", f"round(list_cosine_similarity(q.e, {_UNIT.format('x.e')}), 6)")
+
+
+@query("similar_queries", f"""WITH {_STORED}, top AS ({_TOP.replace('FROM scores', "FROM scores WHERE level = 'result'")})
 SELECT qid, vec_id, md5('question number ' || vec_id) AS query_hash, sim, rank FROM top WHERE sim >= 0.2""")
 def similar_queries(spark, sf):
     index = sm.build_index(index_rows(spark, sf))
@@ -123,7 +128,7 @@ def best_match(spark, sf):
     return sm.best_match(questions(spark, sf), index_rows(spark, sf), T)
 
 
-@query("similarity_report", f"""WITH {SCORES}, top AS ({_TOP}), m AS (SELECT * FROM top WHERE sim >= {T})
+@query("similarity_report", f"""WITH {_STORED}, top AS ({_TOP}), m AS (SELECT * FROM top WHERE sim >= {T})
 SELECT q.qid, 'question number ' || q.qid AS normalized_query, md5('question number ' || q.qid) AS query_hash,
   count(m.vec_id) AS similar_queries_found, max(sim) AS best_sim,
   'question number ' || arg_min(m.vec_id, rank) AS best_query,
@@ -193,6 +198,11 @@ def semantic_drift(spark, sf):
     return sm.drift(history(spark, sf), 0.9)
 
 
+def _sql_unit_embedding(text: str, dims: int) -> str:
+    """The hash features as stored."""
+    return f"(SELECT {_UNIT.format('w.e')} FROM (SELECT {_sql_embedding(text, dims)} AS e) w)"
+
+
 def _sql_embedding(text: str, dims: int) -> str:
     """The hash features in SQL, before scaling to length one."""
     n = NORMAL.format(text)

@@ -20,7 +20,7 @@ TABLES = (
 def connect(sf):
     import duckdb
 
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB"})
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return con
