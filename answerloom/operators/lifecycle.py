@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions.entries import is_expired, micros, percent, ttl_for, expires_at
 from ..plans.fold import Fold, ordered_fold
 from ..plans.ordering import previous_in_group, rank_in_group, running_sum
+from ..session import stage
 
 
 def assign_ttl(entries: DataFrame, scale: int = 1) -> DataFrame:
@@ -75,14 +76,14 @@ def lru_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """``lru_rank`` 1 = least recently used, per cache."""
     unit = F.date_trunc(slice_unit, F.col("last_access"))
     return rank_in_group(
-        _touched(log), ["cache_id"], [F.col("last_access"), F.col("last_seq")], [unit], name="lru_rank"
+        stage(_touched(log)), ["cache_id"], [F.col("last_access"), F.col("last_seq")], [unit], name="lru_rank"
     )
 
 
 def mru_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
     unit = F.date_trunc(slice_unit, F.col("last_access"))
     return rank_in_group(
-        _touched(log), ["cache_id"], [F.col("last_access").desc(), F.col("last_seq").desc()], [unit], [True], "mru_rank"
+        stage(_touched(log)), ["cache_id"], [F.col("last_access").desc(), F.col("last_seq").desc()], [unit], [True], "mru_rank"
     )
 
 
@@ -90,7 +91,7 @@ def lfu_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """``lfu_rank`` 1 = least often used; ties by recency."""
     order = [F.col("access_count"), F.col("last_access"), F.col("last_seq")]
     slices = [F.col("access_count"), F.date_trunc(slice_unit, F.col("last_access"))]
-    return rank_in_group(_touched(log), ["cache_id"], order, slices, name="lfu_rank")
+    return rank_in_group(stage(_touched(log)), ["cache_id"], order, slices, name="lfu_rank")
 
 
 def lru_retained(log: DataFrame, capacity: int) -> DataFrame:

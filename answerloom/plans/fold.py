@@ -1,13 +1,14 @@
 """Ordered folds: state handed from row to row, spread over range slices.
 
 The rows are range-partitioned on (group, order), so a huge group is cut into
-many consecutive slices. Every slice folds on its own with a guessed entering
-state; the leaving states (one row per slice) are then handed on, and only
-slices whose entering state turned out different are folded again. Slices that
-hold more than one group never need a second look, and for caches or cooldowns
-the state soon stops depending on how it began, so few rounds are needed.
-Whatever the data, the loop ends only when every hand-over agrees, which is
-exactly the sequential result. Memory per task: one Arrow batch and one state.
+many consecutive slices. Only groups that cross a slice boundary need a
+hand-over: their part of a slice is folded with a guessed entering state, the
+leaving states (one per slice) are handed on, and slices whose entering state
+turned out different are folded again. A slice holding several groups never
+needs a second look, and for caches or cooldowns the state soon stops depending
+on how it began, so few rounds are needed. Whatever the data, the loop ends
+only when every hand-over agrees, which is exactly the sequential result; a
+last pass then emits. Memory per task: one Arrow batch and one state.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import stage_ordered
 
-_SUMMARY = "_slice int, first_group string, last_group string, leaving string"
+_SUMMARY = "_slice int, leaving string"
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def _walk(fold: Fold, entering: dict[int, Any], batches, on_run, on_slice_end) -
         for s, g, a, b in _runs(batch):
             if s != slice_id:
                 if slice_id is not None:
-                    yield from on_slice_end(slice_id, first, group, state)
+                    yield from on_slice_end(slice_id, state)
                 slice_id, first, group = s, g, None
             if g != group:
                 known = entering.get(s) if g == first and group is None else None
@@ -80,20 +81,15 @@ def _walk(fold: Fold, entering: dict[int, Any], batches, on_run, on_slice_end) -
                 whole.extend(part)
         yield from on_run(batch, outputs)
     if slice_id is not None:
-        yield from on_slice_end(slice_id, first, group, state)
+        yield from on_slice_end(slice_id, state)
 
 
 def _summarise(fold: Fold, entering: dict[int, str]):
     def run(batches):
-        def end(slice_id, first, last, state):
+        def end(slice_id, state):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([slice_id], pa.int32()),
-                    pa.array([first], pa.string()),
-                    pa.array([last], pa.string()),
-                    pa.array([json.dumps(state)], pa.string()),
-                ],
-                names=["_slice", "first_group", "last_group", "leaving"],
+                [pa.array([slice_id], pa.int32()), pa.array([json.dumps(state)], pa.string())],
+                names=["_slice", "leaving"],
             )
 
         yield from _walk(fold, entering, batches, lambda b, o: (), end)
@@ -132,32 +128,36 @@ def ordered_fold(
         .sortWithinPartitions("_group", *order)
         .withColumn("_slice", F.spark_partition_id())
     )
-    narrow = laid_out.select("_slice", "_group", *[c for c in fold.inputs])
-
-    # One row per slice; states are small by contract, so this is slice metadata.
-    summaries = {
-        r["_slice"]: r for r in narrow.mapInArrow(_summarise(fold, {}), _SUMMARY).collect()
+    # First and last group per slice: one row per slice, worked out without Python.
+    bounds = {
+        r["_slice"]: (r["lo"], r["hi"])
+        for r in laid_out.groupBy("_slice").agg(F.min("_group").alias("lo"), F.max("_group").alias("hi")).collect()
     }
+    order_of = sorted(bounds)
+    came_from = {s: p for p, s in zip(order_of, order_of[1:]) if bounds[p][1] == bounds[s][0]}
+    narrow = laid_out.select("_slice", "_group", *fold.inputs)
+
+    def leave(slices_now, entering):
+        """Leaving states of these slices, folding only the rows of their last group."""
+        last = spark.createDataFrame([(s, bounds[s][1]) for s in slices_now], "_slice int, _group string")
+        rows = narrow.join(F.broadcast(last), ["_slice", "_group"], "left_semi")
+        found = rows.mapInArrow(_summarise(fold, entering), _SUMMARY).collect()
+        return {r["_slice"]: r["leaving"] for r in found}
+
+    handing = sorted(set(came_from.values()))
+    leaving = leave(handing, {}) if handing else {}
     entering: dict[int, str] = {}
     while True:
-        linked: dict[int, str] = {}
-        before = None
-        for s in sorted(summaries):
-            row = summaries[s]
-            if before is not None and before["last_group"] == row["first_group"]:
-                linked[s] = before["leaving"]
-            before = row
+        linked = {s: leaving[p] for s, p in came_from.items()}
+        # A slice of several groups leaves the same state however it was entered.
         moved = [
-            s for s in linked
-            if linked[s] != entering.get(s)
-            and summaries[s]["first_group"] == summaries[s]["last_group"]
+            s for s in handing
+            if s in linked and linked[s] != entering.get(s) and bounds[s][0] == bounds[s][1]
         ]
         entering = linked
         if not moved:
             break
-        again = narrow.filter(F.col("_slice").isin(moved))
-        for r in again.mapInArrow(_summarise(fold, {s: linked[s] for s in moved}), _SUMMARY).collect():
-            summaries[r["_slice"]] = r
+        leaving.update(leave(moved, {s: linked[s] for s in moved}))
 
     keep = list(df.columns)
     schema = T.StructType([*df.schema.fields, *fold.result.fields])

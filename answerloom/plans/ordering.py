@@ -4,6 +4,9 @@ A plain window over a group puts the whole group in one task. Here a group is
 cut along its own order into slices (say hours): the window runs inside
 (group, slice), one small row per slice carries the rest across, and a window
 over those rows puts both together. Results are those of the plain window.
+
+The input is read twice (once for the slice rows), so stage it first where it
+is costly to work out.
 """
 
 from __future__ import annotations

@@ -59,7 +59,7 @@ def count_before(order_key: np.ndarray, value: np.ndarray, probe: np.ndarray) ->
 def positions(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
     """Adds ``pos`` and ``prev`` (0 = first access) per cache, in (ts, seq) order."""
     unit = F.date_trunc(slice_unit, F.col("ts"))
-    numbered = rank_in_group(log, ["cache_id"], [F.col("ts"), F.col("seq")], [unit], name="pos")
+    numbered = stage(rank_in_group(log, ["cache_id"], [F.col("ts"), F.col("seq")], [unit], name="pos"), "numbered")
     linked = previous_in_group(
         numbered, ["cache_id", "key"], ["pos"], "pos", F.date_trunc(slice_unit, F.col("ts")), name="prev"
     )
