@@ -32,9 +32,9 @@ def expires_at(ts: Column, ttl: Column) -> Column:
     return ts + F.make_dt_interval(secs=ttl)
 
 
-def is_expired(expires: Column, now: Column) -> Column:
-    """Strictly past; an entry without a lifetime never expires."""
-    return F.coalesce(now > expires, F.lit(False))
+def is_expired(expires: Column, now) -> Column:
+    """Strictly past; an entry without a lifetime never expires, nor does any with ``now`` None."""
+    return F.lit(False) if now is None else F.coalesce(F.lit(now) > expires, F.lit(False))
 
 
 def micros(ts: Column) -> Column:
@@ -46,11 +46,12 @@ def level_rank(level: Column) -> Column:
 
 
 def value_bytes(value: Column) -> Column:
+    """UTF-8 bytes of a text value; nothing for null."""
     return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
 
 
 def vector_bytes(vector: Column) -> Column:
-    return (F.lit(4) * F.size(vector)).cast("bigint")
+    return F.coalesce(F.lit(4) * F.array_size(vector), F.lit(0)).cast("bigint")
 
 
 def pressure(used: Column, limit: Column) -> Column:

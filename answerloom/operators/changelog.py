@@ -36,19 +36,21 @@ def _clears(ops: DataFrame) -> DataFrame:
     )
 
 
-def replay(ops: DataFrame, base: DataFrame | None = None) -> DataFrame:
+def replay(ops: DataFrame, base: DataFrame | None = None, ttl_anchor=None) -> DataFrame:
     """State (key, level, value, created_at, seq, expires_at, ttl_level) after the log.
 
     The last write per (key, level) counts unless a later clear reaches it. The
     lifetime of a key is that of its last set in any level; a later delete of
     the key, or clear of that level, drops it. ``base`` is an earlier state
-    whose writes all come before ``ops``.
+    whose writes all come before ``ops``. Lifetimes run from the event's own
+    time, or for all replayed sets from ``ttl_anchor`` (the time of replaying).
     """
+    starts = F.col("at.ts") if ttl_anchor is None else F.lit(ttl_anchor)
     at = F.struct("ts", "seq").alias("at")
     writes = ops.filter("operation in ('set', 'delete')").select("key", "level", "operation", "value", "ttl", at)
     ttl_marks = writes.filter("operation = 'delete' or coalesce(ttl, 0) <> 0").select(
         "key", "at",
-        F.when(F.col("operation") == "set", expires_at(F.col("at.ts"), F.col("ttl"))).alias("expires_at"),
+        F.when(F.col("operation") == "set", expires_at(starts, F.col("ttl"))).alias("expires_at"),
         F.col("level").alias("ttl_level"),
     )
     stored = writes.select("key", "level", "operation", "value", "at")

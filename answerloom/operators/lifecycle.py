@@ -23,7 +23,7 @@ def assign_ttl(entries: DataFrame, scale: int = 1) -> DataFrame:
 
 
 def ttl_status(entries: DataFrame, now) -> DataFrame:
-    return entries.withColumn("expired", is_expired(F.col("expires_at"), F.lit(now)))
+    return entries.withColumn("expired", is_expired(F.col("expires_at"), now))
 
 
 def expired_keys(entries: DataFrame, now) -> DataFrame:
@@ -41,7 +41,7 @@ def ttl_info(entries: DataFrame, now) -> DataFrame:
 
 
 def ttl_stats(entries: DataFrame, now) -> DataFrame:
-    expired = is_expired(F.col("expires_at"), F.lit(now))
+    expired = is_expired(F.col("expires_at"), now)
     return entries.filter(F.col("expires_at").isNotNull()).agg(
         F.count(F.lit(1)).alias("total_keys"),
         F.count_if(~expired).alias("active_keys"),
@@ -103,6 +103,15 @@ def lru_retained(log: DataFrame, capacity: int) -> DataFrame:
     return _touched(log).withColumn("mru_rank", F.row_number().over(w)).filter(F.col("mru_rank") <= capacity - 1)
 
 
+def lru_sample(log: DataFrame, n: int = 10) -> DataFrame:
+    """Tracked keys per cache and, on a row each, the ``n`` least recently used."""
+    touched = stage(_touched(log))
+    w = Window.partitionBy("cache_id").orderBy("last_access", "last_seq")
+    oldest = touched.withColumn("lru_rank", F.row_number().over(w)).filter(F.col("lru_rank") <= n)
+    counts = touched.groupBy("cache_id").agg(F.count(F.lit(1)).alias("total_tracked_keys"))
+    return oldest.join(counts, "cache_id").select("cache_id", "total_tracked_keys", "lru_rank", "key")
+
+
 def lru_evicted(log: DataFrame, capacity: int, batch: int = 10) -> DataFrame:
     """Keys one eviction pass drops: the oldest ``min(overflow, batch)`` of each cache."""
     touched = _touched(log)

@@ -11,7 +11,7 @@ from ..session import stage
 
 
 def live(entries: DataFrame, now) -> DataFrame:
-    return entries.filter(~is_expired(F.col("expires_at"), F.lit(now)) & F.col("value").isNotNull())
+    return entries.filter(~is_expired(F.col("expires_at"), now) & F.col("value").isNotNull())
 
 
 def exact_lookup(requests: DataFrame, entries: DataFrame, now) -> DataFrame:
@@ -35,13 +35,13 @@ def exact_lookup_auto(requests: DataFrame, entries: DataFrame, now) -> DataFrame
 
 def existing(requests: DataFrame, entries: DataFrame, now, auto: bool = False) -> DataFrame:
     held = first_level(entries) if auto else entries
-    alive = held.filter(~is_expired(F.col("expires_at"), F.lit(now)))
+    alive = held.filter(~is_expired(F.col("expires_at"), now))
     return requests.join(alive, ["key"] if auto else ["key", "level"], "left_semi")
 
 
 def missing(requests: DataFrame, entries: DataFrame, now, auto: bool = False) -> DataFrame:
     held = first_level(entries) if auto else entries
-    alive = held.filter(~is_expired(F.col("expires_at"), F.lit(now)))
+    alive = held.filter(~is_expired(F.col("expires_at"), now))
     return requests.join(alive, ["key"] if auto else ["key", "level"], "left_anti")
 
 

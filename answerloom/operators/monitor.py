@@ -12,6 +12,7 @@ from ..functions.entries import (
     absolute_pressure, micros, percent, pressure,
 )
 from ..schemas import LEVELS
+from ..session import beside
 from .lifecycle import spaced_rows
 
 MIB = 1024 * 1024
@@ -131,29 +132,35 @@ def history_tail(history: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
     return history.orderBy(F.col("ts").desc()).limit(n)
 
 
-def _recent_and_older(history: DataFrame, value: str) -> DataFrame:
-    """Means over the last ten rows and the ten before (always divided by ten)."""
+def _recent_and_older(history: DataFrame, value: str, true_mean: bool = False) -> DataFrame:
+    """Means over the last ten rows and the ten before.
+
+    Divided by ten even where the older slice has fewer rows, unless ``true_mean``.
+    """
+    def mean(rows):
+        total = F.coalesce(F.sum(F.when(rows, F.col(value))), F.lit(0.0))
+        return F.coalesce(F.try_divide(total, F.count_if(rows)), F.lit(0.0)) if true_mean else total / 10
+
     # Twenty rows, so a window without partitions is harmless.
     numbered = history_tail(history.select("ts", value), 20).withColumn(
         "rn", F.row_number().over(Window.orderBy(F.col("ts").desc()))
     )
     return numbered.agg(
         F.count(F.lit(1)).alias("n"),
-        (F.coalesce(F.sum(F.when(F.col("rn") <= 10, F.col(value))), F.lit(0.0)) / 10).alias("recent"),
-        (F.coalesce(F.sum(F.when(F.col("rn") > 10, F.col(value))), F.lit(0.0)) / 10).alias("older"),
+        mean(F.col("rn") <= 10).alias("recent"), mean(F.col("rn") > 10).alias("older"),
     )
 
 
-def hit_rate_trend(history: DataFrame) -> DataFrame:
+def hit_rate_trend(history: DataFrame, true_mean: bool = False) -> DataFrame:
     trend = F.when(F.col("n") >= 10, F.col("recent") - F.col("older")).otherwise(0.0)
-    return _recent_and_older(history, "cache_hit_rate").select(F.round(trend, 6).alias("hit_rate_trend"))
+    return _recent_and_older(history, "cache_hit_rate", true_mean).select(F.round(trend, 6).alias("hit_rate_trend"))
 
 
-def memory_growth(history: DataFrame, value: str = "memory") -> DataFrame:
+def memory_growth(history: DataFrame, value: str = "memory", true_mean: bool = False) -> DataFrame:
     """Latest memory, growth against the ten samples before, pressure and advice."""
     rate = F.when((F.col("n") >= 10) & (F.col("older") > 0), (F.col("recent") - F.col("older")) / F.col("older"))
-    growth = _recent_and_older(history, value).select(
-        F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("memory_growth_rate"), F.lit(1).alias("_one")
+    growth = _recent_and_older(history, value, true_mean).select(
+        F.round(F.coalesce(rate, F.lit(0.0)), 6).alias("memory_growth_rate")
     )
     latest = history.agg(F.max_by(value, "ts").alias("current_memory")).filter("current_memory is not null")
     now = F.col("current_memory")
@@ -163,10 +170,7 @@ def memory_growth(history: DataFrame, value: str = "memory") -> DataFrame:
         F.when(now > 100 * MIB, MEMORY_ADVICE[0]), F.when(now > 100 * MIB, MEMORY_ADVICE[1]),
         F.when(now > 50 * MIB, MEMORY_ADVICE[2]),
     )
-    return (
-        latest.withColumns({"pressure": absolute_pressure(now), "advice": advice, "_one": F.lit(1)})
-        .join(growth, "_one").drop("_one")
-    )
+    return beside(latest.withColumns({"pressure": absolute_pressure(now), "advice": advice}), growth)
 
 
 # ---------------------------------------------------------------- alerts
@@ -239,7 +243,6 @@ def recommendations_recent(history: DataFrame) -> DataFrame:
 
 def performance_summary(history: DataFrame, alerts: DataFrame, now) -> DataFrame:
     """One row: latest sample, trend, alert counts, time covered, advice."""
-    one = F.lit(1).alias("_one")
     tail = history_tail(history)
     sample = F.struct("cache_hit_rate", "cache_memory_usage")
     latest = tail.agg(F.max_by(sample, "ts").alias("m"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
@@ -254,15 +257,14 @@ def performance_summary(history: DataFrame, alerts: DataFrame, now) -> DataFrame
     )
     head = latest.filter("last_ts is not null").select(
         "last_ts", "m.*", ((micros(F.lit(now)) - micros(F.col("first_ts"))) / 1e6).alias("monitoring_duration"),
-        advice.alias("recommendations"), one,
+        advice.alias("recommendations"),
     )
-    return head.join(hit_rate_trend(history).select("*", one), "_one").join(kept.select("*", one), "_one").drop("_one")
+    return beside(head, hit_rate_trend(history), kept)
 
 
 def monitoring_stats(history: DataFrame, alerts: DataFrame) -> DataFrame:
-    one = F.lit(1).alias("_one")
     h = history_tail(history).agg(
         F.count(F.lit(1)).alias("performance_history_size"), F.max("ts").alias("last_monitoring")
-    ).select("*", one)
-    a = history_tail(alerts, ALERT_SIZE).agg(F.count(F.lit(1)).alias("total_alerts")).select("*", one)
-    return h.join(a, "_one").drop("_one")
+    )
+    a = history_tail(alerts, ALERT_SIZE).agg(F.count(F.lit(1)).alias("total_alerts"))
+    return beside(h, a)

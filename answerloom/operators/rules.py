@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import micros, percent, ttl_for
 from ..schemas import RULES
+from ..session import beside
 from .similarity import drift
 
 # The default rules.
@@ -104,19 +105,17 @@ def stale_share(marked: DataFrame, limit: float = 5.0) -> DataFrame:
 
 def clean_stale(marked: DataFrame, limit: float = 5.0) -> DataFrame:
     """Drops stale entries, but only if they are more than ``limit`` percent."""
-    due = stale_share(marked, limit).select("cleanup_due")  # one row
-    flagged = marked.withColumn("_one", F.lit(1)).join(F.broadcast(due.withColumn("_one", F.lit(1))), "_one")
-    return flagged.filter(~(F.col("stale") & F.col("cleanup_due"))).drop("_one", "cleanup_due")
+    due = stale_share(marked, limit).select("cleanup_due").scalar()
+    return marked.filter(~(F.col("stale") & due))
 
 
 def invalidation_stats(actions: DataFrame, drifted: DataFrame, share: DataFrame) -> DataFrame:
     """One row from the outcome of all checks; every input here is aggregated to one row."""
-    one = F.lit(1).alias("_one")
     acts = actions.agg(
         F.count(F.lit(1)).alias("total_invalidations"),
         F.count_if(F.col("rule_type") == "model_version").alias("model_version_changes"),
         F.count_if(F.col("rule_type") == "corpus_change").alias("corpus_changes"),
-    ).select("*", one)
-    drifts = drifted.agg(F.count(F.lit(1)).alias("semantic_drift_detected")).select("*", one)
-    stale = share.select("stale_entries", "stale_percentage", "total_entries_checked", "goal_achieved", one)
-    return acts.join(drifts, "_one").join(stale, "_one").drop("_one")
+    )
+    drifts = drifted.agg(F.count(F.lit(1)).alias("semantic_drift_detected"))
+    stale = share.select("stale_entries", "stale_percentage", "total_entries_checked", "goal_achieved")
+    return beside(acts, drifts, stale)

@@ -40,11 +40,8 @@ def frequent_queries(log: DataFrame, entries: DataFrame, now, limit: int = 10) -
 
 def _frequent(counts: DataFrame, share: float) -> DataFrame:
     """Rows above a share of the total: fewer than 1/share of them."""
-    total = counts.agg(F.sum("n").alias("total")).withColumn("_one", F.lit(1))
-    return (
-        counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
-        .filter(F.col("n") > F.col("total") * share).drop("_one", "total")
-    )
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.filter(F.col("n") > total * share)
 
 
 def warming_recommendations(

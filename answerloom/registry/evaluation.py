@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..session import beside, stage
 from . import query
 from .lifecycle import DISTANCE
 from .views import BEST, LOG, PAIRS, THRESHOLD, access_log, embeddings, events, pairs
@@ -73,11 +74,9 @@ _REPORT = """SELECT (tp + fp + tn + fn) AS dataset_size, (tp + fp) AS cache_hits
 @query("reuse_report", f"""WITH {BEST}, {_LATENCY}, c AS (SELECT {_COUNTS.format(hit='best_sim >= 0.3')} FROM best)
 {_REPORT.format(evictions='7', speedup='(SELECT m / h FROM lat)')}""")
 def reuse_report(spark, sf):
-    one = F.lit(1).alias("one")
     speed = ev.latency(events(spark, sf).select(F.col("event_type").isin("view", "click").alias("hit"), F.col("value").alias("latency_ms")))
     counts = ev.confusion(scored(spark, sf).withColumn("hit", F.col("best_sim") >= 0.3))
-    both = counts.select("*", one).join(speed.select("speedup", one), "one")
-    return ev.reuse_report(both, F.lit(7), F.col("speedup"))
+    return ev.reuse_report(beside(counts, speed.select("speedup")), F.lit(7), F.col("speedup"))
 
 
 CAPACITY = 60
@@ -97,10 +96,9 @@ def benchmark_replay(spark, sf):
         shuffled, ["_all"], [F.col("draw"), F.col("pair_id")], [F.substring("draw", 1, 3)], name="position"
     ).drop("_all", "draw")
     outcomes = ev.replay_pairs(placed, embeddings(spark, sf), 0.3, CAPACITY)
-    counts = ev.confusion(outcomes)
+    counts = stage(ev.confusion(outcomes), "counts")  # one row, used twice
     stored = F.greatest(F.lit(0), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") - (CAPACITY - 1))
-    one = F.lit(1).alias("one")
-    return counts.select("*", one).join(ev.reuse_report(counts, stored, F.lit(0)).select("*", one), "one").drop("one")
+    return beside(counts, ev.reuse_report(counts, stored, F.lit(0)))
 
 
 _SWEEP = f"""sizes AS (SELECT unnest({list(SIZES)}::INT[]) AS cache_size),

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.entries import classify_level as classify
+from ..functions.entries import classify_level as classify, value_bytes, vector_bytes
 from ..operators import lifecycle as lc
 from ..plans.reuse import reuse_distance as distances
 from . import query
-from .views import ENTRIES, LOG, NOW, OPS, access_log, documents, entries, now, op_log, us
+from .views import ENTRIES, LOG, NOW, OPS, access_log, documents, embeddings, entries, now, op_log, table, us
 
 DAY = 86_400
 C = 10
@@ -133,6 +133,21 @@ def lru_evicted(spark, sf):
     return lc.lru_evicted(access_log(spark, sf), C).select("cache_id", "key", "lru_rank")
 
 
+@query("lru_sample", f"""WITH {_TOUCHED}, n AS (SELECT cache_id, count(*) AS total_tracked_keys FROM touched GROUP BY 1)
+SELECT cache_id, total_tracked_keys, row_number() OVER (PARTITION BY cache_id ORDER BY last_access, last_seq)::INT AS lru_rank, key
+FROM touched JOIN n USING (cache_id) QUALIFY lru_rank <= 10""")
+def lru_sample(spark, sf):
+    return lc.lru_sample(access_log(spark, sf))
+
+
+@query("object_size", """SELECT d.doc_id, strlen(d.text)::BIGINT AS value_bytes, coalesce(4 * len(e.embedding), 0)::BIGINT AS vector_bytes
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
+def object_size(spark, sf):
+    vectors = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
+    both = table(spark, sf, "documents").join(vectors, "doc_id", "left")
+    return both.select("doc_id", value_bytes(F.col("text")).alias("value_bytes"), vector_bytes(F.col("embedding")).alias("vector_bytes"))
+
+
 DISTANCE = LOG + """, pos AS (SELECT *, row_number() OVER (PARTITION BY cache_id ORDER BY ts, seq) AS pos FROM log),
 prev AS (SELECT *, lag(pos) OVER (PARTITION BY cache_id, key ORDER BY pos) AS prev FROM pos),
 dist AS (SELECT a.cache_id, a.key, a.seq, any_value(a.prev) AS prev,

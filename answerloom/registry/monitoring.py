@@ -5,6 +5,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as lc, monitor as mo, rules as ru, similarity as sm, warming as wa
+from ..session import beside
 from . import query
 from .similarity import _DRIFT, history as vector_history
 from .views import (
@@ -198,8 +199,7 @@ def versions(spark, sf):
     v = ru.corpus_version(docs).select(F.col("version").cast("string").alias("v"))
     en = ru.corpus_version(docs.filter("lang = 'en'")).select(F.col("version").cast("string").alias("v_en"))
     n = table(spark, sf, "embeddings").agg(F.count_distinct("label").alias("n"))
-    one = F.lit(1).alias("one")
-    row = v.select("*", one).join(en.select("*", one), "one").join(n.select("*", one), "one")
+    row = beside(v, en, n)
     s = F.col("n").cast("string")
 
     def version(kind, level, stored, current):
@@ -228,9 +228,8 @@ FROM documents WHERE source = (SELECT min(source) FROM documents) GROUP BY 1""")
 def corpus_version(spark, sf):
     docs = documents(spark, sf)
     first = docs.agg(F.min("source").alias("source"))
-    chosen = docs.join(F.broadcast(first), "source")
-    one = F.lit(1).alias("one")
-    return ru.corpus_version(chosen).select("*", one).join(first.select("*", one), "one").drop("one")
+    chosen = docs.filter(F.col("source") == first.scalar())
+    return beside(ru.corpus_version(chosen), first)
 
 
 @query("drift_refresh", f"""WITH {ENTRIES}, {_DRIFT}

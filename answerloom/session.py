@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Runtime settings every job relies on. Only ones that may change after start.
 RUNTIME_CONF = {
@@ -93,3 +93,12 @@ def stage_ordered(df: DataFrame) -> DataFrame:
     """Reliable checkpoint that keeps partitions and the row order inside them."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The columns of one-row frames in one row, by scalar subqueries instead of joins."""
+    for i, other in enumerate(others):
+        name = f"_beside{i}"
+        packed = other.select(F.struct(*other.columns).alias(name)).scalar()
+        first = first.withColumn(name, packed).select("*", f"{name}.*").drop(name)
+    return first

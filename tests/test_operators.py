@@ -483,3 +483,17 @@ def test_embeddings_are_made_once_per_hash(spark):
     assert got == {0: (True, [9.0]), 1: (True, [9.0]), 4: (True, [9.0]), 2: (False, [3.0]), 3: (False, [3.0])}
 
 
+
+
+def test_trend_true_mean_and_ttl_options(spark, stored):
+    rates = [10.0] * 15
+    df = history(spark, rates)
+    assert mo.hit_rate_trend(df).first()[0] == 5.0
+    assert mo.hit_rate_trend(df, true_mean=True).first()[0] == 0.0
+    assert lk.live(stored, None).count() == 4
+    ops = spark.createDataFrame(
+        [(at(0), 0, "set", "k", "query", "v", 60)],
+        "ts timestamp, seq bigint, operation string, key string, level string, value string, ttl int",
+    )
+    got = cl.replay(ops, ttl_anchor=at(1000)).select(en.micros(F.col("expires_at"))).first()[0]
+    assert got == int(at(1060).timestamp() * 1_000_000)
