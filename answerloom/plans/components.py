@@ -40,8 +40,10 @@ def _spanning_edges(left_ids, left, right_ids, right, threshold) -> pa.Table:
     label = np.arange(len(ids))
     step = max(1, SCORE_CELLS // max(1, len(right)))
     for a in range(0, len(left), step):
-        near = np.round(left[a:a + step] @ right.T, 6) >= threshold
-        rows, cols = np.nonzero(near)
+        scores = left[a:a + step] @ right.T
+        rows, cols = np.nonzero(scores >= threshold - SLACK)
+        sure = np.round(scores[rows, cols], 6) >= threshold
+        rows, cols = rows[sure], cols[sure]
         label = _unite(label, li[a:a + step][rows], ri[cols])
     moved = np.flatnonzero(label != np.arange(len(ids)))
     return pa.table([pa.array(ids[label[moved]]), pa.array(ids[moved])], schema=_EDGE)
