@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.entries import percent, ratio
+from ..plans.ordering import rank_in_group
 from ..plans.reuse import reuse_distance
 from ..plans.search import nearest
-from .lifecycle import lru_retained
+from .lifecycle import WINDOW_ROWS, lru_retained
 
 # Goals of a run.
 HIT_GOAL, SAVED_GOAL, SPEEDUP_GOAL = 60, 40, 10
@@ -20,14 +21,18 @@ def sample_pairs(pairs: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
     """``per_class`` pairs of each class in hash order, with a shuffle position.
 
     Hash order replaces a random draw: the same rows on any engine. The bound
-    is a parameter, so the window's group limit trims before the shuffle.
+    is a parameter, so the window's group limit trims before the shuffle; a
+    large one goes by ranks sliced along the hash.
     """
     draw = F.md5(F.concat_ws("-", F.col("pair_id").cast("string"), F.lit(str(seed))))
     w = Window.partitionBy("is_duplicate").orderBy("draw", "pair_id")
-    return (
-        pairs.filter(F.col("is_duplicate").isin(0, 1)).withColumn("draw", draw)
-        .withColumn("class_rank", F.row_number().over(w)).filter(F.col("class_rank") <= per_class)
-    )
+    drawn = pairs.filter(F.col("is_duplicate").isin(0, 1)).withColumn("draw", draw)
+    if per_class > WINDOW_ROWS:
+        order = [F.col("draw"), F.col("pair_id")]
+        ranked = rank_in_group(drawn, ["is_duplicate"], order, [F.substring("draw", 1, 3)], name="class_rank")
+    else:
+        ranked = drawn.withColumn("class_rank", F.row_number().over(w))
+    return ranked.filter(F.col("class_rank") <= per_class)
 
 
 def best_scores(pairs: DataFrame, vectors: DataFrame, **search) -> DataFrame:

@@ -14,6 +14,9 @@ from ..plans.ordering import previous_in_group, rank_in_group, running_sum
 from ..session import stage
 
 
+WINDOW_ROWS = 100_000  # most rows per group a plain window may gather
+
+
 def assign_ttl(entries: DataFrame, scale: int = 1) -> DataFrame:
     """``ttl_s`` (own or by level) and ``expires_at`` from ``created_at``."""
     ttl = ttl_for(F.col("level"), F.col("ttl"), scale)
@@ -97,8 +100,11 @@ def lfu_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
 def lru_retained(log: DataFrame, capacity: int) -> DataFrame:
     """Keys still held: the last ``capacity - 1`` distinct keys of each cache.
 
-    The bound is a parameter, so every map task passes on that many rows at most.
+    The bound is a parameter, so every map task passes on that many rows at most;
+    a large bound goes by sliced ranks, which gather it in no single task.
     """
+    if capacity > WINDOW_ROWS:
+        return mru_order(log).filter(F.col("mru_rank") <= capacity - 1)
     w = Window.partitionBy("cache_id").orderBy(F.col("last_access").desc(), F.col("last_seq").desc())
     return _touched(log).withColumn("mru_rank", F.row_number().over(w)).filter(F.col("mru_rank") <= capacity - 1)
 

@@ -497,3 +497,14 @@ def test_trend_true_mean_and_ttl_options(spark, stored):
     )
     got = cl.replay(ops, ttl_anchor=at(1000)).select(en.micros(F.col("expires_at"))).first()[0]
     assert got == int(at(1060).timestamp() * 1_000_000)
+
+
+def test_large_bounds_take_the_sliced_way(spark, monkeypatch):
+    log, _ = random_log(spark, 7)
+    pairs = spark.createDataFrame([(i, i % 2) for i in range(40)], "pair_id bigint, is_duplicate int")
+    kept = {(r["cache_id"], r["key"]) for r in lc.lru_retained(log, 4).collect()}
+    drawn = {(r["pair_id"], r["class_rank"]) for r in ev.sample_pairs(pairs, 7).collect()}
+    monkeypatch.setattr(lc, "WINDOW_ROWS", 1)
+    monkeypatch.setattr(ev, "WINDOW_ROWS", 1)
+    assert {(r["cache_id"], r["key"]) for r in lc.lru_retained(log, 4).collect()} == kept
+    assert {(r["pair_id"], r["class_rank"]) for r in ev.sample_pairs(pairs, 7).collect()} == drawn
