@@ -1,15 +1,13 @@
 """Statistics, history, alerts, rules and recommendations."""
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
-from ..operators import lifecycle as lc, monitor as mo, rules as ru, similarity as sm, warming as wa
+from ..operators import monitor as mo, rules as ru, similarity as sm, warming as wa
 from ..session import beside
 from . import query
 from .similarity import _DRIFT, history as vector_history
 from .views import (
-    ALERTS, ENTRIES, HISTORY, LOG, NOW, OPS, SLOW_ALERTS, access_log, documents, entries, events, metrics_history, now,
+    ALERTS, ENTRIES, HISTORY, LOG, NOW, SLOW_ALERTS, access_log, documents, entries, events, metrics_history, now,
     slow_alerts, table, us,
 )
 
@@ -333,6 +331,3 @@ def strategies_due(spark, sf):
 @query("warming_stats", f"WITH {LOG} SELECT count(DISTINCT key) AS access_patterns_tracked, count(*) AS accesses, epoch_us(max(ts)) AS last_access FROM log")
 def warming_stats(spark, sf):
     return wa.warming_stats(access_log(spark, sf)).withColumn("last_access", us("last_access")[0])
-
-
-__all__ = ["OPS", "lc", "timedelta"]

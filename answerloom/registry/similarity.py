@@ -8,7 +8,7 @@ from ..plans.search import Cells, nearest, side
 from ..session import new_path, stage
 from . import query
 from .views import (
-    LOG, NORMAL, PAIRS, SCORES, THRESHOLD, VECTORS, access_log, embeddings, index_rows, documents, level_of, pairs, questions,
+    LOG, NORMAL, PAIRS, SCORES, THRESHOLD, VECTORS, access_log, embeddings, index_rows, documents, pairs, questions,
     us, user_turns,
 )
 
@@ -240,6 +240,3 @@ def embedding_reuse(spark, sf):
     known = stage(english.select("query_hash", "embedding").dropDuplicates(["query_hash"]), "known")
     out = sm.reuse_embeddings(docs, known, embed, id_col="doc_id")
     return out.select("doc_id", "query_hash", "reused", F.size("embedding").alias("dims"))
-
-
-__all__ = ["history", "level_of"]

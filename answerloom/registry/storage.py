@@ -8,7 +8,7 @@ from ..operators import changelog as cl
 from ..session import new_path
 from ..sources import oplog, pairs as ps, reports, snapshots as sn
 from . import query
-from .views import ENTRIES, LOG, NOW, OPS, PAIRS, access_log, documents, entries, events, now, op_log, pairs, us
+from .views import ENTRIES, LOG, NOW, OPS, PAIRS, access_log, documents, embeddings, entries, now, op_log, pairs, us
 
 
 @query("pair_scan_limit", f"WITH {PAIRS} SELECT pair_id, q1, q2, is_duplicate FROM pairs ORDER BY pair_id LIMIT 100")
@@ -108,8 +108,6 @@ SELECT e.key, level, value, epoch_us(expires_at) AS expires_at, epoch_us(last_ac
   len(v.embedding)::INT AS dims FROM entries e JOIN v USING (key)""")
 def snapshot_roundtrip(spark, sf):
     """Entries, lifetimes, accesses and vectors in one snapshot, read back."""
-    from .views import embeddings
-
     vectors = embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("key"), "embedding")
     state = entries(spark, sf).join(vectors, "key")
     path = new_path(spark, "snapshots")
@@ -147,6 +145,3 @@ def report_sink(spark, sf):
     report = documents(spark, sf).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
     reports.write_report(report, path)
     return spark.read.schema("lang string, n bigint, chars bigint").json(path)
-
-
-__all__ = ["events"]

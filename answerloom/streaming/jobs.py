@@ -210,9 +210,3 @@ def state_stream(ops: DataFrame, start: DataFrame, path: str, snapshots: str | N
     )
     query.awaitTermination()
     return version(last["id"])
-
-
-__all__ = [
-    "access_counts_stream", "alert_cooldown_stream", "cache_replay_stream", "metrics_stream",
-    "semantic_lookup_stream", "state_stream", "ttl_expiry",
-]
