@@ -9,7 +9,7 @@ from ..session import new_path, stage
 from . import query
 from .views import (
     LOG, NORMAL, PAIRS, SCORES, THRESHOLD, VECTORS, access_log, embeddings, index_rows, documents, pairs, questions,
-    us, user_turns,
+    turns, us,
 )
 
 T = THRESHOLD
@@ -129,7 +129,7 @@ def best_match(spark, sf):
 
 
 @query("similarity_report", f"""WITH {_STORED}, top AS ({_TOP}), m AS (SELECT * FROM top WHERE sim >= {T})
-SELECT q.qid, 'question number ' || q.qid AS normalized_query, md5('question number ' || q.qid) AS query_hash,
+SELECT q.qid, 'new question ' || q.qid AS normalized_query, md5('new question ' || q.qid) AS query_hash,
   count(m.vec_id) AS similar_queries_found, max(sim) AS best_sim,
   'question number ' || arg_min(m.vec_id, rank) AS best_query,
   coalesce(string_agg(m.vec_id::VARCHAR, ',' ORDER BY rank) FILTER (rank <= 5), '') AS matches
@@ -220,11 +220,11 @@ def _sql_embedding(text: str, dims: int) -> str:
         CASE WHEN {blanks} = '' THEN 0 ELSE len(string_split({blanks}, ' ')) END AS words))"""
 
 
-@query("embed_hashing", f"""WITH u AS (SELECT conv_id * 1000 + turn AS qid, text AS query FROM conversations WHERE role = 'user'),
+@query("embed_hashing", f"""WITH u AS (SELECT conv_id * 1000 + turn AS qid, text AS query FROM conversations),
 v AS (SELECT qid, {_sql_embedding('query', 768)} AS e FROM u)
 SELECT qid, len(e)::INT AS dims, {_SUMS.format('list_transform(e, lambda v: v / sqrt(list_inner_product(e, e)))')} AS weighted FROM v""")
 def embed_hashing(spark, sf):
-    v = user_turns(spark, sf).select("qid", an.hashing_embedder()(F.col("query")).alias("e"))
+    v = turns(spark, sf).select("qid", an.hashing_embedder()(F.col("query")).alias("e"))
     return v.select("qid", F.size("e").alias("dims"), _weighted("e"))
 
 

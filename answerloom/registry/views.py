@@ -186,32 +186,37 @@ def embeddings(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings")
 
 
+def _new_name(c: str = "vec_id"):
+    return F.concat(F.lit("New question "), F.col(c).cast("string"), F.lit("?"))
+
+
 def questions(spark, sf) -> DataFrame:
-    return embeddings(spark, sf).filter("vec_id % 10 = 0").select(
-        F.col("vec_id").alias("qid"), _name().alias("query"), "embedding", "label"
+    """A new question per stored one: its vector read backwards, so not its own neighbour."""
+    return embeddings(spark, sf).select(
+        F.col("vec_id").alias("qid"), _new_name().alias("query"), F.reverse("embedding").alias("embedding")
     )
 
 
 def index_rows(spark, sf) -> DataFrame:
-    return embeddings(spark, sf).filter("vec_id % 10 <> 0").select(
+    return embeddings(spark, sf).select(
         "vec_id", level_of("vec_id").alias("level"), _name().alias("query"),
         (F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc)) + F.make_dt_interval(mins=F.col("vec_id").cast("int"))).alias("ts"),
         "embedding", "label",
     )
 
 
-VECTORS = f"""q AS (SELECT vec_id AS qid, 'Question number ' || vec_id || '?' AS query, embedding::DOUBLE[] AS e, label
-  FROM embeddings WHERE vec_id % 10 = 0),
+VECTORS = f"""q AS (SELECT vec_id AS qid, 'New question ' || vec_id || '?' AS query, list_reverse(embedding)::DOUBLE[] AS e
+  FROM embeddings),
 x AS (SELECT vec_id, {_LEVELS}[(vec_id % 4 + 1)::INT] AS level, 'Question number ' || vec_id || '?' AS query,
   TIMESTAMP '2024-01-01' + to_minutes(vec_id) AS ts, embedding::DOUBLE[] AS e, label
-  FROM embeddings WHERE vec_id % 10 <> 0)"""
+  FROM embeddings)"""
 SCORES = VECTORS + """, scores AS (SELECT qid, vec_id, level, round(list_cosine_similarity(q.e, x.e), 6) AS sim FROM q, x)"""
 
 
 def answers(spark, sf) -> DataFrame:
     """An answer per index row, level result; lifetimes of one to ten days by label."""
     start = F.lit(datetime(2024, 1, 1, tzinfo=timezone.utc))
-    rows = embeddings(spark, sf).filter("vec_id % 10 <> 0").select(
+    rows = embeddings(spark, sf).select(
         _name().alias("key"), F.lit("result").alias("level"),
         F.concat(F.lit("Answer to "), F.col("vec_id").cast("string")).alias("value"),
         (start + F.make_dt_interval(hours=(F.col("vec_id") % 240).cast("int"))).alias("created_at"),
@@ -225,18 +230,16 @@ def answer_index(spark, sf) -> DataFrame:
 
 
 def requests(spark, sf) -> DataFrame:
-    """New questions, and some asked word for word again."""
-    return embeddings(spark, sf).filter("vec_id % 10 = 0 or vec_id % 7 = 1").select(
-        F.col("vec_id").alias("qid"), _name().alias("query"), "embedding"
-    )
+    """The new questions, and every stored one asked word for word again."""
+    again = embeddings(spark, sf).select((F.col("vec_id") * 2 + 1).alias("qid"), _name().alias("query"), "embedding")
+    return questions(spark, sf).withColumn("qid", F.col("qid") * 2).unionByName(again)
 
 
 ANSWERS = VECTORS + """, answers AS (SELECT vec_id, query AS key, 'Answer to ' || vec_id AS value,
   TIMESTAMP '2024-01-01' + to_hours(vec_id % 240) AS created_at, ((label + 1) * 86400)::INT AS ttl_s,
   TIMESTAMP '2024-01-01' + to_hours(vec_id % 240) + to_seconds((label + 1) * 86400) AS expires_at FROM x),
 live AS (SELECT * FROM answers WHERE NOT (TIMESTAMP '2024-01-11' > expires_at)),
-req AS (SELECT vec_id AS qid, 'Question number ' || vec_id || '?' AS query, embedding::DOUBLE[] AS e
-  FROM embeddings WHERE vec_id % 10 = 0 OR vec_id % 7 = 1),
+req AS (SELECT qid * 2 AS qid, query, e FROM q UNION ALL SELECT vec_id * 2 + 1, query, e FROM x),
 scored AS (SELECT qid, vec_id, x.query AS matched_query, round(list_cosine_similarity(req.e, x.e), 6) AS sim FROM req, x)"""
 
 
@@ -264,12 +267,16 @@ def documents(spark, sf) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
 
-def user_turns(spark, sf) -> DataFrame:
-    return table(spark, sf, "conversations").filter("role = 'user'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query")
+def turns(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"), "role"
     )
 
 
+def user_turns(spark, sf) -> DataFrame:
+    return turns(spark, sf).filter("role = 'user'").drop("role")
+
+
 NORMAL = (
     r"regexp_replace(trim(regexp_replace(lower({0}), '[\s\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g')), "
     r"'[^\p{{L}}\p{{N}}_\s]', '', 'g')"
