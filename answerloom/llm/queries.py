@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, sharding
+from . import decontaminate, forest, langid, licenses, lines, mixing, sharding, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,63 @@ SELECT doc_id, size, source_size, target, (greatest(0, least(a + size, floor(tar
 def op10(spark, sf):
     mixed = mixing.mix(read(spark, sf, "documents"))
     return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_line_dedup", r"""
+WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS line
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE len(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT k.*, first IS NULL OR first = k.doc_id AS stays FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(NOT stays)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM m GROUP BY doc_id""")
+def op3(spark, sf):
+    cut = lines.dedup_lines(read(spark, sf, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_language_id")
+def op4(spark, sf):
+    docs = read(spark, sf, "documents")
+    learned = langid.train(docs.filter(~langid.held_out()))
+    return langid.classify(docs, learned).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op5_warc_index", r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""")
+def op5(spark, sf):
+    back = warc.round_trip(spark, read(spark, sf, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op2_decontaminate", rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE len({_WORDS}) > 0),
+x AS (SELECT item_id, unnest([w[i:i + 9] FOR i IN range(1, greatest(1, len(w) - 9) + 1)]) AS v FROM b),
+n AS (SELECT DISTINCT len(v) AS n FROM x),
+p AS (SELECT doc_id, n, i, w[i:i + n - 1] AS v FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, n)),
+h AS (SELECT doc_id, n, i, item_id FROM p JOIN x USING (v)),
+c AS (SELECT doc_id, count(DISTINCT pos)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""")
+def op2(spark, sf):
+    return decontaminate.hits(read(spark, sf, "documents"), read(spark, sf, "benchmark")).drop("items")
+
+
+@query("op8_license_scan")
+def op8(spark, sf):
+    return licenses.scan(read(spark, sf, "documents"))[0]
+
+
+@query("op9_lsh_forest")
+def op9(spark, sf):
+    return forest.near_duplicates(read(spark, sf, "documents"), k=2)
