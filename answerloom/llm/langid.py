@@ -1,9 +1,12 @@
 """Language by compression: the language whose dictionary makes a text smallest.
 
 Each language gets a zstandard raw-content dictionary out of sampled training
-text. A text is cut into short pieces, so that its own past says little and the
-dictionary much, and every piece is compressed with every dictionary. The
-language with the smallest sum wins; a narrow margin rejects the document.
+text. A text is lower-cased, what is no letter becomes one space, and it is cut
+into short pieces, so that its own past says little and the dictionary much.
+Every piece is compressed with every dictionary. The language with the smallest
+sum wins; a narrow margin rejects the document. A short piece is padded with
+spaces, as zstandard stores what it can hardly shrink, and then all languages
+would be equal.
 
 One pass, no shuffle of text. What every task gets is the dictionaries, at most
 ``max_languages * dictionary_bytes``.
@@ -11,6 +14,7 @@ One pass, no shuffle of text. What every task gets is the dictionaries, at most
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,12 +23,18 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 UNKNOWN = "und"
+PAD_BELOW, PAD = 512, b" " * 128
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def fold(text: str) -> str:
+    return _NO_LETTERS.sub(" ", text.lower()).strip()
 
 
 def train(
     labelled: DataFrame, *, dictionary_bytes: int = 96 << 10, sample_docs: int = 384, max_languages: int = 256,
 ) -> dict[str, bytes]:
-    """Dictionary per language from (doc_id, text, lang).
+    """Dictionary per language from (doc_id, text, lang), the most frequent language first.
 
     The classifier is fitted on a bounded sample: of each of the ``max_languages``
     most frequent languages, the ``sample_docs`` documents with the smallest hash
@@ -33,10 +43,10 @@ def train(
     usable = labelled.filter("lang is not null and octet_length(text) > 0")
     narrow = usable.select("lang", F.xxhash64("doc_id").alias("_h"))
     # One row per language.
-    langs = narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    langs = [r["lang"] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     best = Window.partitionBy("lang").orderBy("_h")
     picked = (
-        narrow.join(F.broadcast(langs.select("lang")), "lang").withColumn("_r", F.row_number().over(best))
+        narrow.filter(F.col("lang").isin(langs)).withColumn("_r", F.row_number().over(best))
         .filter(F.col("_r") <= sample_docs).select("lang", "_h").distinct()
     )
     size = dictionary_bytes // sample_docs
@@ -44,20 +54,32 @@ def train(
     pieces = (
         usable.withColumn("_h", F.xxhash64("doc_id")).join(F.broadcast(picked), ["lang", "_h"])
         .select("lang", "_h", F.expr(f"substring(text, 1 + cast(pmod(_h, greatest(1, char_length(text) - {size})) as int), {size})").alias("t"))
-        .orderBy("lang", "_h", "t").collect()
+        .groupBy("lang", "_h").agg(F.min("t").alias("t")).orderBy("lang", "_h").collect()
     )
     whole: dict[str, list[bytes]] = {}
     for row in pieces:
-        whole.setdefault(row["lang"], []).append(row["t"].encode())
-    return {lang: b"\n".join(p)[:dictionary_bytes] for lang, p in whole.items()}
+        whole.setdefault(row["lang"], []).append(fold(row["t"]).encode())
+    learned = {lang: b" ".join(whole.get(lang, []))[:dictionary_bytes] for lang in langs}
+    return {lang: d for lang, d in learned.items() if len(d) >= 8}  # the least zstandard takes
+
+
+def pieces_of(text: str, size: int) -> list[bytes]:
+    raw = fold(text).encode()
+    cut = [raw[i:i + size] for i in range(0, len(raw), size)]
+    return [p + PAD if len(p) < PAD_BELOW else p for p in cut]
 
 
-def _cut(raw: bytes, size: int) -> list[bytes]:
-    return [raw[i:i + size] for i in range(0, len(raw), size)]
+def packer(dictionary: bytes, level: int, piece_bytes: int):
+    shape = zstandard.ZstdCompressionParameters.from_level(
+        level, dict_size=len(dictionary), source_size=piece_bytes, min_match=3,
+        write_checksum=False, write_content_size=False, write_dict_id=False)
+    own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=shape)
+    return zstandard.ZstdCompressor(compression_params=shape, dict_data=own).compress
 
 
 def classify(
-    docs: DataFrame, dictionaries: dict[str, bytes], *, narrow: float = 0.01, piece_bytes: int = 4096, level: int = 1,
+    docs: DataFrame, dictionaries: dict[str, bytes], *, narrow: float = 0.01, piece_bytes: int = 4096, level: int = 7,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per document: doc_id, lang_pred, score, rejected and the columns in ``carry``.
@@ -66,20 +88,16 @@ def classify(
     the compressed sizes, from 0 to 1. ``rejected`` where that is below
     ``narrow`` and where the language is ``und``: null text, no letter in it, or
     nothing learned. With a single language there is no margin and no rejection.
-    Ties go to the language that sorts first. Empty input gives no rows.
+    Ties go to the language that comes first in ``dictionaries``. Empty input
+    gives no rows.
     """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = list(dict.fromkeys(["doc_id", *[c for c in carry if c not in ("lang_pred", "score", "rejected")]]))
-    langs = sorted(dictionaries)
+    langs = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packers = []
-        for lang in langs:
-            own = zstandard.ZstdCompressionDict(shared.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=level)
-            packers.append(zstandard.ZstdCompressor(
-                level=level, dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False).compress)
+        packers = [packer(shared.value[lang], level, piece_bytes) for lang in langs]
         for batch in batches:
             pred, score, out = [], [], []
             for text in batch.column("text").to_pylist():
@@ -88,7 +106,7 @@ def classify(
                     score.append(0.0)
                     out.append(True)
                     continue
-                pieces = _cut(text.encode(), piece_bytes)
+                pieces = pieces_of(text, piece_bytes)
                 sizes = np.array([sum(len(pack(p)) for p in pieces) for pack in packers])
                 best = int(sizes.argmin())
                 rest = np.delete(sizes, best)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, forest, langid, licenses, lines, mixing, sharding, warc
+from . import decontaminate, forest, langid, licenses, lines, mixing, sharding, suffixes, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,11 @@ def op8(spark, sf):
 @query("op9_lsh_forest")
 def op9(spark, sf):
     return forest.near_duplicates(read(spark, sf, "documents"), k=2)
+
+
+@query("op7_suffix_family")
+def op7(spark, sf):
+    cut = suffixes.drop_repeats(read(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
