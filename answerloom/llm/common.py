@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import prepare
 
@@ -46,3 +49,21 @@ def let(value: Column, body) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fields(df: DataFrame, names: Sequence[str], more: str) -> StructType:
+    """Schema of some columns of ``df``, all nullable, and of those that ``more`` declares."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    out = StructType()
+    for name in names:
+        out.add(name, kinds[name])
+    for field in StructType.fromDDL(more):
+        out.add(field)
+    return out
+
+
+def without(docs: DataFrame, dropped: DataFrame, on: Sequence[str] = ("doc_id",), most: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows whose key is in ``dropped``, null alike null: broadcast while those are few, else shuffled."""
+    gone = dropped.select(*[F.col(c).alias(f"_gone_{c}") for c in on]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_gone_{c}")) for c in on]
+    return docs.join(F.broadcast(gone) if gone.count() <= most else gone, same, "left_anti")

@@ -191,7 +191,8 @@ def confirm_block(node: np.ndarray, side: np.ndarray, sizes: np.ndarray, shingle
 
 def confirmed_links(docs: DataFrame, parts: DataFrame, k: int, percent: int, block_shingles: int) -> DataFrame:
     """(src, dst) spanning links inside the parts (id, group_id), on full shingle sets."""
-    sizes = parts.groupBy("group_id").agg(F.sum("n_shingles").alias("_all"))
+    # Written out, so that the join below has plain shuffles on both sides and a hot part can be split.
+    sizes = stage(parts.groupBy("group_id").agg(F.sum("n_shingles").alias("_all")), "forest-sizes")
     cut = parts.join(sizes, "group_id").withColumn("_blocks", F.ceil(F.col("_all") / block_shingles).cast("int"))
     cut = stage(cut.withColumn("_block", F.pmod(F.xxhash64("id"), "_blocks").cast("int")).select("id", "group_id", "_blocks", "_block"), "forest-blocks")
     few = cut.count() <= BROADCAST_MEMBERS
@@ -262,6 +263,7 @@ def near_duplicates(
     links = stage(confirmed_links(docs, stage(sized, "forest-parts"), k, percent, block_shingles), "forest-confirmed")
     found = connected(links).select(F.col("id").alias("node"), "group_id")
     heads = classes.join(found, "node", "left").select("set_key", F.coalesce("group_id", "node").alias("component_id"))
+    heads = stage(heads, "forest-heads")  # plain shuffles on both sides below: a hot set can be split
     own = F.coalesce("component_id", "doc_id")
     out = signed.select("doc_id", "n_shingles", "set_key").join(heads, "set_key", "left")
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import fields
+
 UNKNOWN = "und"
 PAD_BELOW, PAD = 512, b" " * 128
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -91,7 +93,6 @@ def classify(
     Ties go to the language that comes first in ``dictionaries``. Empty input
     gives no rows.
     """
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = list(dict.fromkeys(["doc_id", *[c for c in carry if c not in ("lang_pred", "score", "rejected")]]))
     langs = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
@@ -118,7 +119,7 @@ def classify(
                 [batch.column(n) for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
                 [*names, "lang_pred", "score", "rejected"])
 
-    shape = ", ".join(f"`{n}` {fields[n]}" for n in names) + ", lang_pred string, score double, rejected boolean"
+    shape = fields(docs, names, "lang_pred string, score double, rejected boolean")
     return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(guess, shape)
 
 

@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
+from .common import fields
 
 PIECE = 1 << 16  # bytes of a filter that are merged at a time
 HASHES = 4
@@ -159,9 +160,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = 1 << 28, c
         .groupBy("_doc").agg(F.collect_set("digest").alias("drops"))
     )
     joined = rows.join(drops.hint("shuffle_hash"), "_doc", "left").drop("_doc")
-    fields = {f.name: f for f in docs.schema.fields}
     columns = ["doc_id", *names]
-    shape = ", ".join(f"`{n}` {fields[n].dataType.simpleString()}" for n in columns) + ", n_lines bigint, n_dropped bigint, kept binary"
+    shape = fields(docs, columns, "n_lines bigint, n_dropped bigint, kept binary")
 
     def cut(batches):
         for batch in batches:

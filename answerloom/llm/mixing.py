@@ -24,6 +24,7 @@ from ..session import stage
 from .common import SPACED_WORD, let
 
 BROADCAST_SOURCES = 10_000  # more sources are joined by shuffle
+BROADCAST_SLICES = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -200,6 +201,8 @@ def mix(
     rows = narrow.withColumn("_slice", F.substring("_key", 1, slice_digits)).withColumn(
         "_local", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     offsets = per_slice.select(F.col("source").alias("_s"), F.col("_slice").alias("_p"), "_offset")
+    if offsets.count() <= BROADCAST_SLICES:
+        offsets = F.broadcast(offsets)
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_p")))
     rows = rows.join(plan.withColumnRenamed("source", "_t"), F.col("source").eqNullSafe(F.col("_t")))
     begin = F.col("_offset") + F.col("_local")
@@ -228,10 +231,10 @@ def taken(mixed: DataFrame) -> DataFrame:
 
 def copies(docs: DataFrame, **settings) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, to the nearest whole, same columns as ``docs``."""
-    columns = docs.columns
-    mixed = taken(mix(docs.select(*columns), carry=columns, **settings))
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_row"))
+    mixed = taken(mix(whole, carry=["_row"], **settings))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*columns)
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(0), times))).select("_row.*")
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, forest, langid, licenses, lines, mixing, sharding, suffixes, warc
+from . import decontaminate, forest, imatch, langid, licenses, lines, mixing, sharding, suffixes, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def op7(spark, sf):
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])
     return cut.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_imatch")
+def op6(spark, sf):
+    return imatch.fingerprints(read(spark, sf, "documents"))

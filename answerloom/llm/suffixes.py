@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import new_path, stage
+from .common import fields
 
 WINDOW, GRAM = 200, 32  # GRAM: a power of two, at most the window
 SEGMENT = 1 << 20  # starts worked on at a time
@@ -140,9 +141,9 @@ def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _write_sorted(rows: DataFrame, name: str) -> DataFrame:
-    """A suffix array: dealt by head and sorted, written once."""
+    """A suffix array: dealt by head, a head with very many places over several tasks, and sorted; written once."""
     path = new_path(rows.sparkSession, name)
-    rows.repartition("head").sortWithinPartitions("head", "context").write.option("compression", "zstd").parquet(path)
+    rows.hint("rebalance", "head").sortWithinPartitions("head", "context").write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(_ANCHORS).parquet(path)
 
 
@@ -276,7 +277,7 @@ def repeated_starts(texts: DataFrame, batches: int, window: int, gram: int) -> D
     hit = stage(family.rows().join(F.broadcast(heads) if few else heads, "head", "left_semi"), "suffix-hits")
     classes = stage(hit.groupBy("head", "context").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct("doc", "start", "n")).alias("one")), "suffix-classes")
-    several = classes.groupBy("head").agg(F.count(F.lit(1)).alias("_contexts")).filter("_contexts > 1")
+    several = stage(classes.groupBy("head").agg(F.count(F.lit(1)).alias("_contexts")).filter("_contexts > 1"), "suffix-several")
     ones = classes.join(several, "head").select("head", "one.*", (F.col("_contexts") > FEW_CONTEXTS).alias("many"))
     alike = classes.filter("_n > 1").select("head", "context")
     whole = hit.join(alike, ["head", "context"]).select("doc", "start", "n")
@@ -312,7 +313,6 @@ def drop_repeats(
     few = runs.count() <= BROADCAST_RUNS
     spans = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1).alias("end")))).alias("cut"))
     joined = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), "doc", "left")
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     columns = ["doc_id", *names]
 
     def drop(batches_):
@@ -334,5 +334,5 @@ def drop_repeats(
                     pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(kept, pa.binary())], [*columns, "n_bytes", "spans", "kept"])
 
-    shape = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
+    shape = fields(docs, columns, "n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
     return joined.mapInArrow(drop, shape)
