@@ -51,6 +51,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pack(names: Sequence[str]) -> list[Column]:
+    """Carried columns as one struct, so that no name of theirs meets one of an operator's own."""
+    return [F.struct(*names).alias("_carry")] if names else []
+
+
+def packed(names: Sequence[str]) -> list[str]:
+    return ["_carry"] if names else []
+
+
+def unpack(names: Sequence[str]) -> list[Column]:
+    return [F.col("_carry").getField(n).alias(n) for n in names]
+
+
 def fields(df: DataFrame, names: Sequence[str], more: str) -> StructType:
     """Schema of some columns of ``df``, all nullable, and of those that ``more`` declares."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

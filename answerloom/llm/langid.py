@@ -22,7 +22,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fields
+from .common import fields, pack, packed, unpack
 
 UNKNOWN = "und"
 PAD_BELOW, PAD = 512, b" " * 128
@@ -93,7 +93,8 @@ def classify(
     Ties go to the language that comes first in ``dictionaries``. Empty input
     gives no rows.
     """
-    names = list(dict.fromkeys(["doc_id", *[c for c in carry if c not in ("lang_pred", "score", "rejected")]]))
+    names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "lang_pred", "score", "rejected")]
+    columns = ["doc_id", *packed(names)]
     langs = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
@@ -116,11 +117,12 @@ def classify(
                 score.append(ahead)
                 out.append(ahead < narrow)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
-                [*names, "lang_pred", "score", "rejected"])
+                [batch.column(c) for c in columns] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())],
+                [*columns, "lang_pred", "score", "rejected"])
 
-    shape = fields(docs, names, "lang_pred string, score double, rejected boolean")
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(guess, shape)
+    rows = docs.select("doc_id", "text", *pack(names))
+    shape = fields(rows, columns, "lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(guess, shape).select("doc_id", "lang_pred", "score", "rejected", *unpack(names))
 
 
 def held_out():

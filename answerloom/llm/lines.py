@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .common import fields
+from .common import fields, pack, packed, unpack
 
 PIECE = 1 << 16  # bytes of a filter that are merged at a time
 HASHES = 4
@@ -138,7 +138,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = 1 << 28, c
     names = [c for c in carry if c not in ("doc_id", "n_lines", "n_dropped", "kept_text")]
     twice = spark.sparkContext.broadcast(seen_twice(docs, min_chars, max_bits))
     m = len(twice.value) * 8
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).cast("bigint").alias("_doc"), F.encode("text", "utf-8").alias("raw"), *names)
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).cast("bigint").alias("_doc"), F.encode("text", "utf-8").alias("raw"), *pack(names))
 
     def suspects(batches):
         for batch in batches:
@@ -155,13 +155,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = 1 << 28, c
 
     met = stage(rows.select("_doc", "raw").mapInArrow(suspects, "digest binary, _doc bigint"), "line-suspects")
     first = met.groupBy("digest").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).filter("_first < _last")
+    first = stage(first, "line-firsts")  # plain shuffles on both sides below: a hot line can be split
     drops = (
         met.join(first.select("digest", "_first"), "digest").filter("_doc <> _first")
         .groupBy("_doc").agg(F.collect_set("digest").alias("drops"))
     )
     joined = rows.join(drops.hint("shuffle_hash"), "_doc", "left").drop("_doc")
-    columns = ["doc_id", *names]
-    shape = fields(docs, columns, "n_lines bigint, n_dropped bigint, kept binary")
+    columns = ["doc_id", *packed(names)]
+    shape = fields(rows, columns, "n_lines bigint, n_dropped bigint, kept binary")
 
     def cut(batches):
         for batch in batches:
@@ -182,4 +183,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = 1 << 28, c
                 [batch.column(c) for c in columns] + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())],
                 [*columns, "n_lines", "n_dropped", "kept"])
 
-    return joined.mapInArrow(cut, shape).select(*columns, "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
+    return joined.mapInArrow(cut, shape).select(
+        "doc_id", *unpack(names), "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))

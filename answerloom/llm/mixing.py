@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
-from .common import SPACED_WORD, let
+from .common import SPACED_WORD, let, pack, unpack
 
 BROADCAST_SOURCES = 10_000  # more sources are joined by shuffle
 BROADCAST_SLICES = 1_000_000
@@ -178,10 +178,10 @@ def mix(
     its own, last; null doc_id sorts as the text 'null'. Whole repeated rows
     count each. Empty input gives no rows.
     """
-    names = [c for c in carry if c not in ("doc_id", "source", "size")]
+    names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "source", "size", "source_size", "target", "draws")]
     narrow = stage(docs.select(
         F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"), *names,
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_key"), *pack(names),
     ), "mix-sizes")
     per_slice = narrow.groupBy("source", F.substring("_key", 1, slice_digits).alias("_slice")).agg(F.sum("size").alias("_words"))
     earlier = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -221,7 +221,7 @@ def mix(
         ))), lambda d: d["words"] > 0))
 
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(epochs, pieces)).alias("draws"), *names)
+        "doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(epochs, pieces)).alias("draws"), *unpack(names))
 
 
 def taken(mixed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
-from .common import partitions
+from .common import pack, packed, partitions, unpack
 
 DIMENSIONS = ("source", "lang", "n_chars")
 
@@ -90,12 +90,12 @@ def hilbert_shards(
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = [c for c in carry if c not in ("doc_id", "size", "text_crc32", "curve")]
-    kept = list(dict.fromkeys(["doc_id", "text", *dimensions, *names]))
-    narrow = stage(quantise(docs.select(*kept), dimensions, bits).select(
+    names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "size", "text_crc32", "curve", "rank", "shard", "slot")]
+    kept = dict.fromkeys(["doc_id", "text", *dimensions])
+    narrow = stage(quantise(docs.select(*kept, *pack(names)), dimensions, bits).select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        F.col("_curve").alias("curve"), F.xxhash64(text).alias("_text_hash"), *names,
+        F.col("_curve").alias("curve"), F.xxhash64(text).alias("_text_hash"), *packed(names),
     ), "shard-cells")
     order = ["curve", "_text_hash", "doc_id", "size", "text_crc32"]
     placed = stage(
@@ -114,7 +114,7 @@ def hilbert_shards(
     ranked = ranked.withColumn("shard", F.expr(f"rank * {shards} div _rows").cast("int"))
     first = F.expr(f"(shard * _rows + {shards - 1}) div {shards}")
     return ranked.select(
-        "doc_id", "size", "text_crc32", "curve", "rank", "shard", (F.col("rank") - first).cast("bigint").alias("slot"), *names)
+        "doc_id", "size", "text_crc32", "curve", "rank", "shard", (F.col("rank") - first).cast("bigint").alias("slot"), *unpack(names))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

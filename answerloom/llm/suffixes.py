@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import new_path, stage
-from .common import fields
+from .common import fields, pack, packed, unpack
 
 WINDOW, GRAM = 200, 32  # GRAM: a power of two, at most the window
 SEGMENT = 1 << 20  # starts worked on at a time
@@ -308,12 +308,12 @@ def drop_repeats(
     most = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
     unique = (most[0] or 0) <= 1 and not most[1]
     uid = F.col("doc_id").cast("bigint") if unique else F.xxhash64("doc_id", "text")
-    rows = docs.select(uid.alias("doc"), "doc_id", raw.alias("raw"), *names)
+    rows = docs.select(uid.alias("doc"), "doc_id", raw.alias("raw"), *pack(names))
     runs = repeated_starts(rows.select("doc", "raw"), batches, window, gram)
     few = runs.count() <= BROADCAST_RUNS
     spans = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + window - 1).alias("end")))).alias("cut"))
     joined = rows.join(F.broadcast(spans) if few else spans.hint("shuffle_hash"), "doc", "left")
-    columns = ["doc_id", *names]
+    columns = ["doc_id", *packed(names)]
 
     def drop(batches_):
         for batch in batches_:
@@ -334,5 +334,5 @@ def drop_repeats(
                     pa.array(sizes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array(kept, pa.binary())], [*columns, "n_bytes", "spans", "kept"])
 
-    shape = fields(docs, columns, "n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
-    return joined.mapInArrow(drop, shape)
+    shape = fields(rows, columns, "n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    return joined.mapInArrow(drop, shape).select("doc_id", "n_bytes", "spans", "kept", *unpack(names))
