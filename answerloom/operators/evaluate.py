@@ -31,7 +31,7 @@ def sample_pairs(pairs: DataFrame, per_class: int, seed: int = 42) -> DataFrame:
         order = [F.col("draw"), F.col("pair_id")]
         ranked = rank_in_group(drawn, ["is_duplicate"], order, [F.substring("draw", 1, 3)], name="class_rank")
     else:
-        ranked = drawn.withColumn("class_rank", F.row_number().over(w))
+        ranked = drawn.withColumn("class_rank", F.row_number().over(w).cast("bigint"))
     return ranked.filter(F.col("class_rank") <= per_class)
 
 

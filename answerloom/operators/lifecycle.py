@@ -106,7 +106,7 @@ def lru_retained(log: DataFrame, capacity: int) -> DataFrame:
     if capacity > WINDOW_ROWS:
         return mru_order(log).filter(F.col("mru_rank") <= capacity - 1)
     w = Window.partitionBy("cache_id").orderBy(F.col("last_access").desc(), F.col("last_seq").desc())
-    return _touched(log).withColumn("mru_rank", F.row_number().over(w)).filter(F.col("mru_rank") <= capacity - 1)
+    return _touched(log).withColumn("mru_rank", F.row_number().over(w).cast("bigint")).filter(F.col("mru_rank") <= capacity - 1)
 
 
 def lru_sample(log: DataFrame, n: int = 10) -> DataFrame:
@@ -178,6 +178,33 @@ def _spaced(gap_us: int, side: str):
     return advance
 
 
+def _spacing(gap_us: int, side: str):
+    """What a slice does to the last chosen time: (upto, leaving), and how to apply it.
+
+    From every row the next chosen one is a search away; doubling those steps
+    gives the last row chosen when the choice starts there. Starts with the same
+    end are one step of the function.
+    """
+
+    def transfer(cols):
+        t = np.asarray(cols["at_us"], dtype=np.int64)
+        step = np.searchsorted(t, t + gap_us, side=side)
+        step = np.where(step < len(t), step, np.arange(len(t)))
+        while True:
+            further = step[step]
+            if np.array_equal(further, step):
+                break
+            step = further
+        ends = np.flatnonzero(np.concatenate([step[1:] != step[:-1], [True]])) if len(t) else np.empty(0, np.int64)
+        return t[ends], t[step[ends]]
+
+    def apply(last, upto, leaving):
+        at = 0 if last is None else int(np.searchsorted(upto, last + gap_us, side=side))
+        return int(leaving[at]) if at < len(leaving) else last
+
+    return transfer, apply
+
+
 def spaced_rows(df: DataFrame, group, order, gap_s: float, name: str, strict: bool, slices=None) -> DataFrame:
     """Marks rows chosen greedily per group: the first, then the next one a gap later.
 
@@ -185,7 +212,8 @@ def spaced_rows(df: DataFrame, group, order, gap_s: float, name: str, strict: bo
     """
     result = T.StructType([T.StructField(name, T.BooleanType())])
     side = "right" if strict else "left"
-    fold = Fold(("at_us",), result, lambda: None, _spaced(int(gap_s * 1_000_000), side))
+    gap_us = int(gap_s * 1_000_000)
+    fold = Fold(("at_us",), result, lambda: None, _spaced(gap_us, side), *_spacing(gap_us, side))
     timed = df.withColumn("at_us", micros(F.col(order[0])))
     return ordered_fold(timed, list(group), list(order), fold, slices).drop("at_us")
 

@@ -112,7 +112,14 @@ def write_back(answers: DataFrame, entries: DataFrame, ttl_scale: int = 1) -> Da
         "key", "level", "value", F.col("ts").alias("created_at"),
         ttl_for(F.col("level"), F.col("ttl"), ttl_scale).alias("ttl_s"),
     ).withColumn("expires_at", expires_at(F.col("created_at"), F.col("ttl_s")))
-    known = written.filter(F.col("level").isin(*LEVELS))
-    both = entries.select(known.columns).withColumn("_new", F.lit(0)).unionByName(known.withColumn("_new", F.lit(1)))
+    known = stage(written.filter(F.col("level").isin(*LEVELS)), "written")
+    # Only keys that are written are aggregated; the rest of the store passes through.
+    touched = known.select("key", "level").distinct()
+    store = entries.select(known.columns)
+    both = (
+        store.join(touched, ["key", "level"], "left_semi").withColumn("_new", F.lit(0))
+        .unionByName(known.withColumn("_new", F.lit(1)))
+    )
     newest = F.max_by(F.struct("value", "created_at", "ttl_s", "expires_at"), F.struct("created_at", "_new", "value"))
-    return both.groupBy("key", "level").agg(newest.alias("e")).select("key", "level", "e.*")
+    merged = both.groupBy("key", "level").agg(newest.alias("e")).select("key", "level", "e.*")
+    return store.join(touched, ["key", "level"], "left_anti").unionByName(merged)

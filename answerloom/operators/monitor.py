@@ -22,9 +22,17 @@ MEMORY_WARNING, MEMORY_CRITICAL, HIT_RATE_LOW, SYSTEM_MEMORY_HIGH = 0.8, 0.95, 0
 ALERT_COOLDOWN_S = 300
 HISTORY_SIZE, ALERT_SIZE = 1000, 100
 
+# Alert texts.
+MEMORY_CRITICAL_TEXT = "Cache memory usage critical: "
+MEMORY_WARNING_TEXT = "Cache memory usage high: "
+HIT_RATE_TEXT = "Cache hit rate low: "
+SYSTEM_MEMORY_TEXT = "System memory usage critical: "
+
 # Recommendation texts.
 GROW_CACHE = "Consider increasing cache size or adjusting TTL values"
 SHRINK_CACHE = "Consider reducing cache size or implementing more aggressive eviction"
+CURRENT_MEMORY = ("memory_optimization", "high", "High memory usage detected", SHRINK_CACHE)
+CURRENT_HIT_RATE = ("hit_rate_optimization", "medium", "Low hit rate detected", GROW_CACHE)
 MEMORY_ADVICE = (
     "Consider reducing cache size", "Implement more aggressive eviction policy", "Monitor memory usage closely",
 )
@@ -110,14 +118,11 @@ def level_info(entries: DataFrame) -> DataFrame:
 
 
 def metrics_window(log: DataFrame, duration: str = "30 seconds") -> DataFrame:
-    """Metric history from an access log with ``op`` and ``value``; also fits a stream."""
-    op = F.col("op")
-    hits, misses = F.count_if(op.isin("view", "click")), F.count_if(op == "error")
+    """Metric history from a log with booleans ``is_hit``, ``is_miss``, ``is_set`` and ``value``; also fits a stream."""
     return (
         log.groupBy(F.window("ts", duration).alias("w"))
         .agg(
-            hits.alias("hits"), misses.alias("misses"),
-            F.count_if(op.isin("signup", "purchase")).alias("sets"),
+            F.count_if("is_hit").alias("hits"), F.count_if("is_miss").alias("misses"), F.count_if("is_set").alias("sets"),
             F.round(F.sum("value"), 2).alias("memory"), F.count(F.lit(1)).alias("operations"),
         )
         .select(F.col("w.start").alias("ts"), "hits", "misses", "sets", "memory", "operations")
@@ -127,9 +132,9 @@ def metrics_window(log: DataFrame, duration: str = "30 seconds") -> DataFrame:
 
 # --------------------------------------------------------------- history
 
-def history_tail(history: DataFrame, n: int = HISTORY_SIZE) -> DataFrame:
-    """The ``n`` latest rows; a bounded top-n, not a window over everything."""
-    return history.orderBy(F.col("ts").desc()).limit(n)
+def history_tail(history: DataFrame, n: int | None = HISTORY_SIZE) -> DataFrame:
+    """The ``n`` latest rows; a bounded top-n, not a window over everything. None: all rows."""
+    return history if n is None else history.orderBy(F.col("ts").desc()).limit(n)
 
 
 def _recent_and_older(history: DataFrame, value: str, true_mean: bool = False) -> DataFrame:
@@ -180,24 +185,30 @@ def _share_text(percentage):
 
 
 def threshold_alerts(history: DataFrame, system_memory: str | None = None) -> DataFrame:
-    """Raw alerts (ts, level, category, message) each sample gives rise to."""
+    """Raw alerts (ts, level, category, message, details) each sample gives rise to.
+
+    ``details`` has the value and the threshold it was held against, in percent.
+    """
     memory, rate = F.col("cache_memory_usage"), F.col("cache_hit_rate")
 
-    def alert(level, category, text, value):
+    def alert(level, category, text, value, threshold):
         return F.struct(
             F.lit(level).alias("level"), F.lit(category).alias("category"),
             F.concat(F.lit(text), _share_text(value)).alias("message"),
+            F.create_map(
+                F.lit("value"), F.round(value, 6).cast("string"), F.lit("threshold"), F.lit(str(100 * threshold)),
+            ).alias("details"),
         )
 
     found = [
-        F.when(memory / 100 >= MEMORY_CRITICAL, alert("critical", "memory", "Cache memory usage critical: ", memory))
-        .when(memory / 100 >= MEMORY_WARNING, alert("warning", "memory", "Cache memory usage high: ", memory)),
-        F.when(rate / 100 < HIT_RATE_LOW, alert("warning", "performance", "Cache hit rate low: ", rate)),
+        F.when(memory / 100 >= MEMORY_CRITICAL, alert("critical", "memory", MEMORY_CRITICAL_TEXT, memory, MEMORY_CRITICAL))
+        .when(memory / 100 >= MEMORY_WARNING, alert("warning", "memory", MEMORY_WARNING_TEXT, memory, MEMORY_WARNING)),
+        F.when(rate / 100 < HIT_RATE_LOW, alert("warning", "performance", HIT_RATE_TEXT, rate, HIT_RATE_LOW)),
     ]
     if system_memory:
         used = F.col(system_memory)
         found.append(
-            F.when(used / 100 >= SYSTEM_MEMORY_HIGH, alert("critical", "memory", "System memory usage critical: ", used))
+            F.when(used / 100 >= SYSTEM_MEMORY_HIGH, alert("critical", "memory", SYSTEM_MEMORY_TEXT, used, SYSTEM_MEMORY_HIGH))
         )
     return history.select("ts", F.explode(F.filter(F.array(*found), lambda a: a.isNotNull())).alias("a")).select("ts", "a.*")
 
@@ -241,19 +252,39 @@ def recommendations_recent(history: DataFrame) -> DataFrame:
     return recent.filter("n = 10").select(F.explode(F.filter(found, lambda a: a.isNotNull())).alias("a")).select("a.*")
 
 
-def performance_summary(history: DataFrame, alerts: DataFrame, now) -> DataFrame:
-    """One row: latest sample, trend, alert counts, time covered, advice."""
-    tail = history_tail(history)
-    sample = F.struct("cache_hit_rate", "cache_memory_usage")
+def current_recommendations(history: DataFrame) -> DataFrame:
+    """(type, priority, message, action) that the latest sample gives rise to."""
+    latest = history.agg(F.max_by(F.struct("cache_hit_rate", "cache_memory_usage"), "ts").alias("m"))
+
+    def advice(kind, priority, message, action):
+        return F.struct(*[F.lit(v).alias(n) for n, v in zip(("type", "priority", "message", "action"), (kind, priority, message, action))])
+
+    found = F.array(
+        F.when(F.col("m.cache_memory_usage") > 80, advice(*CURRENT_MEMORY)),
+        F.when(F.col("m.cache_hit_rate") < 50, advice(*CURRENT_HIT_RATE)),
+    )
+    return latest.select(F.explode(F.filter(found, lambda a: a.isNotNull())).alias("a")).select("a.*")
+
+
+def performance_summary(
+    history: DataFrame, alerts: DataFrame, now, keep: int | None = None, keep_alerts: int | None = None,
+) -> DataFrame:
+    """One row: latest sample whole, trend, alert counts, time covered, advice.
+
+    Counts and the time covered are over all rows given, or over the ``keep``
+    latest samples and ``keep_alerts`` latest alerts.
+    """
+    tail = history_tail(history, keep)
+    sample = F.struct(*[c for c in history.columns if c != "ts"])
     latest = tail.agg(F.max_by(sample, "ts").alias("m"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    kept = history_tail(alerts, ALERT_SIZE).agg(
+    kept = history_tail(alerts, keep_alerts).agg(
         F.count(F.lit(1)).alias("total_alerts"),
         F.count_if(micros(F.lit(now)) - micros(F.col("ts")) < 3600 * 1_000_000).alias("recent_alerts"),
     )
     advice = F.concat_ws(
         "; ",
-        F.when(F.col("m.cache_memory_usage") > 80, "High memory usage detected"),
-        F.when(F.col("m.cache_hit_rate") < 50, "Low hit rate detected"),
+        F.when(F.col("m.cache_memory_usage") > 80, CURRENT_MEMORY[2]),
+        F.when(F.col("m.cache_hit_rate") < 50, CURRENT_HIT_RATE[2]),
     )
     head = latest.filter("last_ts is not null").select(
         "last_ts", "m.*", ((micros(F.lit(now)) - micros(F.col("first_ts"))) / 1e6).alias("monitoring_duration"),
@@ -262,9 +293,12 @@ def performance_summary(history: DataFrame, alerts: DataFrame, now) -> DataFrame
     return beside(head, hit_rate_trend(history), kept)
 
 
-def monitoring_stats(history: DataFrame, alerts: DataFrame) -> DataFrame:
-    h = history_tail(history).agg(
+def monitoring_stats(
+    history: DataFrame, alerts: DataFrame, keep: int | None = None, keep_alerts: int | None = None,
+) -> DataFrame:
+    """Sizes of history and alerts, all rows unless bounds are given."""
+    h = history_tail(history, keep).agg(
         F.count(F.lit(1)).alias("performance_history_size"), F.max("ts").alias("last_monitoring")
     )
-    a = history_tail(alerts, ALERT_SIZE).agg(F.count(F.lit(1)).alias("total_alerts"))
+    a = history_tail(alerts, keep_alerts).agg(F.count(F.lit(1)).alias("total_alerts"))
     return beside(h, a)

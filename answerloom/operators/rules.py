@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import micros, percent, ttl_for
-from ..schemas import RULES
-from ..session import beside
+from ..schemas import LEVELS, RULES
+from ..session import beside, broadcast_if_small
 from .similarity import drift
 
 # The default rules.
@@ -18,6 +18,9 @@ DEFAULT_RULES = [
 ]
 
 
+VERSION_SPAN = (1 << 61) - 1  # a corpus version has 61 bits
+
+
 def default_rules(spark) -> DataFrame:
     return spark.createDataFrame(DEFAULT_RULES, RULES)
 
@@ -34,32 +37,34 @@ def changed_versions(versions: DataFrame) -> DataFrame:
 def apply_rules(triggers: DataFrame, rules: DataFrame) -> DataFrame:
     """Triggers (rule_type, level) that a rule covers, with its action.
 
-    Rules are configuration, a handful of rows; the first ``len`` of them are
-    not data and are broadcast.
     """
     covers = F.expr("array_contains(affected_levels, level) or array_contains(affected_levels, 'all')")
     return (
-        triggers.join(F.broadcast(rules), "rule_type").filter(covers)
+        triggers.join(broadcast_if_small(rules), "rule_type").filter(covers)
         .select("rule_type", "level", "action", "description")
     )
 
 
+def _dropped_levels(actions: DataFrame) -> DataFrame:
+    """Names of the levels to drop: as many rows as there are levels at most, so they are broadcast."""
+    gone = actions.filter("action = 'invalidate'").filter(F.col("level").isin(*LEVELS))
+    return F.broadcast(gone.select("level").distinct())
+
+
 def invalidate(entries: DataFrame, actions: DataFrame) -> DataFrame:
     """Entries left after dropping every level with an ``invalidate`` action."""
-    gone = actions.filter("action = 'invalidate'").select("level").distinct()
-    return entries.join(gone, "level", "left_anti")
+    return entries.join(_dropped_levels(actions), "level", "left_anti")
 
 
 def invalidated(entries: DataFrame, actions: DataFrame) -> DataFrame:
     """The entries that :func:`invalidate` drops."""
-    gone = actions.filter("action = 'invalidate'").select("level").distinct()
-    return entries.join(gone, "level", "left_semi")
+    return entries.join(_dropped_levels(actions), "level", "left_semi")
 
 
 def corpus_version(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row ``version``: the same for the same set of texts in any order."""
-    part = F.conv(F.substring(F.md5(F.encode(F.col(text), "UTF-8")), 1, 8), 16, 10).cast("decimal(38,0)")
-    return documents.agg((F.coalesce(F.sum(part), F.lit(0)) % 1_000_000_007).cast("bigint").alias("version"))
+    part = F.conv(F.substring(F.md5(F.encode(F.col(text), "UTF-8")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return documents.agg((F.coalesce(F.sum(part), F.lit(0)) % VERSION_SPAN).cast("bigint").alias("version"))
 
 
 def drift_refresh(entries: DataFrame, history: DataFrame, now, limit: float = 0.1, ttl_scale: int = 1) -> DataFrame:

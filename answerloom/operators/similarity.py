@@ -153,11 +153,13 @@ def reuse_embeddings(
 
 def drift(history: DataFrame, limit: float = 0.1, keep: int = 10) -> DataFrame:
     """(query_hash, drift) where first and last of the last ``keep`` vectors differ."""
-    w = Window.partitionBy("query_hash").orderBy(F.col("ts").desc())
+    # Equal times are told apart by the vectors, so reruns agree.
+    w = Window.partitionBy("query_hash").orderBy(F.col("ts").desc(), F.col("embedding").desc())
     recent = history.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= keep)
     ends = recent.groupBy("query_hash").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min_by("embedding", "ts").alias("first"), F.max_by("embedding", "ts").alias("last"),
+        F.min_by("embedding", F.struct("ts", "embedding")).alias("first"),
+        F.max_by("embedding", F.struct("ts", "embedding")).alias("last"),
     )
     return (
         ends.filter("n >= 2")

@@ -2,13 +2,15 @@
 
 The rows are range-partitioned on (group, order), so a huge group is cut into
 many consecutive slices. Only groups that cross a slice boundary need a
-hand-over: their part of a slice is folded with a guessed entering state, the
-leaving states (one per slice) are handed on, and slices whose entering state
-turned out different are folded again. A slice holding several groups never
-needs a second look, and for caches or cooldowns the state soon stops depending
-on how it began, so few rounds are needed. Whatever the data, the loop ends
-only when every hand-over agrees, which is exactly the sequential result; a
-last pass then emits. Memory per task: one Arrow batch and one state.
+hand-over. Where a fold can say what a slice does to any entering state (its
+transfer function, a small table), every slice says so once, the tables are
+applied one after the other, and the number of jobs does not depend on slices
+or data. Other folds guess: their part of a slice is folded with a guessed
+entering state, the leaving states (one per slice) are handed on, and slices
+whose entering state turned out different are folded again, until every
+hand-over agrees, which is exactly the sequential result; that can take as many
+rounds as there are slices. A last pass then emits. Memory per task: one Arrow
+batch and one state, or one slice's transfer function.
 """
 
 from __future__ import annotations
@@ -33,13 +35,17 @@ class Fold:
 
     ``columns`` maps each input name to a list or numpy array; ``outputs`` is a
     list of equally long lists, one per field of ``result``. States must go
-    through JSON unchanged.
+    through JSON unchanged. ``transfer(columns)`` of all rows of a slice gives
+    sorted ``(upto, leaving)`` numbers and ``apply(state, upto, leaving)`` the
+    state that leaves, for states that are null or one whole number.
     """
 
     inputs: tuple[str, ...]
     result: T.StructType
     start: Callable[[], Any]
     advance: Callable[[Any, dict[str, Any]], tuple[Any, list]]
+    transfer: Callable[[dict[str, Any]], tuple[np.ndarray, np.ndarray]] | None = None
+    apply: Callable[[Any, np.ndarray, np.ndarray], Any] | None = None
 
 
 def _column(batch: pa.RecordBatch, name: str):
@@ -109,6 +115,51 @@ def _emit(fold: Fold, entering: dict[int, str], keep: Sequence[str], arrow_types
     return run
 
 
+def _composed(fold: Fold, narrow: DataFrame, last_group: dict[int, str]) -> dict[int, str]:
+    """State that leaves each of these slices: all transfer functions in one pass, applied in order in another.
+
+    A state, one whole number, comes back per slice.
+    """
+    spark = narrow.sparkSession
+    last = F.broadcast(spark.createDataFrame(list(last_group.items()), "_slice int, _group string"))  # a row per slice
+
+    def tables(batches):
+        held, at = [], None
+
+        def out():
+            columns = {n: np.concatenate([np.asarray(c[n]) for c in held]) for n in fold.inputs}
+            upto, leaving = fold.transfer(columns)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([at[0]], pa.int32()), pa.array([at[1]]), pa.array([upto.astype("<i8").tobytes()]), pa.array([leaving.astype("<i8").tobytes()])],
+                names=["_slice", "_group", "upto", "leaving"])
+
+        for batch in batches:
+            columns = {n: _column(batch, n) for n in fold.inputs}
+            for s, g, a, b in _runs(batch):
+                if at is not None and (s, g) != at:
+                    yield out()
+                    held = []
+                at = (s, g)
+                held.append({n: c[a:b] for n, c in columns.items()})
+        if held:
+            yield out()
+
+    def walk(batches):
+        group = state = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["_group"] != group:
+                    group, state = row["_group"], fold.start()
+                state = fold.apply(state, np.frombuffer(row["upto"], "<i8"), np.frombuffer(row["leaving"], "<i8"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["_slice"]], pa.int32()), pa.array([json.dumps(state)])], names=["_slice", "leaving"])
+
+    found = narrow.join(last, ["_slice", "_group"], "left_semi").mapInArrow(
+        tables, "_slice int, _group string, upto binary, leaving binary")
+    in_order = found.repartition("_group").sortWithinPartitions("_group", "_slice")
+    return {r["_slice"]: r["leaving"] for r in in_order.mapInArrow(walk, _SUMMARY).collect()}
+
+
 def ordered_fold(
     df: DataFrame,
     group: Sequence[str],
@@ -121,7 +172,7 @@ def ordered_fold(
 
     spark = df.sparkSession
     slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    group_key = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in group])
+    group_key = F.md5(F.to_json(F.struct(*group)))
     laid_out = stage_ordered(
         df.withColumn("_group", group_key)
         .repartitionByRange(slices, "_group", *order)
@@ -145,6 +196,13 @@ def ordered_fold(
         return {r["_slice"]: r["leaving"] for r in found}
 
     handing = sorted(set(came_from.values()))
+    keep = list(df.columns)
+    schema = T.StructType([*df.schema.fields, *fold.result.fields])
+    arrow_types = [to_arrow_type(f.dataType) for f in fold.result.fields]
+    if fold.transfer is not None:
+        leaving = _composed(fold, narrow, {s: bounds[s][1] for s in handing}) if handing else {}
+        entering = {s: leaving[p] for s, p in came_from.items()}
+        return laid_out.mapInArrow(_emit(fold, entering, keep, arrow_types), schema)
     leaving = leave(handing, {}) if handing else {}
     entering: dict[int, str] = {}
     while True:
@@ -159,7 +217,4 @@ def ordered_fold(
             break
         leaving.update(leave(moved, {s: linked[s] for s in moved}))
 
-    keep = list(df.columns)
-    schema = T.StructType([*df.schema.fields, *fold.result.fields])
-    arrow_types = [to_arrow_type(f.dataType) for f in fold.result.fields]
     return laid_out.mapInArrow(_emit(fold, entering, keep, arrow_types), schema)

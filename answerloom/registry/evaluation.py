@@ -15,7 +15,7 @@ SWEEP = (0.3, 0.35, 0.4, 0.65, 0.75, 0.85)
 
 
 @query("pair_sample", f"""WITH {PAIRS}, d AS (SELECT pair_id, q1, q2, is_duplicate, md5(pair_id || '-42') AS draw FROM pairs)
-SELECT pair_id, q1, q2, is_duplicate, draw, row_number() OVER (PARTITION BY is_duplicate ORDER BY draw, pair_id)::INT AS class_rank
+SELECT pair_id, q1, q2, is_duplicate, draw, row_number() OVER (PARTITION BY is_duplicate ORDER BY draw, pair_id) AS class_rank
 FROM d QUALIFY class_rank <= 20""")
 def pair_sample(spark, sf):
     return ev.sample_pairs(pairs(spark, sf), 20)

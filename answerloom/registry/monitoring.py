@@ -7,7 +7,7 @@ from ..session import beside
 from . import query
 from .similarity import _DRIFT, history as vector_history
 from .views import (
-    ALERTS, ENTRIES, HISTORY, LOG, NOW, SLOW_ALERTS, access_log, documents, entries, events, metrics_history, now,
+    ALERTS, ENTRIES, HISTORY, LOG, NOW, SLOW_ALERTS, access_log, counted, documents, entries, events, metrics_history, now,
     slow_alerts, table, us,
 )
 
@@ -54,7 +54,7 @@ _WINDOW = """SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS ts, count(*)
 @query("metrics_window", f"""WITH {LOG}, w AS ({_WINDOW})
 SELECT *, CASE WHEN hits + misses = 0 THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * hits / (hits + misses), 2) END AS cache_hit_rate FROM w""")
 def metrics_window(spark, sf):
-    out = mo.metrics_window(access_log(spark, sf), "1 hour")
+    out = mo.metrics_window(counted(access_log(spark, sf)), "1 hour")
     return out.withColumns(dict(zip(("ts",), us("ts"))))
 
 
@@ -122,10 +122,12 @@ def recommendations_recent(spark, sf):
     return mo.recommendations_recent(worse)
 
 
-@query("performance_summary", f"""WITH {ALERTS}, {_TREND}, h AS (SELECT * FROM history ORDER BY ts DESC LIMIT 1000),
-l AS (SELECT max(ts) AS last_ts, min(ts) AS first_ts, arg_max(cache_hit_rate, ts) AS cache_hit_rate, arg_max(cache_memory_usage, ts) AS cache_memory_usage FROM h),
-a AS (SELECT ts FROM alerts ORDER BY ts DESC LIMIT 100)
-SELECT epoch_us(last_ts) AS last_ts, cache_hit_rate, cache_memory_usage,
+@query("performance_summary", f"""WITH {ALERTS}, {_TREND}, h AS (SELECT * FROM history),
+l AS (SELECT max(ts) AS last_ts, min(ts) AS first_ts, arg_max(cache_hit_rate, ts) AS cache_hit_rate, arg_max(cache_memory_usage, ts) AS cache_memory_usage,
+  arg_max(hits, ts) AS hits, arg_max(misses, ts) AS misses, arg_max(sets, ts) AS sets, arg_max(memory, ts) AS memory,
+  arg_max(cache_total_entries, ts) AS cache_total_entries FROM h),
+a AS (SELECT ts FROM alerts)
+SELECT epoch_us(last_ts) AS last_ts, cache_hit_rate, cache_memory_usage, hits, misses, sets, memory, cache_total_entries,
   round((epoch_us({NOW}) - epoch_us(first_ts)) / 1e6::DOUBLE, 6) AS monitoring_duration,
   concat_ws('; ', CASE WHEN cache_memory_usage > 80 THEN 'High memory usage detected' END, CASE WHEN cache_hit_rate < 50 THEN 'Low hit rate detected' END) AS recommendations,
   (SELECT round(CASE WHEN n >= 10 THEN recent - older ELSE 0 END, 6) FROM ends) AS hit_rate_trend,
@@ -138,8 +140,19 @@ def performance_summary(spark, sf):
     })
 
 
-@query("monitoring_stats", f"""WITH {ALERTS} SELECT least(1000, (SELECT count(*) FROM history)) AS performance_history_size,
-  epoch_us((SELECT max(ts) FROM history)) AS last_monitoring, least(100, (SELECT count(*) FROM alerts)) AS total_alerts""")
+@query("current_recommendations", f"""WITH {HISTORY}, l AS (SELECT arg_max(cache_hit_rate, ts) * 0.6::DOUBLE AS rate, arg_max(cache_memory_usage, ts) * 1.8::DOUBLE AS memory FROM history)
+SELECT 'memory_optimization' AS type, 'high' AS priority, 'High memory usage detected' AS message,
+  'Consider reducing cache size or implementing more aggressive eviction' AS action FROM l WHERE memory > 80
+UNION ALL SELECT 'hit_rate_optimization', 'medium', 'Low hit rate detected', 'Consider increasing cache size or adjusting TTL values' FROM l WHERE rate < 50""")
+def current_recommendations(spark, sf):
+    # A worse history than the given one, so that there is something to advise.
+    return mo.current_recommendations(metrics_history(spark, sf).withColumns({
+        "cache_hit_rate": F.col("cache_hit_rate") * 0.6, "cache_memory_usage": F.col("cache_memory_usage") * 1.8,
+    }))
+
+
+@query("monitoring_stats", f"""WITH {ALERTS} SELECT (SELECT count(*) FROM history) AS performance_history_size,
+  epoch_us((SELECT max(ts) FROM history)) AS last_monitoring, (SELECT count(*) FROM alerts) AS total_alerts""")
 def monitoring_stats(spark, sf):
     history = metrics_history(spark, sf)
     out = mo.monitoring_stats(history, mo.threshold_alerts(history))
@@ -180,8 +193,8 @@ def stale_cleanup(spark, sf):
     return ru.clean_stale(marked(spark, sf)).select("key", "level")
 
 
-_VERSIONS = """corpus AS (SELECT (sum(('0x' || substr(md5(text), 1, 8))::BIGINT) % 1000000007)::VARCHAR AS v,
-  (coalesce(sum(('0x' || substr(md5(text), 1, 8))::BIGINT) FILTER (lang = 'en'), 0) % 1000000007)::VARCHAR AS v_en FROM documents),
+_VERSIONS = """corpus AS (SELECT (sum(('0x' || substr(md5(text), 1, 15))::BIGINT) % 2305843009213693951)::VARCHAR AS v,
+  (coalesce(sum(('0x' || substr(md5(text), 1, 15))::BIGINT) FILTER (lang = 'en'), 0) % 2305843009213693951)::VARCHAR AS v_en FROM documents),
 model AS (SELECT count(DISTINCT label) AS n FROM embeddings),
 versions AS (SELECT 'corpus' AS kind, 'context' AS level, v_en AS stored, v AS current FROM corpus
   UNION ALL SELECT 'corpus', 'query', v, v FROM corpus
@@ -220,7 +233,7 @@ def version_invalidate(spark, sf):
     return ru.invalidated(entries(spark, sf), actions(spark, sf)).select("key", "level")
 
 
-@query("corpus_version", """SELECT (sum(('0x' || substr(md5(text), 1, 8))::BIGINT) % 1000000007)::BIGINT AS version FROM documents""")
+@query("corpus_version", """SELECT (sum(('0x' || substr(md5(text), 1, 15))::BIGINT) % 2305843009213693951)::BIGINT AS version FROM documents""")
 def corpus_version(spark, sf):
     return ru.corpus_version(documents(spark, sf))
 

@@ -220,7 +220,7 @@ def _sql_embedding(text: str, dims: int) -> str:
         CASE WHEN {blanks} = '' THEN 0 ELSE len(string_split({blanks}, ' ')) END AS words))"""
 
 
-@query("embed_hashing", f"""WITH u AS (SELECT conv_id * 1000 + turn AS qid, text AS query FROM conversations),
+@query("embed_hashing", f"""WITH u AS (SELECT conv_id * 4194304 + turn AS qid, text AS query FROM conversations),
 v AS (SELECT qid, {_sql_embedding('query', 768)} AS e FROM u)
 SELECT qid, len(e)::INT AS dims, {_SUMS.format('list_transform(e, lambda v: v / sqrt(list_inner_product(e, e)))')} AS weighted FROM v""")
 def embed_hashing(spark, sf):

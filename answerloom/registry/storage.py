@@ -105,11 +105,11 @@ def snapshot_named(spark, sf):
 
 @query("snapshot_roundtrip", f"""WITH {ENTRIES}, v AS (SELECT vec_id::VARCHAR AS key, embedding FROM embeddings)
 SELECT e.key, level, value, epoch_us(expires_at) AS expires_at, epoch_us(last_access) AS last_access, access_count,
-  len(v.embedding)::INT AS dims FROM entries e JOIN v USING (key)""")
+  len(v.embedding)::INT AS dims FROM entries e LEFT JOIN v USING (key)""")
 def snapshot_roundtrip(spark, sf):
     """Entries, lifetimes, accesses and vectors in one snapshot, read back."""
     vectors = embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("key"), "embedding")
-    state = entries(spark, sf).join(vectors, "key")
+    state = entries(spark, sf).join(vectors, "key", "left")
     path = new_path(spark, "snapshots")
     sn.write_snapshot(state, path, now(spark, sf))
     back = sn.read_snapshot(spark, path, state.schema)

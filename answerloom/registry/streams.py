@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators.changelog import replay
-from ..session import new_path
+from ..session import new_path, stage
+from ..sources.snapshots import read_snapshot
 from ..streaming import jobs
 from ..streaming.run import run_to_parquet
 from . import query
@@ -12,7 +13,7 @@ from .lookup import _BEST_LIVE, _cached
 from .monitoring import _WINDOW
 from .storage import STATE, _state
 from .views import (
-    ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, answer_index, answers, op_log, requests, slow_alerts, table, us,
+    ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, answer_index, answers, counted, op_log, requests, slow_alerts, table, us,
 )
 
 
@@ -47,16 +48,26 @@ def _written(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-# One micro-batch: timers are set from the last write of each key, then fire up
-# to the watermark, the latest write's time (in whole milliseconds).
-@query("stream_ttl_expiry", f"""WITH {OPS}, w AS (SELECT key, arg_max(operation, (ts, seq)) AS operation, arg_max(level, (ts, seq)) AS level,
-  epoch_us(arg_max(ts, (ts, seq))) + arg_max(ttl, (ts, seq))::BIGINT * 1000000 AS expires_at
-  FROM ops WHERE operation IN ('set', 'delete') GROUP BY key)
-SELECT key, level, expires_at FROM w WHERE operation = 'set'
-  AND expires_at // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM ops WHERE operation IN ('set', 'delete'))""")
+def _in_disorder(spark, df, name):
+    """A log as a stream of micro-batches of ten days each, in which a row may be a day late."""
+    path = new_path(spark, name)
+    day = F.floor(F.unix_seconds("ts") / 86_400) + F.pmod(F.xxhash64("seq"), F.lit(2))
+    dealt = stage(df.withColumn("_slot", F.floor(day / 10).cast("int")), name)
+    for (slot,) in sorted(dealt.select("_slot").distinct().collect()):  # a few slots
+        dealt.filter(F.col("_slot") == slot).drop("_slot").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+# A set is out if it ran out before the key's next write and before the
+# watermark, two days behind the latest op (in whole milliseconds).
+@query("stream_ttl_expiry", f"""WITH {OPS}, w AS (SELECT key, level, operation, epoch_us(ts) + ttl::BIGINT * 1000000 AS expires_at,
+  lead(epoch_us(ts)) OVER (PARTITION BY key ORDER BY ts, seq) AS following FROM ops WHERE operation IN ('set', 'delete'))
+SELECT key, level, expires_at FROM w WHERE operation = 'set' AND (following IS NULL OR expires_at < following)
+  AND expires_at // 1000 + 1 <= (SELECT epoch_us(max(ts)) // 1000 FROM ops WHERE operation IN ('set', 'delete')) - 2 * 86400000""")
 def stream_ttl_expiry(spark, sf):
-    ops = _written(spark, op_log(spark, sf), "ops")
-    return run_to_parquet(jobs.ttl_expiry(ops), "expired").select("key", "level", *us("expires_at"))
+    """Three micro-batches or more, out of order."""
+    ops = _in_disorder(spark, op_log(spark, sf), "ops")
+    return run_to_parquet(jobs.ttl_expiry(ops, "2 days"), "expired").select("key", "level", *us("expires_at"))
 
 
 @query("stream_cache_replay", f"WITH RECURSIVE {REPLAY} SELECT cache_id, seq, outcome, evicted::INT AS evicted FROM f WHERE rn > 0")
@@ -72,7 +83,7 @@ def stream_cache_replay(spark, sf):
 SELECT *, CASE WHEN hits + misses = 0 THEN 0.0::DOUBLE ELSE round(100.0::DOUBLE * hits / (hits + misses), 2) END AS cache_hit_rate
 FROM w WHERE ts + 3600000000 <= {NOW_US} - 600000000""")
 def stream_metrics(spark, sf):
-    out = run_to_parquet(jobs.metrics_stream(_log(spark, sf), "1 hour"), "metrics")
+    out = run_to_parquet(jobs.metrics_stream(counted(_log(spark, sf)), "1 hour"), "metrics")
     return out.withColumn("ts", us("ts")[0])
 
 
@@ -104,6 +115,17 @@ def stream_alert_cooldown(spark, sf):
 
 @query("stream_state", f"WITH {OPS}, {STATE} SELECT * FROM state")
 def stream_state(spark, sf):
+    """Micro-batches out of order, with clears and deletes among them."""
+    ops = op_log(spark, sf)
+    empty = replay(ops.limit(0))
+    return _state(jobs.state_stream(_in_disorder(spark, ops, "ops"), empty, new_path(spark, "versions")))
+
+
+@query("stream_snapshots", f"WITH {OPS}, {STATE} SELECT * FROM state")
+def stream_snapshots(spark, sf):
+    """A snapshot per micro-batch; the latest is the whole state."""
     ops = op_log(spark, sf)
     empty = replay(ops.limit(0))
-    return _state(jobs.state_stream(_written(spark, ops, "ops"), empty, new_path(spark, "versions")))
+    path = new_path(spark, "stream-snapshots")
+    jobs.state_stream(_in_disorder(spark, ops, "ops"), empty, new_path(spark, "versions"), path)
+    return _state(read_snapshot(spark, path, empty.schema))

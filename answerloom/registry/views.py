@@ -13,6 +13,7 @@ from ..session import spread
 
 THRESHOLD = 0.35  # the given vectors are far apart: their best matches score up to 0.49
 ANSWERS_NOW = datetime(2024, 1, 11, tzinfo=timezone.utc)
+SPAN = 1 << 22  # more than the chunks of the longest text and than any conversation's turns
 TTL_SCALE = 288  # lifetimes of minutes become days, as the log spans a month
 
 _now: dict[str, datetime] = {}
@@ -128,12 +129,18 @@ entries AS (
   FROM last0 l LEFT JOIN used USING (key) WHERE operation = 'set')"""
 
 
+def counted(log: DataFrame) -> DataFrame:
+    """What counts as hit, miss and set in the given events."""
+    op = F.col("op")
+    return log.withColumns({
+        "is_hit": op.isin("view", "click"), "is_miss": op == "error", "is_set": op.isin("signup", "purchase"),
+    })
+
+
 def metrics_history(spark, sf) -> DataFrame:
     """One sample per hour."""
-    kind = F.col("event_type")
-    hourly = events(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(
-        F.count_if(kind.isin("view", "click")).alias("hits"), F.count_if(kind == "error").alias("misses"),
-        F.count_if(kind.isin("signup", "purchase")).alias("sets"),
+    hourly = counted(events(spark, sf).withColumnRenamed("event_type", "op")).groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(
+        F.count_if("is_hit").alias("hits"), F.count_if("is_miss").alias("misses"), F.count_if("is_set").alias("sets"),
         F.round(F.sum("value"), 2).alias("memory"), F.avg("value").alias("_mean"),
         F.count_distinct("k").alias("cache_total_entries"),
     )
@@ -269,7 +276,7 @@ def documents(spark, sf) -> DataFrame:
 
 def turns(spark, sf) -> DataFrame:
     return table(spark, sf, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"), "role"
+        (F.col("conv_id") * SPAN + F.col("turn")).alias("qid"), F.col("text").alias("query"), "role"
     )
 
 

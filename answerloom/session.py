@@ -95,6 +95,11 @@ def stage_ordered(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """Hints a broadcast after counting up to ``most`` rows; more are left to a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def beside(first: DataFrame, *others: DataFrame) -> DataFrame:
     """The columns of one-row frames in one row, by scalar subqueries instead of joins."""
     for i, other in enumerate(others):

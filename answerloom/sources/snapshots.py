@@ -26,12 +26,16 @@ def _names(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_snapshot(state: DataFrame, path: str, at: datetime, min_interval_s: int = 0, force: bool = False) -> bool:
-    """Writes ``snapshot_ts=...``; skipped (False) when the last one is too young."""
+    """Writes ``snapshot_ts=...``; skipped (False) when the last one is too young.
+
+    Names have whole seconds: a snapshot of the same second is replaced, so a
+    batch that runs again does no harm.
+    """
     names = _names(state.sparkSession, path)
     if names and not force:
         if at - datetime.strptime(names[-1], NAME_FORMAT) < timedelta(seconds=min_interval_s):
             return False
-    state.write.option("compression", "gzip").parquet(f"{path}/snapshot_ts={at.strftime(NAME_FORMAT)}")
+    state.write.mode("overwrite").option("compression", "gzip").parquet(f"{path}/snapshot_ts={at.strftime(NAME_FORMAT)}")
     return True
 
 

@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..functions.entries import micros
-from ..operators.changelog import STATE, replay
+from ..functions.entries import expires_at, micros
+from ..operators.changelog import STATE
 from ..operators.lifecycle import replay_step
 from ..operators.lookup import cached_answer
 from ..operators.monitor import metrics_window
+from ..schemas import LEVELS
+from ..session import stage
 from ..sources.snapshots import write_snapshot
 from .run import run_batches, use_rocksdb
 
@@ -30,46 +32,71 @@ def _together(rows, by: list[str]) -> pd.DataFrame:
 
 
 class _Expiry(StatefulProcessor):
-    """Keeps the expiry of a key; a timer at that time reports it."""
+    """Holds the writes of a key that the watermark has not settled yet.
+
+    A set has expired if its expiry lies before the key's next write in event
+    order, and is reported once the watermark is past the expiry, when no write
+    before it can come any more. So neither order of arrival nor batch cuts
+    change what is reported.
+    """
 
     def init(self, handle):
         self.handle = handle
-        self.state = handle.getValueState("expiry", _ONE_STRING)
-
-    def handleInputRows(self, key, rows, timerValues):
-        frame = _together(rows, ["ts_us", "seq"])
-        last = frame.iloc[-1]
-        watermark = timerValues.getCurrentWatermarkInMs()
+        self.state = handle.getValueState("writes", _ONE_STRING)
+
+    def _settle(self, key, writes, watermark):
+        """Reports and forgets what is settled; keeps the rest and a timer for the next step."""
+        writes = sorted(writes)
+        out, left = [], []
+        for i, (at, seq, expires, level) in enumerate(writes):
+            following = writes[i + 1][0] if i + 1 < len(writes) else None
+            due = None if expires is None else expires // 1000 + 1
+            renewed = following is not None and (expires is None or following <= expires)
+            if due is not None and due <= watermark and not renewed:
+                out.append((expires, level))
+            elif expires is None or renewed:
+                # A delete, or a set that a later write overtook: needed until nothing can come between.
+                if (following if following is not None else at) // 1000 >= watermark:
+                    left.append((at, seq, expires, level))
+            else:
+                left.append((at, seq, expires, level))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.state.clear()
-        if last["operation"] == "set":
-            expires_us = int(last["ts_us"]) + int(last["ttl"]) * 1_000_000
-            # A timer fires strictly after the expiry.
-            due = expires_us // 1000 + 1
-            if due > watermark:
-                self.state.update((json.dumps([expires_us, last["level"]]),))
-                self.handle.registerTimer(due)
-        return iter(())
+        if not left:
+            self.state.clear()
+        else:
+            self.state.update((json.dumps(left),))
+            steps = [t // 1000 + 1 for at, _, expires, _ in left for t in (at, expires) if t is not None]
+            ahead = [t for t in steps if t > watermark]
+            self.handle.registerTimer(min(ahead) if ahead else watermark + 1)
+        if out:
+            yield pd.DataFrame({
+                "key": key[0], "level": [level for _, level in out],
+                "expires_at": pd.to_datetime([e for e, _ in out], unit="us", utc=True),
+            })
+
+    def _held(self):
+        return [tuple(w) for w in json.loads(self.state.get()[0])] if self.state.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues):
+        writes = set(self._held())
+        for frame in rows:
+            for at, seq, op, ttl, level in zip(*(frame[c].tolist() for c in ("ts_us", "seq", "operation", "ttl", "level"))):
+                expires = int(at) + int(ttl) * 1_000_000 if op == "set" else None
+                writes.add((int(at), int(seq), expires, level))
+        yield from self._settle(key, writes, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if not self.state.exists():
-            return
-        expires_us, level = json.loads(self.state.get()[0])
-        self.state.clear()
-        yield pd.DataFrame({
-            "key": [key[0]], "level": [level], "expires_at": [pd.Timestamp(expires_us, unit="us", tz="UTC")],
-        })
+        yield from self._settle(key, self._held(), timerValues.getCurrentWatermarkInMs())
 
     def close(self):
         pass
 
 
 def ttl_expiry(ops: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """(key, level, expires_at) once the watermark passes a key's expiry.
+    """(key, level, expires_at) of every set that ran out before the key's next write, once the watermark passes.
 
-    Input: op log stream. A later set or delete of the key replaces or drops
-    its expiry; a late set already past its expiry is ignored.
+    Input: op log stream. Writes may come late by ``delay``, in any batch.
     """
     use_rocksdb(ops.sparkSession)
     slim = (
@@ -180,33 +207,158 @@ def semantic_lookup_stream(
     return run_batches(requests, "lookups", work, schema).drop("batch_id")
 
 
-def state_stream(ops: DataFrame, start: DataFrame, path: str, snapshots: str | None = None) -> DataFrame:
-    """Keeps the state of an op log: one written version per micro-batch under ``path``.
-
-    A batch that runs again replaces its own version, and a restart goes on
-    from the version before. ``snapshots``: folder to write a snapshot per
-    batch to. Returns the last version.
+BUCKETS = 64  # by key; a batch rewrites those it touches
+
+
+def _facts(ops: DataFrame) -> DataFrame:
+    """What a log says, a row per fact: value of (key, level), life of a key, clear of a level, latest time."""
+    at = F.struct("ts", "seq").alias("at")
+    none = F.lit(None).cast("string")
+    no_time = F.lit(None).cast("timestamp")
+    is_set = F.col("operation") == "set"
+    writes = ops.filter("operation in ('set', 'delete')")
+    values = writes.select(
+        F.lit("value").alias("kind"), "key", "level", at,
+        F.struct("operation", F.when(is_set, F.col("value")).alias("value"), no_time.alias("expires_at"), none.alias("ttl_level")).alias("fact"))
+    lives = writes.filter("operation = 'delete' or coalesce(ttl, 0) <> 0").select(
+        F.lit("life").alias("kind"), "key", none.alias("level"), at,
+        F.struct("operation", none.alias("value"), F.when(is_set, expires_at(F.col("ts"), F.col("ttl"))).alias("expires_at"), F.col("level").alias("ttl_level")).alias("fact"))
+    reached = F.when(F.col("level").isNull(), F.array(*[F.lit(x) for x in LEVELS])).otherwise(F.array("level"))
+    nothing = F.struct(none.alias("operation"), none.alias("value"), no_time.alias("expires_at"), none.alias("ttl_level")).alias("fact")
+    clears = ops.filter("operation = 'clear'").select(F.explode(reached).alias("_to"), at).select(
+        F.lit("clear").alias("kind"), none.alias("key"), F.col("_to").alias("level"), "at", nothing)
+    latest = ops.select(F.lit("latest").alias("kind"), none.alias("key"), none.alias("level"), at, nothing)
+    return values.unionByName(lives).unionByName(clears).unionByName(latest)
+
+
+def _facts_of_state(state: DataFrame) -> DataFrame:
+    at = F.struct(F.col("created_at").alias("ts"), "seq").alias("at")
+    none = F.lit(None).cast("string")
+    values = state.select(F.lit("value").alias("kind"), "key", "level", at, F.struct(
+        F.lit("set").alias("operation"), "value", F.lit(None).cast("timestamp").alias("expires_at"), none.alias("ttl_level")).alias("fact"))
+    lives = state.filter("expires_at is not null").select(F.lit("life").alias("kind"), "key", none.alias("level"), at, F.struct(
+        F.lit("set").alias("operation"), none.alias("value"), "expires_at", "ttl_level").alias("fact"))
+    return values.unionByName(lives)
+
+
+def _fold(facts: DataFrame) -> DataFrame:
+    """The latest fact of each kind; order of arrival does not matter."""
+    return facts.groupBy("kind", "key", "level").agg(F.max_by("fact", "at").alias("fact"), F.max("at").alias("at"))
+
+
+def _state_of(facts: DataFrame) -> DataFrame:
+    """State rows out of folded facts. The clears are one row per level."""
+    clears = F.broadcast(facts.filter("kind = 'clear'").select(F.col("level").alias("_cleared"), F.col("at").alias("_clear_at")))
+
+    def after_clear(rows: DataFrame, level: str) -> DataFrame:
+        joined = rows.join(clears, F.col(level) == F.col("_cleared"), "left")
+        return joined.filter("_clear_at is null or at > _clear_at").drop("_cleared", "_clear_at")
+
+    values = facts.filter("kind = 'value' and fact.operation = 'set'").select(
+        "key", "level", "fact.value", F.col("at.ts").alias("created_at"), "at.seq", "at")
+    lives = facts.filter("kind = 'life' and fact.expires_at is not null").select(
+        F.col("key").alias("_key"), "fact.expires_at", "fact.ttl_level", "at")
+    kept = after_clear(values, "level").drop("at")
+    lifetimes = after_clear(lives, "ttl_level").drop("at")
+    return kept.join(lifetimes, F.col("key") == F.col("_key"), "left").select(*STATE)
+
+
+class StateStore:
+    """Folded facts under a path: ``version=<batch>/bucket=<n>``, only touched buckets in a version.
+
+    What is current is read off the folders, so a restart goes on where the last
+    one ended; a batch that runs again sees the versions before it and replaces
+    its own.
     """
-    spark = ops.sparkSession
-    columns = start.select(*STATE).schema
 
-    def version(batch_id: int) -> DataFrame:
-        return spark.read.schema(columns).parquet(f"{path}/version={batch_id}") if batch_id >= 0 else start
+    def __init__(self, start: DataFrame, path: str, buckets: int = BUCKETS):
+        self.spark, self.start, self.path, self.buckets = start.sparkSession, start, path, buckets
+        self.schema = self._dealt(_fold(_facts_of_state(start))).schema
+
+    def _dealt(self, facts: DataFrame) -> DataFrame:
+        """Facts without a key are in bucket -1."""
+        bucket = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+        return facts.select("kind", "key", "level", "fact", "at", bucket.alias("bucket"))
+
+    def _listed(self, path: str, name: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        found = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}="))
+
+    def versions(self, before: int | None = None) -> list[int]:
+        """Complete versions, oldest first."""
+        jvm = self.spark.sparkContext._jvm
+        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        listed = [v for v in self._listed(self.path, "version") if before is None or v < before]
+        return [v for v in listed if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={v}/_SUCCESS"))]
+
+    def current(self, before: int | None = None) -> dict[int, int]:
+        """Bucket -> the latest version that has it."""
+        return {b: v for v in self.versions(before) for b in self._listed(f"{self.path}/version={v}", "bucket")}
+
+    def facts(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        """Current facts; buckets that no version has come from the start state."""
+        held = self.current(before)
+        wanted = {b: v for b, v in held.items() if only is None or b in only}
+        first = self._dealt(_fold(_facts_of_state(self.start)))
+        out = first.filter(~F.col("bucket").isin(list(held))) if held else first
+        out = out if only is None else out.filter(F.col("bucket").isin(only))
+        if wanted:
+            paths = [f"{self.path}/version={v}/bucket={b}" for b, v in wanted.items()]
+            inner = T.StructType([f for f in self.schema.fields if f.name != "bucket"])
+            out = out.unionByName(self._dealt(self.spark.read.schema(inner).parquet(*paths)))
+        return out
+
+    def add(self, ops: DataFrame, batch_id: int, tombstones_s: float | None) -> None:
+        """Writes the touched buckets of a batch as its version.
+
+        ``tombstones_s``: deletes and clears further than that behind the latest
+        time are forgotten in the buckets written; writes that come later than
+        that are then undefined. None keeps them.
+        """
+        news = stage(self._dealt(_fold(_facts(ops))), "stream-facts")
+        touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most buckets + 1
+        if not touched:
+            return
+        folded = _fold(self.facts(batch_id, touched).unionByName(news).drop("bucket"))
+        if tombstones_s is not None:
+            latest = news.filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
+            old = F.col("at.ts") < F.lit(latest) - F.make_dt_interval(secs=F.lit(tombstones_s))
+            folded = folded.filter(~((F.col("fact.operation") == "delete") & old) | F.col("fact.operation").isNull())
+        (self._dealt(folded).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket")
+         .parquet(f"{self.path}/version={batch_id}"))
+
+    def state(self) -> DataFrame:
+        return _state_of(self.facts())
+
+    def latest(self):
+        return self.facts(only=[-1]).filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
 
-    last = {"id": -1}
+
+def state_stream(
+    ops: DataFrame, start: DataFrame, path: str, snapshots: str | None = None, tombstones_s: float | None = None,
+) -> DataFrame:
+    """Keeps the state of an op log under ``path``; returns it as it stands.
+
+    Deletes and clears stay known, so writes may come in any order and batch.
+    A batch rewrites only the buckets of the keys it has. ``snapshots``: folder
+    to write a snapshot per batch to, named by the latest time seen; one of the
+    same second is replaced by the newer state.
+    """
+    store = StateStore(start.select(*STATE), f"{path}/state")
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        after = replay(batch, version(batch_id - 1))
-        after.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-        if snapshots:
-            at = batch.agg(F.max("ts")).first()[0]
-            if at is not None:
-                write_snapshot(version(batch_id), snapshots, at, force=True)
-        last["id"] = batch_id
+        store.add(stage(batch, "stream-batch"), batch_id, tombstones_s)
+        if snapshots and (at := store.latest()) is not None:
+            write_snapshot(store.state(), snapshots, at, force=True)
 
     query = (
         ops.writeStream.foreachBatch(work).option("checkpointLocation", f"{path}/progress")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return version(last["id"])
+    return store.state()

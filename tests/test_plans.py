@@ -174,3 +174,61 @@ def test_null_vectors_are_left_out(spark):
     for plan in ("broadcast", "cells"):
         got = search.nearest(x, x, 5, query_id="id", index_id="id", plan=plan, cells=2).collect()
         assert {(r["qid"], r["vec_id"]) for r in got} == {(0, 0), (0, 2), (2, 0), (2, 2)}
+
+
+def _jobs(spark, work):
+    import uuid
+
+    name = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(name, name)
+    out = work()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_regular_log_takes_as_many_jobs_for_any_slices(spark):
+    from answerloom.operators.lifecycle import spaced_rows
+
+    df = spark.range(2000).select(F.lit("x\x1fy").alias("k"), F.timestamp_seconds(F.col("id")).alias("ts"), "id")
+    counts = []
+    for slices in (8, 64):
+        rows, jobs = _jobs(spark, lambda: spaced_rows(df, ["k"], ["ts", "id"], 300, "chosen", False, slices).filter("chosen").collect())
+        assert sorted(r["id"] for r in rows) == list(range(0, 2000, 300))
+        counts.append(jobs)
+    assert counts[0] == counts[1]
+
+
+def test_spacing_with_gaps_longer_than_slices(spark):
+    import random as rnd
+
+    from answerloom.operators.lifecycle import spaced_rows
+
+    rng = rnd.Random(9)
+    data = [(rng.choice("aab"), t, i) for i, t in enumerate(sorted(rng.randrange(3000) for _ in range(400)))]
+    df = spark.createDataFrame(data, "k string, s bigint, id bigint").withColumn("ts", F.timestamp_seconds("s"))
+    for gap in (1, 37, 900):
+        for strict in (False, True):
+            want, last = set(), {}
+            for k, t, i in data:
+                if k not in last or t - last[k] > gap or (not strict and t - last[k] == gap):
+                    last[k] = t
+                    want.add(i)
+            got = spaced_rows(df, ["k"], ["ts", "id"], gap, "chosen", strict, 11).filter("chosen").collect()
+            assert {r["id"] for r in got} == want
+
+
+def test_vectors_of_doubles_and_of_other_lengths(spark):
+    from answerloom.plans.search import nearest
+    from pyspark.errors import PythonException
+
+    rows = [(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    index = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    asked = index.withColumnRenamed("vec_id", "qid")
+    one = sorted(map(tuple, nearest(asked, index, 3, plan="broadcast").collect()))
+    assert one == sorted(map(tuple, nearest(asked, index, 3, plan="cells").collect()))
+    ragged = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0])], "vec_id bigint, embedding array<float>")
+    for plan in ("broadcast", "cells"):
+        with pytest.raises(PythonException):
+            nearest(asked, ragged, 1, plan=plan).collect()
+        with pytest.raises(PythonException):
+            nearest(asked, ragged.limit(1), 1, plan=plan).collect()

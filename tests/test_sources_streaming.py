@@ -127,8 +127,8 @@ def test_stream_replay_over_several_batches(spark):
 
 
 def test_stream_metrics_equal_closed_windows(spark):
-    rows = [(1, "k", at(i * 30), i, "view" if i % 3 else "error", float(i)) for i in range(100)]
-    df = spark.createDataFrame(rows, "cache_id bigint, key string, ts timestamp, seq bigint, op string, value double")
+    rows = [(1, "k", at(i * 30), i, bool(i % 3), not i % 3, False, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "cache_id bigint, key string, ts timestamp, seq bigint, is_hit boolean, is_miss boolean, is_set boolean, value double")
     got = run_to_parquet(jobs.metrics_stream(streamed(spark, df), "5 minutes", "1 minute"), "metrics")
     want = {tuple(r) for r in mo.metrics_window(df, "5 minutes").collect()}
     have = {tuple(r) for r in got.collect()}
@@ -159,3 +159,101 @@ def test_stream_expiry_is_replaced_and_dropped(spark):
     ops = spark.createDataFrame(rows, OPS)
     got = run_to_parquet(jobs.ttl_expiry(streamed(spark, ops, 1)), "expired").collect()
     assert [(r["key"], r["level"]) for r in got] == [("early", "query")]
+
+
+def in_batches(spark, ops, batches):
+    """A stream whose micro-batches hold the rows with these seq values, in this order."""
+    path = new_path(spark, "in")
+    for batch in batches:
+        ops.filter(F.col("seq").isin(batch)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_stream_state_in_any_order(spark):
+    """Late sets, deletes and clears, over several batches, give the batch replay."""
+    rng = random.Random(12)
+    for seed in range(3):
+        kinds = ["set", "set", "set", "delete", "clear"]
+        rows = []
+        for i in range(60):
+            op = rng.choice(kinds)
+            level = rng.choice(["query", "result", None]) if op == "clear" else rng.choice(["query", "result"])
+            rows.append((at(rng.randrange(50)), i, op, None if op == "clear" else f"k{rng.randrange(6)}", level, f"v{i}", rng.choice([None, 0, 50])))
+        ops = spark.createDataFrame(rows, OPS)
+        order = list(range(60))
+        rng.shuffle(order)
+        source = in_batches(spark, ops, [order[a:a + 15] for a in range(0, 60, 15)])
+        got = jobs.state_stream(source, cl.replay(ops.limit(0)), new_path(spark, "versions"))
+        assert rows_of(got) == rows_of(cl.replay(ops))
+
+
+def test_stream_state_after_restart_and_with_start_state(spark):
+    rows = [(at(i), i, "set", f"k{i}", "query", f"v{i}", 50) for i in range(6)] + [(at(9), 9, "delete", "k1", "query", None, None)]
+    ops = spark.createDataFrame(rows, OPS)
+    start = cl.replay(ops.filter("seq < 2"))
+    path, into = new_path(spark, "versions"), new_path(spark, "in")
+    ops.filter("seq in (2, 3)").coalesce(1).write.parquet(into)
+
+    def run():
+        return jobs.state_stream(spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(into), start, path)
+
+    first = rows_of(run())
+    assert first == rows_of(cl.replay(ops.filter("seq < 4")))
+    assert rows_of(run()) == first  # nothing new: the state stays
+    ops.filter("seq in (4, 5, 9)").coalesce(1).write.mode("append").parquet(into)
+    assert rows_of(run()) == rows_of(cl.replay(ops))
+
+
+def test_a_repeated_batch_replaces_itself_and_touches_few_buckets(spark):
+    ops = spark.createDataFrame([(at(i), i, "set", f"k{i}", "query", "v", 50) for i in range(40)], OPS)
+    store = jobs.StateStore(cl.replay(ops.limit(0)), new_path(spark, "state"))
+    store.add(ops.filter("seq < 38"), 0, None)
+    store.add(ops.filter("seq = 38"), 1, None)
+    store.add(ops.filter("seq = 39"), 1, None)
+    assert rows_of(store.state()) == rows_of(cl.replay(ops.filter("seq <> 38")))
+    assert sum(v == 1 for v in store.current().values()) == 2  # the key's bucket and the one for all keys
+
+
+def test_old_tombstones_can_be_forgotten(spark):
+    rows = [(at(0), 0, "set", "a", "query", "v", 50), (at(1), 1, "delete", "a", "query", None, None), (at(1000), 2, "set", "a", "result", "w", 50)]
+    ops = spark.createDataFrame(rows, OPS)
+    got = jobs.state_stream(in_batches(spark, ops, [[0, 1], [2]]), cl.replay(ops.limit(0)), new_path(spark, "versions"), tombstones_s=60)
+    assert [(r["key"], r["level"]) for r in got.collect()] == [("a", "result")]
+
+
+def test_snapshots_of_one_second_replace_each_other(spark):
+    ops = spark.createDataFrame([(at(0.2 * i), i, "set", f"k{i}", "query", "v", 50) for i in range(4)], OPS)
+    snaps = new_path(spark, "snaps")
+    state = jobs.state_stream(in_batches(spark, ops, [[0, 1], [3], [2]]), cl.replay(ops.limit(0)), new_path(spark, "versions"), snaps)
+    assert sn.read_snapshot(spark, snaps, state.schema).count() == 4 and sn.snapshot_info(spark, snaps).count() == 1
+
+
+def expired(spark, ops, batches, delay):
+    got = run_to_parquet(jobs.ttl_expiry(in_batches(spark, ops, batches), delay), "expired").collect()
+    return sorted((r["key"], (r["expires_at"].replace(tzinfo=UTC) - T0).total_seconds()) for r in got)
+
+
+def test_late_sets_do_not_shorten_a_life(spark):
+    rows = [(at(100), 0, "set", "a", "query", "v", 1000), (at(50), 1, "set", "a", "query", "v", 100), (at(400), 2, "set", "z", "query", "v", 9999)]
+    assert expired(spark, spark.createDataFrame(rows, OPS), [[0], [1], [2]], "100 seconds") == []
+
+
+def test_expiry_does_not_depend_on_batch_cuts(spark):
+    rng = random.Random(4)
+    rows = [(at(10 * i), i, rng.choice(["set", "set", "delete"]), f"k{rng.randrange(4)}", "query", "v", rng.choice([15, 60, 400])) for i in range(60)]
+    rows += [(at(5000), 60, "set", "end", "query", "v", 1)]
+    ops = spark.createDataFrame(rows, OPS)
+    want = []
+    for key in {r[3] for r in rows}:
+        own = [r for r in rows if r[3] == key]
+        for r, following in zip(own, [*own[1:], None]):
+            end = (r[0] - T0).total_seconds() + (r[6] if r[2] == "set" else 0)
+            if r[2] == "set" and end < 5000 - 60 and (following is None or end < (following[0] - T0).total_seconds()):
+                want.append((key, end))
+    swapped = [i ^ 1 for i in range(60)]
+    for cuts in ([list(range(61))], [swapped[:20], swapped[20:41], swapped[41:], [60]], [[i] for i in swapped[:6]] + [swapped[6:], [60]]):
+        assert expired(spark, ops, cuts, "60 seconds") == sorted(want)
