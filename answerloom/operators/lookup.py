@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import is_expired, level_rank, ttl_for, expires_at
-from ..plans.search import nearest
+from ..plans.search import Cells, nearest
 from ..schemas import LEVELS
 from ..session import stage
 
@@ -52,12 +52,14 @@ def value_level(level: str) -> str:
 
 def semantic_match(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float,
-    level: str = "result", scope: str = "live", **search,
+    level: str = "result", scope: str = "live", placed: Cells | None = None, **search,
 ) -> DataFrame:
     """(qid, matched_query, sim, value) for requests whose best match has a live value.
 
     ``scope='all'`` takes the best match of the whole index and then asks
-    whether its entry lives; ``'live'`` searches live rows only.
+    whether its entry lives; ``'live'`` searches live rows only. ``placed`` is
+    the index saved by :class:`Cells`; ``index`` then only says which of its
+    vectors have which level and query, and needs no vectors.
     """
     if scope not in ("all", "live"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -65,10 +67,12 @@ def semantic_match(
         live(entries, now).filter(F.col("level") == value_level(level))
         .select(F.col("key").alias("matched_query"), "value")
     )
-    rows = index.filter(F.col("level") == level).select("vec_id", F.col("query").alias("matched_query"), "embedding")
+    rows = index.filter(F.col("level") == level).withColumnRenamed("query", "matched_query")
+    rows = rows.select("vec_id", "matched_query", *(["embedding"] if placed is None else []))
     if scope == "live":
         rows = rows.join(values.select("matched_query"), "matched_query", "left_semi")
-    best = nearest(requests, rows, 1, threshold, **search).select("qid", "vec_id", "sim")
+    searched = rows if placed is None else placed.only(rows)
+    best = nearest(requests, searched, 1, threshold, **search).select("qid", "vec_id", "sim")
     return (
         best.join(rows.select("vec_id", "matched_query"), "vec_id")
         .join(values, "matched_query")
@@ -78,27 +82,30 @@ def semantic_match(
 
 def cached_answer(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float,
-    level: str = "result", scope: str = "live", **search,
+    level: str = "result", scope: str = "live", placed: Cells | None = None, **search,
 ) -> DataFrame:
     """(qid, query, source, matched_query, sim, value): exact, else semantic, else miss.
 
     Only exact misses are scored, and each missed question once however often
-    it was asked.
+    it was asked: by the vector of the smallest qid that has one. Questions
+    without a text are scored one by one. ``placed``: see :func:`semantic_match`.
     """
     values = live(entries, now).filter(F.col("level") == value_level(level)).select(F.col("key").alias("query"), "value")
-    looked = requests.select("qid", "query").join(values, "query", "left")
+    has = F.col("embedding").isNotNull().alias("_has")
+    looked = stage(requests.select("qid", "query", has).join(values, "query", "left"), "looked")
     exact = looked.filter("value is not null").select(
         "qid", "query", F.lit("exact").alias("source"), F.col("query").alias("matched_query"),
         F.lit(1.0).alias("sim"), "value",
     )
-    missed = stage(requests.select("qid", "query", "embedding").join(values, "query", "left_anti"), "missed")
-    asked = missed.groupBy("query").agg(F.min("qid").alias("qid"))
-    once = missed.select("qid", "embedding").join(asked, "qid")
-    found = (
-        semantic_match(once, entries, index, now, threshold, level, scope, **search)
-        .join(asked, "qid").drop("qid")
-    )
-    rest = missed.select("qid", "query").join(found, "query", "left").select(
+    missed = looked.filter("value is null").drop("value")
+    asked = stage(missed.filter("query is not null and _has").groupBy("query").agg(F.min("qid").alias("_asked")), "asked")
+    rest = missed.join(asked, "query", "left").withColumn(
+        "_asked", F.coalesce("_asked", F.when(F.col("query").isNull() & F.col("_has"), F.col("qid"))))
+    rest = stage(rest.select("qid", "query", "_asked"), "missed")
+    once = requests.select("qid", "embedding").join(
+        rest.select(F.col("_asked").alias("qid")).filter("qid is not null").distinct(), "qid", "left_semi")
+    found = semantic_match(once, entries, index, now, threshold, level, scope, placed, **search)
+    rest = rest.join(found.withColumnRenamed("qid", "_asked"), "_asked", "left").select(
         "qid", "query",
         F.when(F.col("value").isNull(), "miss").otherwise("semantic").alias("source"),
         "matched_query", "sim", "value",

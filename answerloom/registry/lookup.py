@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import lookup as lk, monitor as mo, similarity as sm
+from ..plans.search import Cells, side
+from ..session import new_path
 from . import query
 from .views import (
     ANSWERS, ANSWERS_NOW, ENTRIES, NOW, THRESHOLD, answer_index, answers, entries, now, op_log, requests, us,
@@ -94,6 +96,15 @@ def cached_answer(spark, sf):
     return cached(spark, sf)
 
 
+@query("cached_answer_saved", f"WITH {_cached(_BEST_LIVE)} SELECT * FROM outcome")
+def cached_answer_saved(spark, sf):
+    """The index is placed once and read back; the lookup gets no vectors but those."""
+    index, path = answer_index(spark, sf), new_path(spark, "saved-index")
+    Cells.place(side(index, "vec_id", "embedding", "vec_id"), path=path)
+    return lk.cached_answer(
+        requests(spark, sf), answers(spark, sf), index.drop("embedding"), ANSWERS_NOW, T, placed=Cells.read(spark, path))
+
+
 @query("cached_answer_all", f"WITH {_cached(_BEST_ALL)} SELECT * FROM outcome")
 def cached_answer_all(spark, sf):
     return cached(spark, sf, "all")

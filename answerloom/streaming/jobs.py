@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions.entries import expires_at, micros
 from ..operators.changelog import STATE
 from ..operators.lifecycle import replay_step
-from ..operators.lookup import cached_answer
+from ..operators.lookup import cached_answer, live
 from ..operators.monitor import metrics_window
+from ..plans.search import Cells
 from ..schemas import LEVELS
 from ..session import stage
 from ..sources.snapshots import write_snapshot
@@ -196,13 +197,19 @@ def access_counts_stream(log: DataFrame, duration: str = "24 hours", delay: str
 
 
 def semantic_lookup_stream(
-    requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float, scope: str = "live"
+    requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float, scope: str = "live",
+    placed: Cells | None = None,
 ) -> DataFrame:
-    """Exact-else-semantic answers for a stream of (qid, query, embedding)."""
+    """Exact-else-semantic answers for a stream of (qid, query, embedding).
+
+    Entries and index are written out once, not worked out per batch.
+    ``placed``: the index saved by :class:`Cells`; ``index`` then needs no vectors.
+    """
+    entries, index = stage(live(entries, now), "stream-entries"), stage(index, "stream-index")
     schema = "qid bigint, query string, source string, matched_query string, sim double, value string"
 
     def work(batch: DataFrame, batch_id: int) -> DataFrame:
-        return cached_answer(batch, entries, index, now, threshold, scope=scope)
+        return cached_answer(batch, entries, index, now, threshold, scope=scope, placed=placed)
 
     return run_batches(requests, "lookups", work, schema).drop("batch_id")
 

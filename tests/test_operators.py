@@ -508,3 +508,93 @@ def test_large_bounds_take_the_sliced_way(spark, monkeypatch):
     monkeypatch.setattr(ev, "WINDOW_ROWS", 1)
     assert {(r["cache_id"], r["key"]) for r in lc.lru_retained(log, 4).collect()} == kept
     assert {(r["pair_id"], r["class_rank"]) for r in ev.sample_pairs(pairs, 7).collect()} == drawn
+
+
+def test_models_that_fail(spark):
+    from answerloom.operators import answers as an
+
+    def load():
+        def model(texts):
+            if any(t == "bad" for t in texts):
+                raise ValueError("no")
+            return [[3.0, 4.0] for _ in texts]
+
+        return model
+
+    def broken():
+        raise OSError("no model")
+
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "qid bigint, query string").coalesce(1)
+    hashed = {r["qid"]: r["v"] for r in df.select("qid", an.hashing_embedder(80)(F.col("query")).alias("v")).collect()}
+    got = {r["qid"]: r["v"] for r in df.select("qid", an.model_embedder(load, 80)(F.col("query")).alias("v")).collect()}
+    assert got[1][:3] == got[3][:3] == pytest.approx([0.6, 0.8, 0.0]) and got[2] == hashed[2] and len(got[2]) == 80
+    none = {r["qid"]: r["v"] for r in df.select("qid", an.model_embedder(broken, 80)(F.col("query")).alias("v")).collect()}
+    assert none == hashed
+    with pytest.raises(Exception):
+        df.select(an.model_embedder(load, 80, fallback=False)(F.col("query"))).collect()
+
+    def answerer():
+        def model(prompts):
+            if any(p == "bad" for p in prompts):
+                raise ValueError("no")
+            return [f"to {p}" for p in prompts]
+
+        return model
+
+    misses = df.filter("query is not null").withColumns({"prompt": F.col("query"), "context": F.array(F.lit("c"))})
+    out = {r["qid"]: r["result"]["answer"] for r in an.answer_misses(misses, an.text_answerer(answerer)).collect()}
+    assert out == {1: "to good", 2: "Error fallback answer for: bad"}
+
+
+def test_hash_features_stay_in_the_engine(spark):
+    from answerloom.operators import answers as an
+
+    df = spark.range(3).select(an.hashing_embedder(96)(F.col("id").cast("string")).alias("v"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert all(abs(sum(x * x for x in r["v"]) - 1) < 1e-5 for r in df.collect())
+
+
+def test_questions_without_text_and_vectors(spark):
+    from answerloom.operators import lookup as lk
+
+    index = spark.createDataFrame([(1, "result", "known", [1.0, 0.0])], "vec_id bigint, level string, query string, embedding array<float>")
+    entries = spark.createDataFrame([("known", "result", "value", None)], "key string, level string, value string, expires_at timestamp")
+    rows = [(1, None, [1.0, 0.1]), (2, None, [0.0, 1.0]), (3, "again", None), (4, "again", [1.0, 0.0]), (5, "known", None), (6, "no vector", None)]
+    asked = spark.createDataFrame(rows, "qid bigint, query string, embedding array<float>")
+    got = {r["qid"]: r["source"] for r in lk.cached_answer(asked, entries, index, None, 0.9).collect()}
+    assert got == {1: "semantic", 2: "miss", 3: "semantic", 4: "semantic", 5: "exact", 6: "miss"}
+
+
+def test_write_back_aggregates_touched_keys_only(spark):
+    from answerloom.operators import lookup as lk
+
+    kind = "key string, level string, value string, created_at timestamp, ttl_s int, expires_at timestamp"
+    t = dt.datetime(2024, 1, 1)
+    store = spark.createDataFrame([("a", "result", "old", t, 5, t), ("b", "result", "kept", t, 5, t)], kind)
+    fresh = spark.createDataFrame([("a", "result", "new", 7, t), ("c", "nowhere", "x", 7, t)], "key string, level string, value string, ttl int, ts timestamp")
+    got = {r["key"]: (r["value"], r["ttl_s"]) for r in lk.write_back(fresh, store).collect()}
+    assert got == {"a": ("new", 7), "b": ("kept", 5)}
+
+
+def test_alerts_say_what_they_were_held_against(spark):
+    from answerloom.operators import monitor as mo
+
+    history = spark.createDataFrame([(dt.datetime(2024, 1, 1), 10.0, 96.5)], "ts timestamp, cache_hit_rate double, cache_memory_usage double")
+    got = {r["category"]: (r["level"], r["details"]) for r in mo.threshold_alerts(history).collect()}
+    assert got == {
+        "memory": ("critical", {"value": "96.5", "threshold": "95.0"}), "performance": ("warning", {"value": "10.0", "threshold": "30.0"})}
+    advice = {r["type"]: (r["priority"], r["action"]) for r in mo.current_recommendations(history).collect()}
+    assert advice["memory_optimization"] == ("high", mo.SHRINK_CACHE) and advice["hit_rate_optimization"] == ("medium", mo.GROW_CACHE)
+
+
+def test_summary_counts_everything(spark):
+    from answerloom.operators import monitor as mo
+
+    t = dt.datetime(2024, 1, 1)
+    history = spark.range(1500).select(
+        (F.lit(t) + F.make_dt_interval(secs=F.col("id"))).alias("ts"), F.lit(10.0).alias("cache_hit_rate"), F.lit(90.0).alias("cache_memory_usage"))
+    alerts = mo.threshold_alerts(history)
+    row = mo.performance_summary(history, alerts, t + dt.timedelta(seconds=1500)).first()
+    assert row["total_alerts"] == 3000 and row["monitoring_duration"] == 1500
+    assert mo.performance_summary(history, alerts, t, keep=100, keep_alerts=50).first()["total_alerts"] == 50
+    assert tuple(mo.monitoring_stats(history, alerts).select("performance_history_size", "total_alerts").first()) == (1500, 3000)
