@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.entries import is_expired, micros, percent, ttl_for, expires_at
 from ..plans.fold import Fold, ordered_fold
-from ..plans.ordering import previous_in_group, rank_in_group, running_sum
+from ..plans.ordering import SLICE, previous_in_group, rank_in_group, row_slices, running_sum
 from ..session import stage
 
 
 WINDOW_ROWS = 100_000  # most rows per group a plain window may gather
 
 
+def _at_least(name: str, value: float, least: float) -> None:
+    if value < least:
+        raise ValueError(f"{name} must be at least {least}, not {value}")
+
+
 def assign_ttl(entries: DataFrame, scale: int = 1) -> DataFrame:
     """``ttl_s`` (own or by level) and ``expires_at`` from ``created_at``."""
     ttl = ttl_for(F.col("level"), F.col("ttl"), scale)
@@ -75,26 +80,24 @@ def _touched(log: DataFrame) -> DataFrame:
     )
 
 
-def lru_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def _ranked(log: DataFrame, order: list[str], name: str, descending: bool = False) -> DataFrame:
+    sliced = row_slices(_touched(log), ["cache_id"], order)
+    by = [F.col(c).desc() if descending else F.col(c) for c in order]
+    return rank_in_group(sliced, ["cache_id"], by, [F.col(SLICE)], [descending], name).drop(SLICE)
+
+
+def lru_order(log: DataFrame) -> DataFrame:
     """``lru_rank`` 1 = least recently used, per cache."""
-    unit = F.date_trunc(slice_unit, F.col("last_access"))
-    return rank_in_group(
-        stage(_touched(log)), ["cache_id"], [F.col("last_access"), F.col("last_seq")], [unit], name="lru_rank"
-    )
+    return _ranked(log, ["last_access", "last_seq"], "lru_rank")
 
 
-def mru_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
-    unit = F.date_trunc(slice_unit, F.col("last_access"))
-    return rank_in_group(
-        stage(_touched(log)), ["cache_id"], [F.col("last_access").desc(), F.col("last_seq").desc()], [unit], [True], "mru_rank"
-    )
+def mru_order(log: DataFrame) -> DataFrame:
+    return _ranked(log, ["last_access", "last_seq"], "mru_rank", descending=True)
 
 
-def lfu_order(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def lfu_order(log: DataFrame) -> DataFrame:
     """``lfu_rank`` 1 = least often used; ties by recency."""
-    order = [F.col("access_count"), F.col("last_access"), F.col("last_seq")]
-    slices = [F.col("access_count"), F.date_trunc(slice_unit, F.col("last_access"))]
-    return rank_in_group(stage(_touched(log)), ["cache_id"], order, slices, name="lfu_rank")
+    return _ranked(log, ["access_count", "last_access", "last_seq"], "lfu_rank")
 
 
 def lru_retained(log: DataFrame, capacity: int) -> DataFrame:
@@ -103,6 +106,7 @@ def lru_retained(log: DataFrame, capacity: int) -> DataFrame:
     The bound is a parameter, so every map task passes on that many rows at most;
     a large bound goes by sliced ranks, which gather it in no single task.
     """
+    _at_least("capacity", capacity, 2)
     if capacity > WINDOW_ROWS:
         return mru_order(log).filter(F.col("mru_rank") <= capacity - 1)
     w = Window.partitionBy("cache_id").orderBy(F.col("last_access").desc(), F.col("last_seq").desc())
@@ -127,11 +131,11 @@ def lru_evicted(log: DataFrame, capacity: int, batch: int = 10) -> DataFrame:
     return oldest.join(overflow, "cache_id").filter("lru_rank <= overflow").drop("overflow")
 
 
-def memory_admission(sizes: DataFrame, limit: int, order=("ts", "seq"), slice_unit: str = "hour") -> DataFrame:
+def memory_admission(sizes: DataFrame, limit: int, order=("ts", "seq")) -> DataFrame:
     """Prefix admission: a row is let in while the running total stays within ``limit``."""
-    whole = sizes.withColumn("_all", F.lit(0))
-    total = running_sum(whole, ["_all"], list(order), "size_bytes", F.date_trunc(slice_unit, F.col("ts")), "running_bytes")
-    return total.withColumn("admitted", F.col("running_bytes") <= limit).drop("_all")
+    whole = row_slices(sizes.withColumn("_all", F.lit(0)), ["_all"], list(order))
+    total = running_sum(whole, ["_all"], list(order), "size_bytes", F.col(SLICE), "running_bytes")
+    return total.withColumn("admitted", F.col("running_bytes") <= limit).drop("_all", SLICE)
 
 
 def _admit(limit: int):
@@ -152,10 +156,11 @@ def memory_refusal(sizes: DataFrame, limit: int, group=("cache_id",), order=("ts
     return ordered_fold(sizes, list(group), list(order), Fold(("size_bytes",), result, lambda: 0, _admit(limit)), slices)
 
 
-def sliding_ttl_hits(log: DataFrame, ttl_s: int, slice_unit: str = "hour") -> DataFrame:
+def sliding_ttl_hits(log: DataFrame, ttl_s: int) -> DataFrame:
     """Read-through log with expiry pushed on by every access: hit if the gap is <= ttl."""
-    unit = F.date_trunc(slice_unit, F.col("ts"))
-    linked = previous_in_group(log, ["cache_id", "key"], ["ts", "seq"], "ts", unit, "previous_ts")
+    _at_least("ttl_s", ttl_s, 0)
+    sliced = row_slices(log, ["cache_id", "key"], ["ts", "seq"])
+    linked = previous_in_group(sliced, ["cache_id", "key"], ["ts", "seq"], "ts", F.col(SLICE), "previous_ts").drop(SLICE)
     gap = micros(F.col("ts")) - micros(F.col("previous_ts"))
     return linked.withColumn("hit", F.coalesce(gap <= ttl_s * 1_000_000, F.lit(False)))
 
@@ -210,6 +215,7 @@ def spaced_rows(df: DataFrame, group, order, gap_s: float, name: str, strict: bo
 
     ``strict``: later by more than the gap; otherwise by at least the gap.
     """
+    _at_least("gap_s", gap_s, 0)
     result = T.StructType([T.StructField(name, T.BooleanType())])
     side = "right" if strict else "left"
     gap_us = int(gap_s * 1_000_000)
@@ -277,6 +283,7 @@ def cache_replay(ops: DataFrame, capacity: int, sliding: bool = True, slices: in
     ``ops``: (cache_id, key, ts, seq, op, ttl). The state handed between slices
     holds fewer than ``capacity`` keys.
     """
+    _at_least("capacity", capacity, 2)
     timed = ops.withColumns({
         "at_us": micros(F.col("ts")), "ttl_us": F.col("ttl").cast("bigint") * 1_000_000,
     }).na.fill({"ttl_us": 0})

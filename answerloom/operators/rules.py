@@ -25,6 +25,11 @@ def default_rules(spark) -> DataFrame:
     return spark.createDataFrame(DEFAULT_RULES, RULES)
 
 
+def rule_threshold(rules: DataFrame, rule_type: str):
+    """The smallest threshold of a kind of rule, as a value to compare with; null, so never reached, without one."""
+    return rules.filter(F.col("rule_type") == rule_type).agg(F.min("threshold").alias("threshold")).scalar()
+
+
 def changed_versions(versions: DataFrame) -> DataFrame:
     """(rule_type, level) whose stored version differs from the current one.
 
@@ -71,6 +76,7 @@ def drift_refresh(entries: DataFrame, history: DataFrame, now, limit: float = 0.
     """Entries of drifting keys with their lifetime started again at ``now``.
 
     ``entries`` need ``query_hash``; levels query and embedding are refreshed.
+    ``limit`` is a number or a :func:`rule_threshold`.
     """
     ttl = ttl_for(F.col("level"), F.col("ttl_s"), ttl_scale)
     return (
@@ -86,6 +92,7 @@ def age_seconds(ts, now):
 
 
 def age_warning(entries: DataFrame, now, max_age_s: float = 86_400) -> DataFrame:
+    """Entries older than ``max_age_s``, a number or a :func:`rule_threshold`."""
     return entries.withColumn("age_s", age_seconds(F.col("created_at"), now)).filter(F.col("age_s") > max_age_s)
 
 

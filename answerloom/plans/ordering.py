@@ -1,9 +1,11 @@
 """Order-dependent columns that stay spread out when one group is huge.
 
 A plain window over a group puts the whole group in one task. Here a group is
-cut along its own order into slices (say hours): the window runs inside
-(group, slice), one small row per slice carries the rest across, and a window
-over those rows puts both together. Results are those of the plain window.
+cut along its own order into slices of about equal numbers of rows
+(:func:`row_slices`): the window runs inside (group, slice), one small row per
+slice carries the rest across, and a window over those rows puts both together.
+Results are those of the plain window. Any other slices that sort as the order
+does will do, but may hold any number of rows.
 
 The input is read twice (once for the slice rows), so stage it first where it
 is costly to work out.
@@ -15,6 +17,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
+SLICE = "_row_slice"
+
+
+def row_slices(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = SLICE) -> DataFrame:
+    """Adds the number of the range partition on (group, order) that a row is in, and writes the rows out.
+
+    Partitions have about equal numbers of rows however those lie in time, and
+    their numbers ascend with the order inside a group.
+    """
+    laid = df.repartitionByRange(*group, *order).withColumn(name, F.spark_partition_id())
+    return stage(laid, "row-slices")
+
 
 def _names(n: int) -> list[str]:
     return [f"_slice{i}" for i in range(n)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import stage
-from .ordering import previous_in_group, rank_in_group
+from .ordering import SLICE, previous_in_group, rank_in_group, row_slices
 
 CHUNK_ROWS = 1_000_000
 
@@ -56,13 +56,12 @@ def count_before(order_key: np.ndarray, value: np.ndarray, probe: np.ndarray) ->
     return counts
 
 
-def positions(log: DataFrame, slice_unit: str = "hour") -> DataFrame:
+def positions(log: DataFrame) -> DataFrame:
     """Adds ``pos`` and ``prev`` (0 = first access) per cache, in (ts, seq) order."""
-    unit = F.date_trunc(slice_unit, F.col("ts"))
-    numbered = stage(rank_in_group(log, ["cache_id"], [F.col("ts"), F.col("seq")], [unit], name="pos"), "numbered")
-    linked = previous_in_group(
-        numbered, ["cache_id", "key"], ["pos"], "pos", F.date_trunc(slice_unit, F.col("ts")), name="prev"
-    )
+    sliced = row_slices(log, ["cache_id"], ["ts", "seq"])
+    numbered = stage(rank_in_group(sliced, ["cache_id"], [F.col("ts"), F.col("seq")], [F.col(SLICE)], name="pos"), "numbered")
+    # A slice of the cache bounds what any key of it has there.
+    linked = previous_in_group(numbered, ["cache_id", "key"], ["pos"], "pos", F.col(SLICE), name="prev").drop(SLICE)
     return linked.withColumn("prev", F.coalesce("prev", F.lit(0)).cast("bigint"))
 
 
@@ -132,14 +131,14 @@ def _corner_counts(slim: DataFrame) -> DataFrame:
     )
 
 
-def reuse_distance(log: DataFrame, chunk_rows: int = CHUNK_ROWS, slice_unit: str = "hour") -> DataFrame:
+def reuse_distance(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Log rows plus ``pos``, ``prev`` and ``distance`` (null on a key's first access)."""
 
     def chunk_of(c):
         return F.floor((F.col(c) - 1) / chunk_rows)
 
     placed = stage(
-        positions(log, slice_unit).withColumns({
+        positions(log).withColumns({
             "chunk": chunk_of("pos"),
             "prev_chunk": F.when(F.col("prev") > 0, chunk_of("prev")).otherwise(F.lit(-1)),
         }),

@@ -243,14 +243,14 @@ SELECT key, level, epoch_us({NOW} + to_seconds(ttl_s)) AS expires_at FROM entrie
 WHERE level IN ('query', 'embedding') AND (key::INT % 20)::VARCHAR IN (SELECT query_hash FROM drift WHERE drift > 0.1)""")
 def drift_refresh(spark, sf):
     e = entries(spark, sf).withColumn("query_hash", (F.col("key").cast("int") % 20).cast("string"))
-    out = ru.drift_refresh(e, vector_history(spark, sf), now(spark, sf))
+    out = ru.drift_refresh(e, vector_history(spark, sf), now(spark, sf), ru.rule_threshold(ru.default_rules(spark), "semantic_drift"))
     return out.select("key", "level", *us("expires_at"))
 
 
 @query("age_warning", f"""WITH {ENTRIES}, a AS (SELECT key, level, (epoch_us({NOW}) - epoch_us(created_at)) / 1e6::DOUBLE AS age_s FROM entries)
 SELECT key, level, round(age_s, 6) AS age_s FROM a WHERE age_s > 86400""")
 def age_warning(spark, sf):
-    return ru.age_warning(entries(spark, sf), now(spark, sf)).select("key", "level", F.round("age_s", 6).alias("age_s"))
+    return ru.age_warning(entries(spark, sf), now(spark, sf), ru.rule_threshold(ru.default_rules(spark), "time_based")).select("key", "level", F.round("age_s", 6).alias("age_s"))
 
 
 _RULES = """rules AS (SELECT * FROM (VALUES ('model_version', 'invalidate', ['result', 'generation'], 'Invalidate when model version changes'),

@@ -116,11 +116,12 @@ def snapshot_roundtrip(spark, sf):
     return back.select("key", "level", "value", *us("expires_at", "last_access"), "access_count", F.size("embedding").alias("dims"))
 
 
-@query("snapshot_info")
+@query("snapshot_info", f"""WITH {LOG}, d AS (SELECT unnest([0, 2, 4]) AS days)
+SELECT strftime({NOW} - to_days(days::INT), '%Y%m%d_%H%M%S') AS snapshot_ts, true AS has_files FROM d""")
 def snapshot_info(spark, sf):
     path = new_path(spark, "snapshots")
     _write_three(spark, sf, path)
-    return sn.snapshot_info(spark, path)
+    return sn.snapshot_info(spark, path).select("snapshot_ts", (F.col("files") > 0).alias("has_files"))
 
 
 @query("retention_keep_n", f"""WITH {LOG}, d AS (SELECT strftime(ts, '%Y-%m-%d') AS snapshot_ts, count(*) AS n FROM log GROUP BY 1)

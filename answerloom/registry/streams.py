@@ -95,6 +95,18 @@ def stream_access_counts(spark, sf):
     return out.select(*us("window_start"), "key", "access_count", *us("last_access"))
 
 
+_SLIDE = 6 * 3_600_000_000
+
+
+@query("stream_access_sliding", f"""WITH {LOG}, a AS (SELECT epoch_us(ts) // {_SLIDE} * {_SLIDE} - i * {_SLIDE} AS window_start, key,
+  count(*) AS access_count, epoch_us(max(ts)) AS last_access FROM log, (SELECT unnest(range(4)) AS i) GROUP BY 1, 2)
+SELECT * FROM a WHERE window_start + 86400000000 <= {NOW_US} - 86400000000""")
+def stream_access_sliding(spark, sf):
+    """A day's accesses, every six hours."""
+    out = run_to_parquet(jobs.access_counts_stream(_log(spark, sf), slide="6 hours"), "accesses")
+    return out.select(*us("window_start"), "key", "access_count", *us("last_access"))
+
+
 @query("stream_semantic_lookup", f"WITH {_cached(_BEST_LIVE)} SELECT * FROM outcome")
 def stream_semantic_lookup(spark, sf):
     asked = _written(spark, requests(spark, sf), "requests")

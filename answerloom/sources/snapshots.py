@@ -31,6 +31,8 @@ def write_snapshot(state: DataFrame, path: str, at: datetime, min_interval_s: in
     Names have whole seconds: a snapshot of the same second is replaced, so a
     batch that runs again does no harm.
     """
+    if min_interval_s < 0:
+        raise ValueError("min_interval_s must not be negative")
     names = _names(state.sparkSession, path)
     if names and not force:
         if at - datetime.strptime(names[-1], NAME_FORMAT) < timedelta(seconds=min_interval_s):

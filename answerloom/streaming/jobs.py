@@ -186,11 +186,13 @@ def metrics_stream(log: DataFrame, duration: str = "30 seconds", delay: str = "1
     return metrics_window(log.withWatermark("ts", delay), duration)
 
 
-def access_counts_stream(log: DataFrame, duration: str = "24 hours", delay: str = "24 hours") -> DataFrame:
-    """Accesses per key and day-long window, emitted when the window closes."""
+def access_counts_stream(
+    log: DataFrame, duration: str = "24 hours", delay: str = "24 hours", slide: str | None = None,
+) -> DataFrame:
+    """Accesses per key and window, emitted when the window closes; ``slide``: a new window that often."""
     return (
         log.withWatermark("ts", delay)
-        .groupBy(F.window("ts", duration).alias("w"), "key")
+        .groupBy(F.window("ts", duration, slide).alias("w"), "key")
         .agg(F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_access"))
         .select(F.col("w.start").alias("window_start"), "key", "access_count", "last_access")
     )

@@ -598,3 +598,16 @@ def test_summary_counts_everything(spark):
     assert row["total_alerts"] == 3000 and row["monitoring_duration"] == 1500
     assert mo.performance_summary(history, alerts, t, keep=100, keep_alerts=50).first()["total_alerts"] == 50
     assert tuple(mo.monitoring_stats(history, alerts).select("performance_history_size", "total_alerts").first()) == (1500, 3000)
+
+
+def test_arguments_that_make_no_sense(spark):
+    from answerloom.operators import lifecycle as lc
+    from answerloom.sources.snapshots import write_snapshot
+
+    log = spark.createDataFrame([(1, "k", dt.datetime(2024, 1, 1), 1)], "cache_id bigint, key string, ts timestamp, seq bigint")
+    for call in (
+        lambda: lc.lru_retained(log, 1), lambda: lc.sliding_ttl_hits(log, -1), lambda: lc.fixed_ttl_hits(log, -1),
+        lambda: lc.cache_replay(log, 0), lambda: write_snapshot(log, "nowhere", dt.datetime(2024, 1, 1), -1),
+    ):
+        with pytest.raises(ValueError):
+            call()

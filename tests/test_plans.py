@@ -232,3 +232,13 @@ def test_vectors_of_doubles_and_of_other_lengths(spark):
             nearest(asked, ragged, 1, plan=plan).collect()
         with pytest.raises(PythonException):
             nearest(asked, ragged.limit(1), 1, plan=plan).collect()
+
+
+def test_slices_follow_rows_not_the_calendar(spark):
+    """All rows in one hour and one cache: no slice holds more than a few shares."""
+    df = spark.range(4000).select(F.lit(1).alias("cache_id"), F.timestamp_millis(F.col("id")).alias("ts"), F.col("id").alias("seq"))
+    sliced = ordering.row_slices(df, ["cache_id"], ["ts", "seq"])
+    counts = [r["count"] for r in sliced.groupBy(ordering.SLICE).count().collect()]
+    assert len(counts) >= 3 and max(counts) < 3 * 4000 / len(counts)
+    ranked = ordering.rank_in_group(sliced, ["cache_id"], [F.col("ts"), F.col("seq")], [F.col(ordering.SLICE)])
+    assert ranked.filter("rank <> seq + 1").count() == 0
