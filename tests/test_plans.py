@@ -242,3 +242,16 @@ def test_slices_follow_rows_not_the_calendar(spark):
     assert len(counts) >= 3 and max(counts) < 3 * 4000 / len(counts)
     ranked = ordering.rank_in_group(sliced, ["cache_id"], [F.col("ts"), F.col("seq")], [F.col(ordering.SLICE)])
     assert ranked.filter("rank <> seq + 1").count() == 0
+
+
+def test_approximate_search_states_its_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    vectors = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=16) * 0.3]) for i in range(600)]
+    index = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")
+    asked = index.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    placed = search.Cells.place(search.side(index, "vec_id", "embedding", "vec_id"), cells=24)
+    exact = search.nearest(asked, index, 5)
+    some = search.recall(search.nearest_approximate(asked, placed, 5, 6), exact).agg(F.avg("recall")).first()[0]
+    every = search.recall(search.nearest_approximate(asked, placed, 5, 99), exact).agg(F.min("recall")).first()[0]
+    assert some >= 0.9 and every == 1.0
