@@ -93,7 +93,7 @@ def similar_edges(
             right.column("vec_id").to_numpy(), matrix(right.column("vec")), threshold,
         )
 
-    met = placed.blocks(placed.visits(q, joined=joined)).applyInArrow(join, "src bigint, dst bigint")
+    met = placed.blocks(placed.visits(q, joined=joined), q).applyInArrow(join, "src bigint, dst bigint")
     return met.union(around).union(between).union(copies)
 
 
