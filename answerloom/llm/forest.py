@@ -30,9 +30,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.components import _unite, connected
+from ..plans.components import _unite
 from ..session import stage
 from .common import partitions
+from .components import components
 
 TREES, DEPTH = 16, 8
 REACH, MIN_PREFIX = 32, 2
@@ -258,10 +259,10 @@ def near_duplicates(
         signed.filter("n_shingles > 0").groupBy("set_key").agg(
             F.min("doc_id").alias("node"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "forest-classes")
     loose = percent / 100 - SLACK
-    parts = connected(stage(forest_links(classes, trees, depth, reach, min_prefix, loose), "forest-links"))
+    parts = components(forest_links(classes, trees, depth, reach, min_prefix, loose))
     sized = parts.join(classes.groupBy(F.col("node").alias("id")).agg(F.max("n_shingles").alias("n_shingles")), "id")
     links = stage(confirmed_links(docs, stage(sized, "forest-parts"), k, percent, block_shingles), "forest-confirmed")
-    found = connected(links).select(F.col("id").alias("node"), "group_id")
+    found = components(links).select(F.col("id").alias("node"), "group_id")
     heads = classes.join(found, "node", "left").select("set_key", F.coalesce("group_id", "node").alias("component_id"))
     heads = stage(heads, "forest-heads")  # plain shuffles on both sides below: a hot set can be split
     own = F.coalesce("component_id", "doc_id")

@@ -401,3 +401,24 @@ def test_queries_have_the_agreed_columns(spark, sf, name):
     table = "pages" if name.startswith("op5") else "documents"
     assert df.count() == read(spark, sf, table).count()
     assert json.loads(df.schema.json())["fields"][0]["name"] in ("doc_id", "page_id")
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
+def test_groups_by_contraction(spark, shape):
+    from answerloom.llm.components import components
+
+    rng = random.Random(6)
+    links = {
+        "path": [(i, i + 1) for i in range(300)], "star": [(0, i) for i in range(1, 200)] + [(7, 7)],
+        "random": [(rng.randrange(400), rng.randrange(400)) for _ in range(260)], "none": [],
+    }[shape]
+    label = {x: x for e in links if e[0] != e[1] for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            if a != b and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                moved = True
+    got = {r.id: r.group_id for r in components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
+    assert got == label
