@@ -21,6 +21,17 @@ def classify_level(kind: Column, text_length: Column, has_answer: Column) -> Col
     )
 
 
+def level_of_value(value: Column) -> Column:
+    """Level read off a stored text: JSON objects and arrays by their kind, anything else is a string."""
+    parsed = F.try_parse_json(value)
+    kind = F.schema_of_variant(parsed)
+    named = (
+        F.when(parsed.isNull() | (kind == "STRING"), "string").when(kind.startswith("ARRAY"), "array")
+        .when(kind.startswith("OBJECT"), "object").otherwise("other")
+    )
+    return classify_level(named, F.length(value), F.get_json_object(value, "$.answer").isNotNull())
+
+
 def ttl_for(level: Column, ttl: Column | None = None, scale: int = 1) -> Column:
     """Given lifetime (zero counts) or the default of the level."""
     table = F.create_map(*[F.lit(x) for k, v in TTL_BY_LEVEL.items() for x in (k, v * scale)])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.entries import is_expired, level_rank, ttl_for, expires_at
+from ..functions.entries import is_expired, level_of_value, level_rank, ttl_for, expires_at
 from ..plans.search import Cells, nearest
 from ..schemas import LEVELS
 from ..session import stage
+from .similarity import build_index
 
 
 def live(entries: DataFrame, now) -> DataFrame:
@@ -130,3 +131,27 @@ def write_back(answers: DataFrame, entries: DataFrame, ttl_scale: int = 1) -> Da
     newest = F.max_by(F.struct("value", "created_at", "ttl_s", "expires_at"), F.struct("created_at", "_new", "value"))
     merged = both.groupBy("key", "level").agg(newest.alias("e")).select("key", "level", "e.*")
     return store.join(touched, ["key", "level"], "left_anti").unionByName(merged)
+
+
+def store_answers(
+    answers: DataFrame, entries: DataFrame, embed, capacity: int | None = None, ttl_scale: int = 1,
+) -> tuple[DataFrame, DataFrame]:
+    """Everything a write does, in one job: (entries after it, index rows to append).
+
+    ``answers``: (key, value, level, ttl, ts). A null level is read off the
+    value. At level result the key is embedded, at levels query and embedding
+    the value; ``embed`` maps a text column to a vector column. ``capacity``
+    keeps the latest ``capacity - 1`` entries. Index rows have their id from
+    (key, level, ts), so a job that runs again gives the same ones.
+    """
+    if capacity is not None and capacity < 2:
+        raise ValueError("capacity must be at least 2")
+    placed = stage(answers.select(
+        "key", "value", F.coalesce("level", level_of_value(F.col("value"))).alias("level"), "ttl", "ts"), "answers")
+    after = write_back(placed, entries, ttl_scale)
+    if capacity is not None:
+        after = after.orderBy(F.col("created_at").desc(), "key", "level").limit(capacity - 1)
+    text = F.when(F.col("level") == "result", F.col("key")).when(F.col("level").isin("query", "embedding"), F.col("value"))
+    rows = placed.withColumn("query", text).filter("query is not null").select(
+        F.xxhash64("key", "level", "ts").alias("vec_id"), "level", "query", "ts", embed(F.col("query")).alias("embedding"))
+    return after, build_index(rows)

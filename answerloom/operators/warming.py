@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import micros
 from ..functions.text import preview
+from ..session import beside
 from .lookup import live, missing
 
 DAY_US = 24 * 3600 * 1_000_000
@@ -70,8 +71,16 @@ def strategies_due(strategies: DataFrame, now) -> DataFrame:
     return strategies.filter(F.col("enabled") & (waited >= F.col("frequency")))
 
 
-def warming_stats(log: DataFrame) -> DataFrame:
-    return log.agg(
+def warming_stats(log: DataFrame, queries: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """One row: keys and queries tracked, and how the runs (name, ok) of strategies went."""
+    out = log.agg(
         F.count_distinct("key").alias("access_patterns_tracked"), F.count(F.lit(1)).alias("accesses"),
         F.max("ts").alias("last_access"),
     )
+    if queries is not None:
+        out = beside(out, queries.agg(F.count_distinct("query").alias("query_patterns_tracked")))
+    if runs is not None:
+        out = beside(out, runs.agg(
+            F.count_distinct("name").alias("strategies_run"), F.count_if("ok").alias("successful_warmings"),
+            F.count_if(~F.col("ok")).alias("failed_warmings")))
+    return out

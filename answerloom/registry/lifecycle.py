@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.entries import classify_level as classify, value_bytes, vector_bytes
+from ..functions.entries import classify_level as classify, level_of_value as of_value, value_bytes, vector_bytes
 from ..operators import lifecycle as lc
 from ..plans.reuse import reuse_distance as distances
 from . import query
-from .views import ENTRIES, LOG, NOW, OPS, access_log, documents, embeddings, entries, now, op_log, table, us
+from .views import ENTRIES, LOG, NOW, OPS, SPAN, access_log, documents, embeddings, entries, now, op_log, table, us
 
 DAY = 86_400
 C = 10
@@ -55,6 +55,18 @@ def classify_level(spark, sf):
     )
 
 
+@query("level_of_value", """WITH v AS (SELECT event_id AS id, props AS value FROM events UNION ALL SELECT -1 - (conv_id * 4194304 + turn), text FROM conversations)
+SELECT id, CASE WHEN NOT json_valid(value) OR json_type(CASE WHEN json_valid(value) THEN value ELSE '0' END) = 'VARCHAR'
+    THEN CASE WHEN length(value) < 1000 THEN 'query' ELSE 'context' END
+  WHEN json_type(value) = 'ARRAY' THEN 'embedding'
+  WHEN json_type(value) = 'OBJECT' AND json_extract(value, '$.answer') IS NOT NULL THEN 'result' ELSE 'context' END AS level FROM v""")
+def level_of_value(spark, sf):
+    """Stored texts of two kinds: event properties (JSON objects) and conversation turns."""
+    props = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("props").alias("value"))
+    said = table(spark, sf, "conversations").select((-1 - (F.col("conv_id") * SPAN + F.col("turn"))).alias("id"), F.col("text").alias("value"))
+    return props.unionByName(said).select("id", of_value(F.col("value")).alias("level"))
+
+
 @query("keys_by_level", f"WITH {ENTRIES} SELECT key, level FROM entries WHERE level = 'context'")
 def keys_by_level(spark, sf):
     return entries(spark, sf).filter("level = 'context'").select("key", "level")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import lookup as lk, monitor as mo, similarity as sm
+from ..operators.answers import hashing_embedder
 from ..plans.search import Cells, side
 from ..session import new_path
 from . import query
@@ -129,6 +130,24 @@ def hit_stats(spark, sf):
     return mo.hit_stats(outcomes).withColumns(dict(zip(("oldest_access", "newest_access"), us("oldest_access", "newest_access"))))
 
 
+@query("store_answers", f"""WITH {ANSWERS}, w AS (
+  SELECT key, 'result' AS level, value, created_at, ttl_s, 0 AS new FROM answers
+  UNION ALL SELECT query, CASE WHEN qid % 2 = 0 THEN 'result' ELSE 'query' END,
+    CASE WHEN qid % 2 = 0 THEN '{{"answer": "' || qid || '"}}' ELSE 'Answer ' || qid END, TIMESTAMP '2024-01-05' + to_hours(qid % 150), CASE WHEN qid % 2 = 0 THEN 3600 ELSE 300 END, 1 FROM req)
+SELECT key, level, value, epoch_us(created_at) AS created_at, ttl_s::INT AS ttl_s FROM w
+QUALIFY row_number() OVER (PARTITION BY key, level ORDER BY created_at DESC, new DESC) = 1""")
+def store_answers(spark, sf):
+    """Level, lifetime and entries of new answers; the index rows are tested by hand."""
+    even, start = F.col("qid") % 2 == 0, F.lit("2024-01-05").cast("timestamp")
+    qid = F.col("qid").cast("string")
+    fresh = requests(spark, sf).select(
+        F.col("query").alias("key"), F.lit(None).cast("string").alias("level"),
+        F.when(even, F.concat(F.lit('{"answer": "'), qid, F.lit('"}'))).otherwise(F.concat(F.lit("Answer "), qid)).alias("value"),
+        F.lit(None).cast("int").alias("ttl"), (start + F.make_dt_interval(hours=(F.col("qid") % 150).cast("int"))).alias("ts"))
+    stored, _ = lk.store_answers(fresh, answers(spark, sf), hashing_embedder(64))
+    return stored.select("key", "level", "value", *us("created_at"), "ttl_s")
+
+
 @query("write_back", f"""WITH {ANSWERS}, w AS (
   SELECT key, value, created_at, ttl_s, expires_at, 0 AS new FROM answers
   UNION ALL SELECT query, 'New answer to ' || qid, TIMESTAMP '2024-01-05' + to_hours(qid % 150), 3600 * 24,

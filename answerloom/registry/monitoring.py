@@ -338,6 +338,12 @@ def strategies_due(spark, sf):
     return wa.strategies_due(s, now(spark, sf)).select("name", "frequency")
 
 
-@query("warming_stats", f"WITH {LOG} SELECT count(DISTINCT key) AS access_patterns_tracked, count(*) AS accesses, epoch_us(max(ts)) AS last_access FROM log")
+@query("warming_stats", f"""WITH {LOG} SELECT count(DISTINCT key) AS access_patterns_tracked, count(*) AS accesses, epoch_us(max(ts)) AS last_access,
+  (SELECT count(DISTINCT text) FROM conversations WHERE role = 'user') AS query_patterns_tracked,
+  (SELECT count(DISTINCT event_type) FROM events) AS strategies_run, (SELECT count(*) FROM events WHERE event_type <> 'error') AS successful_warmings,
+  (SELECT count(*) FROM events WHERE event_type = 'error') AS failed_warmings FROM log""")
 def warming_stats(spark, sf):
-    return wa.warming_stats(access_log(spark, sf)).withColumn("last_access", us("last_access")[0])
+    kind = F.col("event_type")
+    runs = events(spark, sf).select(kind.alias("name"), (kind != "error").alias("ok"))
+    asked = table(spark, sf, "conversations").filter("role = 'user'").select(F.col("text").alias("query"))
+    return wa.warming_stats(access_log(spark, sf), asked, runs).withColumn("last_access", us("last_access")[0])

@@ -611,3 +611,21 @@ def test_arguments_that_make_no_sense(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_storing_answers_chooses_levels_and_embeds(spark):
+    from answerloom.operators import answers as an, lookup as lk
+
+    t = dt.datetime(2024, 1, 1)
+    kind = "key string, level string, value string, created_at timestamp, ttl_s int, expires_at timestamp"
+    store = spark.createDataFrame([("old", "result", "v", t - dt.timedelta(days=1), 5, t)], kind)
+    rows = [("q1", None, '{"answer": "a"}'), ("q2", None, "short"), ("q3", None, "[1, 2]"), ("q4", None, '{"x": 1}'), ("q5", "result", "given")]
+    fresh = spark.createDataFrame([(k, lv, v, None, t + dt.timedelta(seconds=i)) for i, (k, lv, v) in enumerate(rows)],
+                                  "key string, level string, value string, ttl int, ts timestamp")
+    entries, index = lk.store_answers(fresh, store, an.hashing_embedder(32))
+    assert {r["key"]: r["level"] for r in entries.collect()} == {
+        "old": "result", "q1": "result", "q2": "query", "q3": "embedding", "q4": "context", "q5": "result"}
+    assert {(r["level"], r["query"]) for r in index.collect()} == {
+        ("result", "q1"), ("query", "short"), ("embedding", "[1, 2]"), ("result", "q5")}
+    few, _ = lk.store_answers(fresh, store, an.hashing_embedder(32), capacity=3)
+    assert {r["key"] for r in few.collect()} == {"q4", "q5"}
