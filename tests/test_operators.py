@@ -220,7 +220,7 @@ def test_replay_equals_loop(spark, slices, sliding):
 
 def test_ttl_hits(spark):
     log, rows = random_log(spark, 3)
-    sliding = {r["seq"]: r["hit"] for r in lc.sliding_ttl_hits(log, 300, "minute").collect()}
+    sliding = {r["seq"]: r["hit"] for r in lc.sliding_ttl_hits(log, 300).collect()}
     fixed = {r["seq"]: r["hit"] for r in lc.fixed_ttl_hits(log, 300, slices=5).collect()}
     for _, mine in per_cache(rows):
         last, loaded = {}, {}

@@ -82,7 +82,7 @@ def test_ordered_fold_equals_loop(spark, slices):
 @pytest.mark.parametrize("chunk", [3, 16, 1000])
 def test_reuse_distance(spark, chunk):
     df, rows = make_log(spark, random.Random(4), n=200)
-    got = {r["seq"]: r["distance"] for r in reuse.reuse_distance(df, chunk, "minute").collect()}
+    got = {r["seq"]: r["distance"] for r in reuse.reuse_distance(df, chunk).collect()}
     for cache in range(3):
         mine = sorted((r for r in rows if r[0] == cache), key=lambda r: (r[2], r[3]))
         for i, r in enumerate(mine):
