@@ -92,11 +92,13 @@ def hilbert_shards(
     text = F.coalesce(F.col("text"), F.lit(""))
     names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "size", "text_crc32", "curve", "rank", "shard", "slot")]
     kept = dict.fromkeys(["doc_id", "text", *dimensions])
-    narrow = stage(quantise(docs.select(*kept, *pack(names)), dimensions, bits).select(
+    cells = quantise(docs.select(*kept, *pack(names)), dimensions, bits).select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.col("_curve").alias("curve"), F.xxhash64(text).alias("_text_hash"), *packed(names),
-    ), "shard-cells")
+    )
+    # Range partitioning reads its input twice: narrow rows are written first, carried columns are not worth a copy.
+    narrow = cells if names else stage(cells, "shard-cells")
     order = ["curve", "_text_hash", "doc_id", "size", "text_crc32"]
     placed = stage(
         narrow.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
