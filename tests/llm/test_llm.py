@@ -211,6 +211,25 @@ def test_edited_texts_and_likeness(spark, sf):
     assert np.mean([r.near_edited for r in rows.values()]) > 5 * np.mean([r.near_next for r in rows.values()])
 
 
+def test_copies_keep_their_terms_and_edits_stay_alike(spark):
+    rng, words = random.Random(3), vocabulary(3)
+    texts = [prose(rng, words, 60) for _ in range(200)]
+    hot = "crowd " + " ".join(f"hot{i}" for i in range(60))
+    docs = frame(spark, texts + [hot] * 100)
+    band = {r.term for r in imatch.lexicon(docs, imatch.LOW, imatch.HIGH).collect()}
+    wanted = {r.t for r in spark.createDataFrame([(hot,)], "text string").select(F.explode(imatch.terms(F.col("text"))).alias("t")).collect()}
+    # One text of 201: under LOW, over HIGH if its copies counted; a wider band shows which.
+    wide = {r.term for r in imatch.lexicon(docs, 0.001, imatch.HIGH).collect()}
+    assert wanted <= wide and band <= wide
+    # A third of all rows, each with its own edit: no distinct text to fold, its words are over the band.
+    near = [hot + f" edit{i}" for i in range(100)]
+    rows = {r.doc_id: r for r in imatch.fingerprints(frame(spark, texts + near)).collect()}
+    assert all(rows[i].near_next > 0.5 for i in range(201, 300))
+    # The edit drops a third of their terms; all are nearly the same draw, which comes out at 1 of 12 subsets.
+    assert sum(rows[i].near_edited > 0 for i in range(201, 300)) > 90
+    assert np.mean([rows[i].near_next for i in range(1, 200)]) < 0.2
+
+
 # ------------------------------------------------------------- suffixes
 
 def _suffix_results(df):
