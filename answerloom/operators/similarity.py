@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as tx, vectors as vx
 from ..functions.entries import percent
 from ..plans.components import connected, similar_edges
-from ..plans.search import Cells, nearest
+from ..plans.search import Cells, nearest, within
 from ..schemas import LEVELS
 from ..session import stage
 
@@ -116,6 +116,11 @@ def semantic_join(queries, index, threshold, k: int = 10, **search) -> DataFrame
     return nearest(queries, index, k, threshold, **search)
 
 
+def semantic_join_all(queries, index, threshold, **search) -> DataFrame:
+    """Pairs (qid, vec_id, sim) of a query and every neighbour at or above the threshold."""
+    return within(queries, index, threshold, **search)
+
+
 def semantic_duplicates(vectors: DataFrame, threshold: float, id_col="vec_id", vec_col="embedding", **search) -> DataFrame:
     """(id, group_id) of every row with a near copy; group_id is the smallest id."""
     return connected(similar_edges(vectors, threshold, id_col=id_col, vec_col=vec_col, **search))

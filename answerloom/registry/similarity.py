@@ -169,6 +169,12 @@ def semantic_join(spark, sf):
     return sm.semantic_join(questions(spark, sf), index_rows(spark, sf), 0.3, plan="cells").select("qid", "vec_id", "sim")
 
 
+@query("semantic_join_all", f"""WITH {SCORES} SELECT qid, vec_id, sim FROM scores WHERE sim >= 0.3""")
+def semantic_join_all(spark, sf):
+    """Without the rank cut of ``semantic_join``."""
+    return sm.semantic_join_all(questions(spark, sf), index_rows(spark, sf), 0.3)
+
+
 _GROUPS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a, v b
   WHERE a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.e, b.e), 6) >= {t}),

@@ -136,6 +136,20 @@ def test_nearest_edges(spark):
         search.nearest(x, x, 3, 1.5, query_id="id", index_id="id")
 
 
+@pytest.mark.parametrize("threshold", [0.0, 0.9])
+def test_within_keeps_every_pair_of_a_crowd(spark, threshold):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=8)
+    m = np.vstack([rng.normal(size=(60, 8)), np.repeat(hot[None], 40, axis=0), hot + 0.01 * rng.normal(size=(40, 8))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)] + [(999, None)], "id bigint, embedding array<float>")
+    got = search.within(rows, rows, threshold, query_id="id", index_id="id", cells=5, block_rows=7).collect()
+    s = np.round(unit(m.astype(np.float64)) @ unit(m.astype(np.float64)).T, 6) + 0.0
+    assert sorted((r.qid, r.vec_id, r.sim) for r in got) == [(i, j, s[i, j]) for i, j in zip(*np.nonzero(s >= threshold))]
+    assert sum(r.qid == 60 for r in got) >= 80
+    assert search.within(rows.limit(0), rows, 0.9, query_id="id", index_id="id").count() == 0
+    assert search.within(rows, rows.limit(0), 0.9, query_id="id", index_id="id").count() == 0
+
+
 def groups(m, t):
     s = np.round(unit(m) @ unit(m).T, 6) >= t
     label = list(range(len(m)))
