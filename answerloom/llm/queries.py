@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, forest, imatch, langid, licenses, lines, mixing, sharding, suffixes, warc
+from . import conversations, decontaminate, forest, imatch, langid, licenses, lines, mixing, sharding, suffixes, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,50 @@ def op7(spark, sf):
 @query("op6_imatch")
 def op6(spark, sf):
     return imatch.fingerprints(read(spark, sf, "documents"))
+
+
+# Numbers of states: 0 nothing yet, 1 system, 2 user, 3 assistant. e: what is inserted; o: initial of the row's role afterwards.
+_MOVES = """(VALUES (0, 2, '', '', 'u'), (0, 3, 'I', 'U', 'a'), (0, 2, 'II', 'UA', 'u'), (0, 1, '', '', 's'),
+  (1, 2, '', '', 'u'), (1, 3, 'I', 'U', 'a'), (1, 2, 'II', 'UA', 'u'),
+  (2, 3, '', '', 'a'), (2, 2, 'I', 'A', 'u'), (2, 3, 'II', 'AU', 'a'),
+  (3, 2, '', '', 'u'), (3, 3, 'I', 'U', 'a'), (3, 2, 'II', 'UA', 'u')) m(was, now, ins, e, o)"""
+_EMPTY_ROWS = "replace(replace({0}, 'U', chr(10) || 'user:'), 'A', chr(10) || 'assistant:')"
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op11_conversation_repair", rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda c: ord(c)::UBIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+      lambda x, y: xor(x // 2, 3988292384::UBIGINT * (x % 2)))), 4294967295::UBIGINT) % 20 AS fate FROM conversations),
+c AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, (VALUES (1), (2)) t(copy) WHERE fate <> 0 AND (copy = 1 OR fate = 3)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, nth > 1 AS again,
+  rtrim(text, {_SPACES}) AS body, substr(role, 1, 1) AS ini FROM r),
+f AS (SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS off FROM n),
+l AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank,
+  count_if(dup) AS duplicate, count_if(cut) AS truncated, count_if(coalesce(off, false)) AS illegal FROM f GROUP BY conv_id),
+m AS (SELECT * FROM {_MOVES}),
+s AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0::BIGINT AS cost, '' AS audit, '' AS body FROM l
+  UNION ALL SELECT * FROM (SELECT s.conv_id, s.i + 1 AS i, x.now AS state, s.cost + x.cost AS cost, s.audit || x.audit AS audit, s.body || x.body AS body
+    FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1,
+    LATERAL (SELECT s.state AS now, 3 AS cost, 'D' AS audit, '' AS body
+      UNION ALL SELECT m.now, 2 * len(m.ins) + 2 + f.cut::INT, m.ins || 'R', {_EMPTY_ROWS.format("m.e")} || chr(10) || CASE m.o WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text
+        FROM m WHERE m.was = s.state AND m.o <> 's' AND NOT f.blank AND NOT f.dup
+      UNION ALL SELECT m.now, 2 * len(m.ins) + f.cut::INT, m.ins || 'K', {_EMPTY_ROWS.format("m.e")} || chr(10) || f.role || ':' || f.text
+        FROM m WHERE m.was = s.state AND m.o = f.ini AND NOT f.blank AND NOT f.dup) x
+    QUALIFY row_number() OVER (PARTITION BY s.conv_id, x.now ORDER BY s.cost + x.cost, s.audit || x.audit) = 1)),
+z AS (SELECT s.conv_id, s.cost + 2 * len(t.ins) AS cost, s.audit || t.ins AS audit, s.body || {_EMPTY_ROWS.format("t.e")} AS body
+  FROM s JOIN l ON l.conv_id IS NOT DISTINCT FROM s.conv_id AND l.n = s.i
+  JOIN (VALUES (0, '', ''), (1, 'II', 'UA'), (2, 'I', 'A'), (3, '', '')) t(state, ins, e) ON t.state = s.state
+  QUALIFY row_number() OVER (PARTITION BY s.conv_id ORDER BY s.cost + 2 * len(t.ins), s.audit || t.ins) = 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(substr(body, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op11(spark, sf):
+    return conversations.report(conversations.damage(read(spark, sf, "conversations")))
