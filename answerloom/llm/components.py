@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
 
 
+def unite(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels once u[i] and v[i] are joined; a label is the smallest index of its group, and its own label."""
+    while True:
+        lu, lv = label[u], label[v]
+        apart = lu != lv
+        if not apart.any():
+            return label
+        u, v = u[apart], v[apart]
+        joined = np.unique(np.stack([np.maximum(lu, lv)[apart], np.minimum(lu, lv)[apart]]), axis=1)
+        label = label.copy()
+        np.minimum.at(label, joined[0], joined[1])
+        flat = label[label]
+        while not np.array_equal(flat, label):
+            label, flat = flat, flat[flat]
+
+
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, group_id) for every id in ``links`` (src, dst); group_id is the smallest id of the group.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, decontaminate, forest, imatch, langid, licenses, lines, mixing, sharding, suffixes, warc
+from . import conversations, cosine, decontaminate, forest, imatch, langid, licenses, lines, mixing, sharding, suffixes, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,16 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN l ON l.conv_id IS
 LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id""")
 def op11(spark, sf):
     return conversations.report(conversations.damage(read(spark, sf, "conversations")))
+
+
+@query("op12_embedding_near_copies", """
+WITH RECURSIVE f AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id, e FROM f WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT a AS id, a AS root FROM p UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+g AS (SELECT id, min(root) AS root FROM r GROUP BY id), n AS (SELECT a AS id, count(*) AS n FROM p GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id, coalesce(root, vec_id) = vec_id AS kept
+FROM f LEFT JOIN g ON g.id = vec_id LEFT JOIN n ON n.id = vec_id""")
+def op12(spark, sf):
+    return cosine.near_copies(read(spark, sf, "embeddings"))

@@ -53,3 +53,9 @@ def phrase_places(words, phrases):
         p = text.split()
         found[label] += [i for i in range(len(words) - len(p) + 1) if words[i:i + len(p)] == p]
     return {k: v for k, v in found.items() if v}
+
+
+def root(label, i):
+    while label[i] != i:
+        i = label[i]
+    return i
