@@ -5,7 +5,7 @@ import math
 import brute
 import numpy as np
 import pytest
-from answerloom.llm import cosine
+from answerloom.llm import cosine, covertree
 from answerloom.llm.common import settle
 from answerloom.llm.components import unite
 from pyspark.sql import functions as F
@@ -108,3 +108,84 @@ def test_unite_labels_are_smallest_indices():
         x, y = sorted((brute.root(plain, a), brute.root(plain, b)))
         plain[y] = x
     assert label.tolist() == [brute.root(plain, i) for i in range(300)]
+
+
+# ------------------------------------------------------------------ hard negatives
+
+VECTORS = "vec_id bigint, vec array<double>, label bigint"
+
+
+def want_negatives(rows, every, positives, negatives):
+    """(anchor, positive, rank, negative, scores) by sorting all rows for each anchor."""
+    use = [
+        (i, v, x, label) for i, (v, x, label) in enumerate(rows)
+        if label is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)]
+    out = []
+    for i, v, x, label in use:
+        if v is None or v % every:
+            continue
+        scored = sorted(
+            (-int(sum(a * b for a, b in zip(x, y))), w if w is not None else 2**62, k, other) for k, w, y, other in use)
+        mine = [s for s in scored if s[3] == label and s[2] != i][:positives]
+        for s in mine:
+            close = [t for t in scored if t[3] != label and 4 * -s[0] <= 5 * -t[0] and -t[0] <= -s[0]][:negatives]
+            out += [(v, rows[s[2]][0], r, rows[t[2]][0], -s[0], -t[0]) for r, t in enumerate(close, 1)]
+    return sorted(out, key=str)
+
+
+def mined(df, every, *args, **more):
+    return sorted((tuple(r) for r in covertree.mine(df, F.col("vec_id") % every == 0, *args, **more).collect()), key=str)
+
+
+@pytest.mark.parametrize("seed,dims,part,labels", [(1, 6, 50, 4), (2, 64, 400, 3), (3, 2, 30, 2)])
+def test_negatives_equal_a_sort_of_all_rows(spark, seed, dims, part, labels):
+    rng = np.random.default_rng(seed)
+    x = np.floor(clustered(seed, 420, dims, 120) * 40)
+    rows = [(int(i), [float(c) for c in v], int(rng.integers(labels))) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = mined(df, 20, 4, 3, part_rows=part, fit_rows=100)
+    assert got == want_negatives(rows, 20, 4, 3) and got
+
+
+def test_edge_rows_of_mining(spark):
+    rows = [
+        (0, [2.0, 1.0], 1), (0, [2.0, 1.0], 1), (1, [3.0, 0.0], 1), (2, [2.0, 0.0], 2), (3, [2.0], 2), (None, [2.0, 1.0], 2), (4, None, 1),
+        (5, [1.0, None], 2), (6, [float("nan"), 1.0], 1), (7, [1.0, 1.0], None), (100, [0.0, 0.0], 1), (200, [-1.0, 0.0], 2), (8, [1.0, 2.0], 2),
+        (300, [], 3), (9, [float("inf"), 0.0], 1),
+    ]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("mine") for c in ("row", "cell", "q", "score", "anchor_id", "part")})
+    assert mined(df, 100) == want_negatives(rows, 100, 5, 5)
+    assert covertree.mine(df.limit(0), F.lit(True)).count() == 0
+    zeros = spark.createDataFrame([(i, [0.0, 0.0], i % 2) for i in range(6)], VECTORS)
+    assert mined(zeros, 2, 2, 2) == want_negatives([(i, [0.0, 0.0], i % 2) for i in range(6)], 2, 2, 2)
+
+
+def test_bounds_hold_and_leave_nodes_out():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 5)) * 20
+    x = np.floor(np.repeat(centres, 60, axis=0) + rng.normal(size=(720, 5)))
+    sphere = covertree.Sphere(5, np.abs(x).max(), np.linalg.norm(x / np.abs(x).max(), axis=1).max())
+    on = sphere.lift(x)
+    assert np.allclose(np.linalg.norm(on, axis=1), 1)
+    chosen, gaps = covertree.farthest_first(on, 40)
+    tree = covertree.CoverTree(on[chosen], gaps)
+    angle = covertree._angles(on, on[chosen])
+    leaf = angle.argmin(axis=1)
+    radius = np.full(len(chosen), -1.0)
+    np.maximum.at(radius, leaf, angle.min(axis=1))
+    tree.cover(radius)
+    assert len(tree.sizes) > 2 and tree.sizes[0] == 1
+    anchors = x[::90]
+    aimed, most = sphere.aim(anchors)
+    scores = anchors @ x.T
+    under = leaf
+    for level in range(len(tree.sizes) - 1, -1, -1):
+        low, high = tree.bounds(covertree._angles(aimed, tree.centres), most, level)
+        assert (scores <= high[:, under]).all() and (scores >= low[:, under]).all()
+        if level:
+            under = tree.parent[level][under]
+    top = np.sort(scores, axis=1)[:, -5]
+    met = tree.reached(covertree._angles(aimed, tree.centres), most, [top], [np.full(len(anchors), np.inf)])
+    assert met.mean() < 0.5
+    for i, j in np.argwhere(scores >= top[:, None]):
+        assert met[i, leaf[j]]
