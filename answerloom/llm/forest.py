@@ -30,10 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ..plans.components import _unite
 from ..session import stage
 from .common import partitions
-from .components import components
+from .components import components, unite
 
 TREES, DEPTH = 16, 8
 REACH, MIN_PREFIX = 32, 2
@@ -144,7 +143,7 @@ def forest_links(classes: DataFrame, trees: int, depth: int, reach: int, min_pre
                 equal = _EQUAL[sketch[open_] ^ sketch[open_ + apart]].sum(axis=1, dtype=np.int64)
                 near = open_[equal >= floor * values]
                 if len(near):
-                    label = _unite(label, near, near + apart)
+                    label = unite(label, near, near + apart)
             moved = np.flatnonzero(label != np.arange(len(label)))
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], schema=_LINK)
@@ -185,7 +184,7 @@ def confirm_block(node: np.ndarray, side: np.ndarray, sizes: np.ndarray, shingle
         mark[own] = False
         q = q[100 * common >= percent * (sizes[q] + sizes[p] - common)]
         if len(q):
-            label = _unite(label, np.full(len(q), p), q)
+            label = unite(label, np.full(len(q), p), q)
     moved = np.flatnonzero(label != np.arange(n))
     return node[label[moved]], node[moved]
 
