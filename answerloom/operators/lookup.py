@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import is_expired, level_of_value, level_rank, ttl_for, expires_at
-from ..plans.search import Cells, nearest
+from ..plans.search import nearest
+from ..plans.tree import Tree
 from ..schemas import LEVELS
 from ..session import stage
 from .similarity import build_index
@@ -53,13 +54,13 @@ def value_level(level: str) -> str:
 
 def semantic_match(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float,
-    level: str = "result", scope: str = "live", placed: Cells | None = None, **search,
+    level: str = "result", scope: str = "live", placed: Tree | None = None, **search,
 ) -> DataFrame:
     """(qid, matched_query, sim, value) for requests whose best match has a live value.
 
     ``scope='all'`` takes the best match of the whole index and then asks
     whether its entry lives; ``'live'`` searches live rows only. ``placed`` is
-    the index saved by :class:`Cells`; ``index`` then only says which of its
+    the index saved by :class:`~answerloom.plans.tree.Tree`; ``index`` then only says which of its
     vectors have which level and query, and needs no vectors.
     """
     if scope not in ("all", "live"):
@@ -83,7 +84,7 @@ def semantic_match(
 
 def cached_answer(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float,
-    level: str = "result", scope: str = "live", placed: Cells | None = None, **search,
+    level: str = "result", scope: str = "live", placed: Tree | None = None, **search,
 ) -> DataFrame:
     """(qid, query, source, matched_query, sim, value): exact, else semantic, else miss.
 

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as tx, vectors as vx
 from ..functions.entries import percent
 from ..plans.components import connected, similar_edges
-from ..plans.search import Cells, nearest, within
+from ..plans.search import nearest, within
+from ..plans.tree import Tree
 from ..schemas import LEVELS
 from ..session import stage
 
@@ -39,7 +40,7 @@ def clear_index(index: DataFrame, level: str | None = None) -> DataFrame:
     return index.limit(0) if level is None else index.filter(F.col("level") != level)
 
 
-def _searched(index: DataFrame, level: str | None, placed: Cells | None) -> tuple[DataFrame, DataFrame | Cells]:
+def _searched(index: DataFrame, level: str | None, placed: Tree | None) -> tuple[DataFrame, DataFrame | Tree]:
     """Index rows of a level, and what to search: they, or the saved cells of them."""
     rows = index if level is None else index.filter(F.col("level") == level)
     if placed is None:
@@ -48,18 +49,18 @@ def _searched(index: DataFrame, level: str | None, placed: Cells | None) -> tupl
 
 
 def similar_queries(
-    queries, index, threshold, level: str | None = None, k: int = 10, placed: Cells | None = None, **search
+    queries, index, threshold, level: str | None = None, k: int = 10, placed: Tree | None = None, **search
 ) -> DataFrame:
     """(qid, vec_id, query_hash, sim, rank): up to k matches at or above the threshold.
 
-    ``placed``: the index saved by :class:`Cells`; ``index`` then needs no vectors.
+    ``placed``: the index saved by :class:`~answerloom.plans.tree.Tree`; ``index`` then needs no vectors.
     """
     index, searched = _searched(index, level, placed)
     found = nearest(queries, searched, k, threshold, **search)
     return found.join(index.select("vec_id", "query", "query_hash"), "vec_id")
 
 
-def best_match(queries, index, threshold, level: str | None = None, placed: Cells | None = None, **search) -> DataFrame:
+def best_match(queries, index, threshold, level: str | None = None, placed: Tree | None = None, **search) -> DataFrame:
     return nearest(queries, _searched(index, level, placed)[1], 1, threshold, **search).drop("rank")
 
 

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import stage
+from ..session import shuffle_partitions, stage
 
 SLICE = "_row_slice"
 
@@ -26,9 +26,11 @@ def row_slices(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     """Adds the number of the range partition on (group, order) that a row is in, and writes the rows out.
 
     Partitions have about equal numbers of rows however those lie in time, and
-    their numbers ascend with the order inside a group.
+    their numbers ascend with the order inside a group. Their count is that of
+    ``spark.sql.shuffle.partitions``; it is named, so that small partitions are
+    not merged by their bytes.
     """
-    laid = df.repartitionByRange(*group, *order).withColumn(name, F.spark_partition_id())
+    laid = df.repartitionByRange(shuffle_partitions(df.sparkSession), *group, *order).withColumn(name, F.spark_partition_id())
     return stage(laid, "row-slices")
 
 

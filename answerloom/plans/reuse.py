@@ -11,8 +11,8 @@ into chunks of positions and the count is put together from three parts:
 * same chunk as i: counted inside the chunk;
 * earlier chunks, prev in the same chunk as prev(i): positions are the prev of
   at most one access, so these groups are bounded too;
-* earlier chunks, prev in an earlier chunk: a small table of counts per
-  (chunk, prev chunk), summed up along both sides.
+* earlier chunks, prev in an earlier chunk: counts per (chunk, prev chunk) are
+  merged by levels, each block of 2**l chunks asking the one to its left.
 
 No task holds more than one chunk.
 """
@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage
-from .ordering import SLICE, previous_in_group, rank_in_group, row_slices
+from .ordering import SLICE, previous_in_group, rank_in_group, row_slices, running_sum
 
 CHUNK_ROWS = 1_000_000
 
@@ -109,26 +109,33 @@ def _long_caches(slim: DataFrame) -> DataFrame:
 
 
 def _corner_counts(slim: DataFrame) -> DataFrame:
-    """(cache_id, chunk, prev_chunk, far): accesses earlier in both respects.
-
-    (rows / chunk_rows) squared cells per cache, and none for a cache of one chunk.
+    """(cache_id, chunk, prev_chunk, far): accesses of earlier chunks whose prev lies in a chunk before prev_chunk.
+
+    Accesses are counted per (chunk, prev_chunk) first. The chunks before one
+    are the left halves of the power-of-two blocks in whose right half it lies.
+    So at each level a count is either stored by its block, or asks for what is
+    stored there with a smaller prev_chunk: a running sum along prev_chunk.
+    Counts times levels rows in all, ordered over as many tasks as there are
+    partitions; there is no table of all pairs of chunks, and none of this for
+    a cache of one chunk.
     """
     long = _long_caches(slim)
-    side = F.sequence(F.lit(0).cast("bigint"), F.col("last"))
-    cells = long.withColumn("chunk", F.explode(side)).withColumn("prev_chunk", F.explode(side))
-    counts = (
+    cells = stage(
         slim.join(long.select("cache_id"), "cache_id", "left_semi")
-        .groupBy("cache_id", "chunk", "prev_chunk").agg(F.count(F.lit(1)).alias("c"))
-        .unionByName(cells.select("cache_id", "chunk", "prev_chunk", F.lit(0).cast("bigint").alias("c")))
-        .groupBy("cache_id", "chunk", "prev_chunk").agg(F.sum("c").alias("c"))
-    )
-    lower = Window.partitionBy("cache_id", "chunk").orderBy("prev_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("cache_id", "prev_chunk").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.withColumn("below", F.coalesce(F.sum("c").over(lower), F.lit(0)))
-        .withColumn("far", F.coalesce(F.sum("below").over(earlier), F.lit(0)))
-        .select("cache_id", "chunk", "prev_chunk", "far")
-    )
+        .groupBy("cache_id", "chunk", "prev_chunk").agg(F.count(F.lit(1)).alias("c")), "chunk-counts")
+    last = cells.agg(F.max("chunk")).first()[0]
+    if not last:
+        return cells.select("cache_id", "chunk", "prev_chunk", F.lit(0).cast("bigint").alias("far"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(int(last).bit_length() - 1))).alias("level")
+    each = cells.select("*", level)
+    asks = F.expr("shiftright(chunk, level) & 1") == 1
+    met = each.select(
+        "cache_id", "level", F.expr("shiftright(chunk, level + 1)").alias("block"), "prev_chunk",
+        # Equal prev_chunks don't count, so who asks comes before what is stored.
+        (~asks).cast("int").alias("stored"), "chunk", F.when(asks, 0).otherwise(F.col("c")).alias("c"))
+    group, order = ["cache_id", "level", "block"], ["prev_chunk", "stored"]
+    summed = running_sum(row_slices(met, group, order), group, [*order, "chunk"], "c", F.col(SLICE))
+    return summed.filter("stored = 0").groupBy("cache_id", "chunk", "prev_chunk").agg(F.sum("running").alias("far"))
 
 
 def reuse_distance(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..operators import lookup as lk, monitor as mo, similarity as sm
 from ..operators.answers import hashing_embedder
-from ..plans.search import Cells, side
+from ..plans.search import side
+from ..plans.tree import Tree
 from ..session import new_path
 from . import query
 from .views import (
@@ -101,9 +102,9 @@ def cached_answer(spark, sf):
 def cached_answer_saved(spark, sf):
     """The index is placed once and read back; the lookup gets no vectors but those."""
     index, path = answer_index(spark, sf), new_path(spark, "saved-index")
-    Cells.place(side(index, "vec_id", "embedding", "vec_id"), path=path)
+    Tree.build(side(index, "vec_id", "embedding", "vec_id"), path)
     return lk.cached_answer(
-        requests(spark, sf), answers(spark, sf), index.drop("embedding"), ANSWERS_NOW, T, placed=Cells.read(spark, path))
+        requests(spark, sf), answers(spark, sf), index.drop("embedding"), ANSWERS_NOW, T, placed=Tree.read(spark, path))
 
 
 @query("cached_answer_all", f"WITH {_cached(_BEST_ALL)} SELECT * FROM outcome")

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as vx
 from ..operators import answers as an, similarity as sm
-from ..plans.search import Cells, nearest, nearest_approximate, recall, side
+from ..plans.quantised import Quantised, nearest_quantised
+from ..plans.search import nearest, recall, side
+from ..plans.tree import Tree
 from ..session import new_path, stage
 from . import query
 from .views import (
@@ -103,11 +105,9 @@ def topk_similarity_cells(spark, sf):
 
 @query("topk_approximate")
 def topk_approximate(spark, sf):
-    """Neighbours from four fifths of the cells, and their recall against the exact plan, per query."""
-    index = side(index_rows(spark, sf), "vec_id", "embedding", "vec_id")
-    placed = Cells.place(stage(index, "index"))
-    # The given vectors lie far apart in all directions, so good recall takes many cells.
-    found = stage(nearest_approximate(questions(spark, sf), placed, 10, max(1, 4 * len(placed.size) // 5)), "approximate")
+    """Neighbours from compressed vectors, their recall against the exact plan, and the share of bytes they took, per query."""
+    placed = Quantised.build(side(index_rows(spark, sf), "vec_id", "embedding", "vec_id"), new_path(spark, "codes"))
+    found = stage(nearest_quantised(questions(spark, sf), placed, 10), "approximate")
     rates = recall(found, nearest(questions(spark, sf), index_rows(spark, sf), 10))
     return found.join(rates, "qid")
 
@@ -116,7 +116,18 @@ def topk_approximate(spark, sf):
 def topk_similarity_saved(spark, sf):
     """Against an index placed and written once, read back for the search."""
     index = side(index_rows(spark, sf), "vec_id", "embedding", "vec_id")
-    saved = Cells.place(index, path=new_path(spark, "index"))
+    saved = Tree.build(index, new_path(spark, "index"))
+    return nearest(questions(spark, sf), saved, 10)
+
+
+@query("index_changes", f"""WITH {SCORES}, alive AS (SELECT * FROM scores WHERE vec_id % 5 <> 0 OR vec_id % 10 = 0)
+{_TOP.replace('scores', 'alive')}""")
+def index_changes(spark, sf):
+    """A saved index that rows are added to and removed from, and some of those brought back, then searched."""
+    index = side(index_rows(spark, sf), "vec_id", "embedding", "vec_id")
+    ids = index.select("vec_id")
+    saved = Tree.build(index.filter("vec_id % 3 <> 0"), new_path(spark, "index"))
+    saved = saved.append(index.filter("vec_id % 3 = 0")).remove(ids.filter("vec_id % 5 = 0")).append(index.filter("vec_id % 10 = 0"))
     return nearest(questions(spark, sf), saved, 10)
 
 

@@ -72,6 +72,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if int(str(size)) < cores * split else df
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_dir(spark)}/answerloom/{name}-{uuid.uuid4().hex}"

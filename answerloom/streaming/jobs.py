@@ -18,7 +18,7 @@ from ..operators.changelog import STATE
 from ..operators.lifecycle import replay_step
 from ..operators.lookup import cached_answer, live
 from ..operators.monitor import metrics_window
-from ..plans.search import Cells
+from ..plans.tree import Tree
 from ..schemas import LEVELS
 from ..session import stage
 from ..sources.snapshots import write_snapshot
@@ -200,12 +200,12 @@ def access_counts_stream(
 
 def semantic_lookup_stream(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float, scope: str = "live",
-    placed: Cells | None = None,
+    placed: Tree | None = None,
 ) -> DataFrame:
     """Exact-else-semantic answers for a stream of (qid, query, embedding).
 
     Entries and index are written out once, not worked out per batch.
-    ``placed``: the index saved by :class:`Cells`; ``index`` then needs no vectors.
+    ``placed``: the index saved by :class:`~answerloom.plans.tree.Tree`; ``index`` then needs no vectors.
     """
     entries, index = stage(live(entries, now), "stream-entries"), stage(index, "stream-index")
     schema = "qid bigint, query string, source string, matched_query string, sim double, value string"
