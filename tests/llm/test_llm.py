@@ -414,6 +414,30 @@ def test_pipeline_stages_take_edge_rows(spark, sf):
             out.collect()
 
 
+def test_pipeline_runs_on_clashing_columns_and_unclear_ids(spark, sf, tmp_path):
+    import corpus_pipeline as p
+
+    rows = read(spark, sf, "documents").filter("n_chars > 200").orderBy("doc_id").limit(60).collect()
+    given = [(None if i < 5 else 7 if i < 8 else r.doc_id + 1000, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(rows)]
+    given += [given[3], (5, given[9][1], "en", "a", 1), (4, given[9][1] + " end", "en", "a", 1)]
+    clash = ("shard", "slot", "_text", "_row", "_number", "doc_slot", "component_id")
+    docs = spark.createDataFrame(given, DOCS).withColumns({c: F.concat(F.lit(f"{c} "), F.col("text")) for c in clash})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    read(spark, sf, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    single = p.near_dedup(spark, read(spark, str(tmp_path), "documents"), str(tmp_path))
+    groups = brute.components(brute.shingle_sets([r[1] for r in given], 5))
+    kept = single.collect()
+    assert single.columns == docs.columns and len(kept) == len(set(groups)) and len({r.text for r in kept}) == len(kept)
+    assert {4} <= {r.doc_id for r in kept} and 5 not in {r.doc_id for r in kept}
+    out = p.run(spark, str(tmp_path))
+    assert out.columns == ["doc_shard" if c == "shard" else "doc_slot_" if c == "slot" else c for c in docs.columns] + ["shard", "slot"]
+    got = out.collect()
+    assert got and {r.text for r in got} <= {r.text for r in kept}
+    for r in got:
+        assert all(r[to] == f"{c} {r.text}" for c, to in zip(clash, ["doc_shard", "doc_slot_", *clash[2:]]))
+    assert sorted(r.slot for r in got if r.shard == 0) == list(range(sum(r.shard == 0 for r in got)))
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_have_the_agreed_columns(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
