@@ -38,14 +38,16 @@ def train(
 ) -> dict[str, bytes]:
     """Dictionary per language from (doc_id, text, lang), the most frequent language first.
 
-    The classifier is fitted on a bounded sample: of each of the ``max_languages``
-    most frequent languages, the ``sample_docs`` documents with the smallest hash
+    The classifier is fitted on a bounded sample: of each language (more than
+    ``max_languages`` are an error), the ``sample_docs`` documents with the smallest hash
     of doc_id give a piece of equal length each, at most ``dictionary_bytes``.
     """
     usable = labelled.filter("lang is not null and octet_length(text) > 0")
     narrow = usable.select("lang", F.xxhash64("doc_id").alias("_h"))
     # One row per language.
-    langs = [r["lang"] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    langs = [r["lang"] for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()]
+    if len(langs) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages, or none of the others would ever be predicted")
     best = Window.partitionBy("lang").orderBy("_h")
     picked = (
         narrow.filter(F.col("lang").isin(langs)).withColumn("_r", F.row_number().over(best))

@@ -22,6 +22,7 @@ from .common import words
 from .shingles import occurrences
 
 K = 2
+BAND, WORDS_A_GAP = 3, 8  # words put in or left out that a run bears, and how many more for that many words of template
 
 # Phrases whose every place counts, with their labels.
 PHRASES = (
@@ -54,7 +55,7 @@ def template_grams(spark: SparkSession, phrases: Sequence[tuple[str, str]], temp
 
 def scan(
     docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
-    *, band: int = 2, coverage: float = 0.7, ids: Sequence[str] = ("doc_id",),
+    *, band: int = BAND, coverage: float = 0.7, ids: Sequence[str] = ("doc_id",),
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, spans).
 
@@ -63,7 +64,8 @@ def scan(
     first, last (words, both included), coverage. Phrases need every k-gram on
     one diagonal, so their places are exact (but for equal 64-bit hashes of
     different words); a template needs ``coverage`` of its distinct k-grams on
-    diagonals at most ``band`` apart. ``score`` is the best coverage.
+    diagonals of which neighbours lie at most ``band`` apart, and one more for
+    each eight words of the template. ``score`` is the best coverage.
 
     Phrases and templates have at least two words. Null text has no words and
     matches nothing. Rows with equal ids are taken together as one document.
@@ -79,9 +81,10 @@ def scan(
         F.max("n_words").alias("n_words"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("at"))
     # Exact phrases keep diagonals apart; others join a run while the gap is at most the band.
     along = Window.partitionBy(*ids, "template").orderBy("diagonal", "first")
+    wide = F.lit(band) + F.floor(F.col("length") / WORDS_A_GAP)
     gap = F.col("diagonal") - F.lag("diagonal").over(along)
     apart = F.col("first") - F.lag("last").over(along)
-    new = F.when(gap.isNull() | F.col("exact") | (gap > band) | (F.abs(apart) > F.col("length")), 1).otherwise(0)
+    new = F.when(gap.isNull() | F.col("exact") | (gap > wide) | (F.abs(apart) > F.col("length")), 1).otherwise(0)
     merged = per_diagonal.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along)).groupBy(
         *ids, "template", "exact", "label", "length", "_run").agg(
         F.max("n_words").alias("n_words"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"),

@@ -18,12 +18,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.ordering import SLICE, row_slices, running_sum
 from ..session import stage
 from .common import pack, packed, partitions, unpack
 
 DIMENSIONS = ("source", "lang", "n_chars")
+BROADCAST_VALUES, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -51,29 +53,50 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def _measure(docs: DataFrame, column: str) -> Column:
-    """A number that sorts as the column does: strings by their first seven bytes; null is -1."""
-    kind = dict(docs.dtypes)[column]
-    c = F.col(column)
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.encode(c, "utf-8"), 1, 7)), 14, "0")
-        c = F.conv(head, 16, 10)
-    return F.coalesce(c.cast("double"), F.lit(-1.0))
+def _value_bins(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """(value, bin) of a string column: values in order, each at the share of rows before it, null first.
+
+    One row per distinct value; the running count goes over range partitions,
+    so a column with a value per row is spread as the rows are.
+    """
+    counts = docs.groupBy(F.col(column).alias("_value")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0))
+    laid = row_slices(counts, ["_all"], ["_value"])
+    total = laid.agg(F.sum("_n")).first()[0] or 1
+    summed = running_sum(laid, ["_all"], ["_value"], "_n", F.col(SLICE), "_upto")
+    return stage(summed.select("_value", F.floor((F.col("_upto") - F.col("_n")) * (1 << bits) / total).cast("double").alias("_bin")), "value-bins")
 
 
 def quantise(docs: DataFrame, dimensions: Sequence[str], bits: int) -> DataFrame:
-    """Adds ``_curve``: bins of about equal rows per dimension (2**bits - 1 cuts each), then the curve index."""
-    measures = [_measure(docs, d).alias(f"_m{i}") for i, d in enumerate(dimensions)]
+    """Adds ``_curve``: bins of about equal rows per dimension, then the curve index.
+
+    Strings are placed by their rank among all values, numbers by 2**bits - 1
+    quantiles; null takes the lowest bin.
+    """
+    kinds = dict(docs.dtypes)
+    measures = [F.lit(0.0) if kinds[d] == "string" else F.coalesce(F.col(d).cast("double"), F.lit(-1.0)) for d in dimensions]
     at = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = docs.select(*measures).agg(*[F.percentile_approx(f"_m{i}", at).alias(f"c{i}") for i in range(len(dimensions))]).first()
+    found = docs.select(*[m.alias(f"_m{i}") for i, m in enumerate(measures)]).agg(
+        *[F.percentile_approx(f"_m{i}", at).alias(f"c{i}") for i in range(len(dimensions))]).first()
     cuts = [np.unique(np.asarray(c if c is not None else [], float)) for c in found]
+    for i, d in enumerate(dimensions):
+        if kinds[d] == "string":
+            bins = _value_bins(docs, d, bits)
+            size = bins.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("_value")).alias("bytes")).first()
+            few = size["n"] <= BROADCAST_VALUES and (size["bytes"] or 0) <= BROADCAST_BYTES
+            docs = docs.join(F.broadcast(bins) if few else bins, F.col(d).eqNullSafe(F.col("_value")), "left").drop("_value")
+            docs = docs.withColumnRenamed("_bin", f"_bin{i}")
+            cuts[i] = np.arange(1.0, 1 << bits)
+            measures[i] = F.col(f"_bin{i}")
 
     @F.pandas_udf("bigint")
     def curve(*columns: pd.Series) -> pd.Series:
-        cells = [np.searchsorted(c, s.to_numpy(float), side="left") for c, s in zip(cuts, columns)]
+        # A string's bin k lies at or above k cuts, a number's above them.
+        cells = [
+            np.searchsorted(c, s.to_numpy(float), side="right" if kinds[d] == "string" else "left")
+            for d, c, s in zip(dimensions, cuts, columns)]
         return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
-    return docs.withColumn("_curve", curve(*[_measure(docs, d) for d in dimensions]))
+    return docs.withColumn("_curve", curve(*measures)).drop(*[f"_bin{i}" for i in range(len(dimensions))])
 
 
 def hilbert_shards(
@@ -86,7 +109,9 @@ def hilbert_shards(
 
     Nulls: null text is an empty one (size 1, crc32 of nothing); null dimensions
     take the lowest bin; null doc_id sorts first. Rows alike in everything get
-    neighbouring slots. Empty input gives no rows.
+    neighbouring slots. Very long texts are only measured and hashed. Columns
+    in ``carry`` with a name of this operator's own are left out. Empty input
+    gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))

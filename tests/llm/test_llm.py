@@ -70,6 +70,37 @@ def test_shards_have_equal_counts_and_gapless_slots(spark, sf):
     assert [r.curve for r in ordered] == sorted(r.curve for r in rows)
 
 
+def test_long_common_prefixes_still_prune(spark):
+    rng = random.Random(3)
+    rows = [(i, "t" * (i % 50), "en", f"https://{rng.choice('abcd')}.example.org/path", i % 50) for i in range(400)]
+    rows += [(1000 + i, "t", "en", "https://e.example.org/path", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    placed = sharding.hilbert_shards(docs, 4, ["source"], carry=["source"]).collect()
+    assert max(len({r.shard for r in placed if r.source == s}) for s in {r.source for r in placed}) <= 2
+    ordered = sorted(placed, key=lambda r: r["rank"])
+    assert [r.source for r in ordered] == sorted(r.source for r in placed)
+
+
+def test_shards_against_plain_code(spark):
+    """Curve and shards worked out again from bins by sorting."""
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(40), rng.choice(["en", "de", None]), rng.choice(["a", "b", "b", "c", None]), rng.randrange(5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in sharding.hilbert_shards(docs, 5, ["source", "lang"], bits=3).collect()}
+
+    def bins(values):
+        order = sorted(values, key=lambda v: (v is not None, v or ""))
+        return {v: order.index(v) * 8 // len(values) for v in set(values)}
+
+    source, lang = bins([r[3] for r in rows]), bins([r[2] for r in rows])
+    cells = np.array([[source[r[3]], lang[r[2]]] for r in rows])
+    curve = sharding.hilbert_index(cells, 3)
+    assert [got[r[0]].curve for r in rows] == curve.tolist()
+    ranked = sorted(got.values(), key=lambda r: r["rank"])
+    assert [r.shard for r in ranked] == [i * 5 // 300 for i in range(300)]
+    assert [r.curve for r in ranked] == sorted(curve.tolist())
+
+
 def test_shards_of_edge_rows(spark, tmp_path):
     docs = edge(spark)
     placed = sharding.hilbert_shards(docs, 4, carry=["lang", "source", "n_chars"])
@@ -92,6 +123,24 @@ def test_decontamination_of_edge_rows(spark):
     assert {r.n_hit for r in decontaminate.hits(edge(spark), bench.limit(0)).collect()} == {0}
 
 
+def test_a_short_item_leaves_the_shingles_of_others_alone(spark, tmp_path):
+    rng = random.Random(8)
+    words = vocabulary(8, 300)
+    items = [prose(rng, words, 20) for _ in range(30)]
+    texts = [prose(rng, words, 120) for _ in range(80)] + [f"{prose(rng, words, 30)} {i} {prose(rng, words, 9)}" for i in items[:10]]
+    texts.append("Some RareWord here, and rareword.")
+    rows = [(i, t) for i, t in enumerate(items)]
+    alone = decontaminate.item_windows(spark.createDataFrame(rows, "item_id bigint, text string"), 10)
+    both = spark.createDataFrame([*rows, (90, "rareword"), (91, "two words"), (92, None), (93, "...")], "item_id bigint, text string")
+    assert {r.k for r in alone.collect()} == {4} and sorted({r.k for r in decontaminate.item_windows(both, 10).collect()}) == [1, 2, 4]
+    got = {r.doc_id: r for r in decontaminate.hits(frame(spark, texts), both).collect()}
+    assert got[90].items == ["90"] and got[90].n_hit == 2
+    for i, text in enumerate(texts[:90]):
+        flat = f" {' '.join(re.findall('[a-z0-9]+', text.lower()))} "
+        want = {n for n, item in enumerate(items) if any(f" {' '.join(item.split()[a:a + 10])} " in flat for a in range(11))}
+        assert got[i].items == sorted(map(str, want))
+
+
 def test_decontamination_against_plain_code(spark):
     rng, words = random.Random(3), vocabulary(3, 6)
     docs = [prose(rng, words, rng.randint(0, 60)) for _ in range(60)]
@@ -342,6 +391,23 @@ def test_forest_of_edge_rows(spark):
     assert forest.near_duplicates(edge(spark).limit(0)).count() == 0
 
 
+def test_words_put_into_a_statement_keep_its_label(spark):
+    texts = [
+        "Released under the terms of the MIT License.",
+        "This work is licensed under the terms of the GNU General Public License, version 3.",
+        "Nothing but the plain terms of a holiday by the sea.",
+    ]
+    rows = sorted(licenses.scan(frame(spark, texts))[0].collect(), key=lambda r: r.doc_id)
+    assert rows[0].labels == "mit" and "gpl-3.0" in rows[1].labels.split(",") and rows[2].labels == ""
+
+
+def test_more_languages_than_allowed_are_an_error(spark):
+    rows = [(i, "some text", f"l{i}", "a", 9) for i in range(4)]
+    with pytest.raises(ValueError, match="max_languages"):
+        langid.train(spark.createDataFrame(rows, DOCS), max_languages=3)
+    assert len(langid.train(spark.createDataFrame(rows, DOCS), max_languages=4)) == 4
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_hypergeometric_draws_follow_the_law(spark):
