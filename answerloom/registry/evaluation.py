@@ -72,21 +72,27 @@ _REPORT = """SELECT (tp + fp + tn + fn) AS dataset_size, (tp + fp) AS cache_hits
   (CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn)::DOUBLE END >= 0.7 AND (tp + fp) / (tp + fp + tn + fn)::DOUBLE >= 0.3) AS integration_passed FROM c"""
 
 
-@query("reuse_report", f"""WITH {BEST}, {_LATENCY}, c AS (SELECT {_COUNTS.format(hit='best_sim >= 0.3')} FROM best)
-{_REPORT.format(evictions='7', speedup='(SELECT m / h FROM lat)')}""")
+_EVICTED = """per AS (SELECT cache_id, count(*) AS requests, count(*) FILTER (distance <= {c} - 2) AS hits, count(*) FILTER (distance IS NULL) AS keys FROM dist GROUP BY 1),
+gone AS (SELECT sum(requests - hits - least(keys, {c} - 1))::BIGINT AS n FROM per)"""
+
+
+@query("reuse_report", f"""WITH {BEST}, {_LATENCY.replace(LOG, DISTANCE)}, {_EVICTED.format(c=50)}, c AS (SELECT {_COUNTS.format(hit='best_sim >= 0.3')} FROM best)
+{_REPORT.format(evictions='(SELECT n FROM gone)', speedup='(SELECT CASE WHEN h = 0 THEN 0 ELSE m / h END FROM lat)')}""")
 def reuse_report(spark, sf):
+    """Evictions are those of the access log at 50 entries a cache, the speed-up that of its latencies."""
     speed = ev.latency(events(spark, sf).select(F.col("event_type").isin("view", "click").alias("hit"), F.col("value").alias("latency_ms")))
     counts = ev.confusion(scored(spark, sf).withColumn("hit", F.col("best_sim") >= 0.3))
-    return ev.reuse_report(beside(counts, speed.select("speedup")), F.lit(7), F.col("speedup"))
+    evicted = ev.capacity_sweep(access_log(spark, sf), (50,)).select("evictions")
+    return ev.reuse_report(beside(counts, speed.select("speedup"), evicted), F.col("evictions"), F.col("speedup"))
 
 
 CAPACITY = 60
 
 
-@query("benchmark_replay", f"""WITH {BEST}, kept AS (SELECT q1 FROM pairs ORDER BY md5(pair_id || '-42') DESC, pair_id DESC LIMIT {CAPACITY - 1}),
+@query("benchmark_replay", f"""WITH {BEST}, {_LATENCY}, kept AS (SELECT q1 FROM pairs ORDER BY md5(pair_id || '-42') DESC, pair_id DESC LIMIT {CAPACITY - 1}),
 o AS (SELECT b.*, best_sim >= 0.3 AND best_id IN (SELECT q1 FROM kept) AS hit FROM best b),
 c AS (SELECT {_COUNTS.format(hit='hit')} FROM o), e AS (SELECT greatest(0, count(*) - {CAPACITY - 1}) AS n FROM pairs)
-SELECT c.*, r.* FROM c, ({_REPORT.format(evictions='(SELECT n FROM e)', speedup='0')}) r""")
+SELECT c.*, r.* FROM c, ({_REPORT.format(evictions='(SELECT n FROM e)', speedup='(SELECT CASE WHEN h = 0 THEN 0 ELSE m / h END FROM lat)')}) r""")
 def benchmark_replay(spark, sf):
     """Store every q1 in shuffled order, keep the last ones, look up every q2."""
     draw = F.md5(F.concat_ws("-", F.col("pair_id").cast("string"), F.lit("42")))
@@ -97,7 +103,9 @@ def benchmark_replay(spark, sf):
     outcomes = ev.replay_pairs(placed, embeddings(spark, sf), 0.3, CAPACITY)
     counts = stage(ev.confusion(outcomes), "counts")  # one row, used twice
     stored = F.greatest(F.lit(0), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") - (CAPACITY - 1))
-    return beside(counts, ev.reuse_report(counts, stored, F.lit(0)))
+    speed = ev.latency(events(spark, sf).select(F.col("event_type").isin("view", "click").alias("hit"), F.col("value").alias("latency_ms")))
+    timed = beside(counts, speed.select("speedup"))
+    return beside(counts, ev.reuse_report(timed, stored, F.col("speedup")))
 
 
 _SWEEP = f"""sizes AS (SELECT unnest({list(SIZES)}::INT[]) AS cache_size),

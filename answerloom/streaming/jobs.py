@@ -8,6 +8,7 @@ key brings at a time (``maxFilesPerTrigger`` and the like on the source).
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -216,7 +217,9 @@ def semantic_lookup_stream(
     return run_batches(requests, "lookups", work, schema).drop("batch_id")
 
 
-BUCKETS = 64  # by key; a batch rewrites those it touches
+BUCKETS = 64  # by key, to begin with; a batch rewrites those it touches
+BUCKET_ROWS = 500_000
+FAN = 8  # versions of a level that are merged into one of the next
 
 
 def _facts(ops: DataFrame) -> DataFrame:
@@ -273,54 +276,135 @@ def _state_of(facts: DataFrame) -> DataFrame:
 
 
 class StateStore:
-    """Folded facts under a path: ``version=<batch>/bucket=<n>``, only touched buckets in a version.
+    """Folded facts under a path, in buckets that split and versions that merge.
+
+    **Versions.** A batch writes the buckets it touches as
+    ``level=0/version=<batch>/bucket=<code>``. Once FAN versions of a level are
+    there, the next batch first merges them: the current contents of their
+    buckets become one version of the level above, named by the newest of them,
+    and then they are dropped. So n batches leave at most FAN * log(n) / log(FAN)
+    folders and one more level, and a fact is rewritten once per level.
+
+    **Buckets.** A code is a 1 and then the low bits of a key's hash, so a
+    bucket is a node of a binary tree. One that has grown beyond
+    ``bucket_rows`` facts is written as its two halves (or theirs), and is gone
+    once a half is there; keys are dealt by the deepest code in the folders. A
+    task that writes holds one bucket. The codes number facts / bucket_rows.
 
     What is current is read off the folders, so a restart goes on where the last
-    one ended; a batch that runs again sees the versions before it and replaces
-    its own.
+    one ended. A batch that runs again sees the versions before it and replaces
+    its own; only versions before the batch are merged, and dropped only when
+    the merged one is complete.
     """
 
-    def __init__(self, start: DataFrame, path: str, buckets: int = BUCKETS):
-        self.spark, self.start, self.path, self.buckets = start.sparkSession, start, path, buckets
-        self.schema = self._dealt(_fold(_facts_of_state(start))).schema
+    def __init__(self, start: DataFrame, path: str, buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS, fan: int = FAN):
+        if buckets & (buckets - 1) or fan < 2:
+            raise ValueError("buckets must be a power of two, and fan at least 2")
+        self.spark, self.start, self.path = start.sparkSession, start, path
+        self.depth, self.bucket_rows, self.fan = buckets.bit_length() - 1, bucket_rows, fan
+        self.schema = self._dealt(_fold(_facts_of_state(start)), set()).schema
+
+    def _dealt(self, facts: DataFrame, split: set[int]) -> DataFrame:
+        """Facts with their bucket: the shallowest code that is not split; those without a key are in bucket -1."""
+        low = F.xxhash64("key")
+
+        def code(depth: int):
+            return low.bitwiseAND((1 << depth) - 1) + (1 << depth)
 
-    def _dealt(self, facts: DataFrame) -> DataFrame:
-        """Facts without a key are in bucket -1."""
-        bucket = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
-        return facts.select("kind", "key", "level", "fact", "at", bucket.alias("bucket"))
+        deepest = max([c.bit_length() for c in split], default=self.depth)
+        bucket = code(deepest)
+        for depth in range(deepest - 1, self.depth - 1, -1):
+            here = [c for c in split if c.bit_length() - 1 == depth]
+            bucket = F.when(code(depth).isin(here), bucket).otherwise(code(depth)) if here else code(depth)
+        return facts.select("kind", "key", "level", "fact", "at", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(bucket).cast("bigint").alias("bucket"))
+
+    def _fs(self):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        return jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(conf)
 
     def _listed(self, path: str, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
+        to_path, fs = self._fs()
+        if not fs.exists(to_path(path)):
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(folder)]
+        found = [s.getPath().getName() for s in fs.listStatus(to_path(path))]
         return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}="))
 
-    def versions(self, before: int | None = None) -> list[int]:
-        """Complete versions, oldest first."""
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        listed = [v for v in self._listed(self.path, "version") if before is None or v < before]
-        return [v for v in listed if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={v}/_SUCCESS"))]
+    def _folder(self, level: int, version: int) -> str:
+        return f"{self.path}/level={level}/version={version}"
+
+    def versions(self, before: int | None = None) -> list[tuple[int, int]]:
+        """(version, level) of complete versions, oldest first; of one batch, the merged one last."""
+        to_path, fs = self._fs()
+        found = []
+        for level in self._listed(self.path, "level"):
+            for v in self._listed(f"{self.path}/level={level}", "version"):
+                if (before is None or v < before) and fs.exists(to_path(f"{self._folder(level, v)}/_SUCCESS")):
+                    found.append((v, level))
+        return sorted(found)
+
+    def _held(self, versions: list[tuple[int, int]]) -> dict[int, tuple[int, int]]:
+        """Bucket -> the latest (version, level) that has it, split buckets too."""
+        return {b: (v, level) for v, level in versions for b in self._listed(self._folder(level, v), "bucket")}
+
+    def _split(self, held) -> set[int]:
+        """Codes of which a half is held; a half is a 1 before the top bit's place or a 0."""
+        out: set[int] = set()
+        for code in held:
+            while code > 0 and code.bit_length() - 1 > self.depth:
+                depth = code.bit_length() - 2
+                code = (code & ((1 << depth) - 1)) | (1 << depth)
+                out.add(code)
+        return out
 
     def current(self, before: int | None = None) -> dict[int, int]:
-        """Bucket -> the latest version that has it."""
-        return {b: v for v in self.versions(before) for b in self._listed(f"{self.path}/version={v}", "bucket")}
-
-    def facts(self, before: int | None = None, only: list[int] | None = None) -> DataFrame:
-        """Current facts; buckets that no version has come from the start state."""
-        held = self.current(before)
-        wanted = {b: v for b, v in held.items() if only is None or b in only}
-        first = self._dealt(_fold(_facts_of_state(self.start)))
-        out = first.filter(~F.col("bucket").isin(list(held))) if held else first
-        out = out if only is None else out.filter(F.col("bucket").isin(only))
-        if wanted:
-            paths = [f"{self.path}/version={v}/bucket={b}" for b, v in wanted.items()]
-            inner = T.StructType([f for f in self.schema.fields if f.name != "bucket"])
-            out = out.unionByName(self._dealt(self.spark.read.schema(inner).parquet(*paths)))
-        return out
+        """Bucket -> the latest version that has it, without those that have been split."""
+        held = self._held(self.versions(before))
+        split = self._split(held)
+        return {b: v for b, (v, _) in held.items() if b not in split}
+
+    def _read(self, held: dict[int, tuple[int, int]]) -> DataFrame:
+        inner = T.StructType([f for f in self.schema.fields if f.name != "bucket"])
+        return self.spark.read.schema(inner).parquet(*[f"{self._folder(level, v)}/bucket={b}" for b, (v, level) in held.items()])
+
+    def _bases(self, buckets) -> set[int]:
+        """The buckets at the first depth that these come from."""
+        low = (1 << self.depth) - 1
+        return {b if b < 0 else (b & low) | (1 << self.depth) for b in buckets}
+
+    def facts(self, before: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """Current facts (of the buckets ``only``); what no version has comes from the start state."""
+        held = self._held(self.versions(before))
+        split = self._split(held)
+        first = self._dealt(_fold(_facts_of_state(self.start)), set())
+        bases = self._bases(held)
+        out = first.filter(~F.col("bucket").isin(list(bases))) if bases else first
+        out = self._dealt(out.drop("bucket"), split)
+        if only is not None:
+            out = out.filter(F.col("bucket").isin(list(only)))
+        live = {b: at for b, at in held.items() if b not in split and (only is None or b in only)}
+        return out.unionByName(self._dealt(self._read(live), split)) if live else out
+
+    def _write(self, facts: DataFrame, level: int, version: int) -> None:
+        (facts.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(self._folder(level, version)))
+
+    def merge(self, before: int) -> None:
+        """Merges every level that has FAN versions older than ``before``, lowest first."""
+        to_path, fs = self._fs()
+        level = 0
+        while True:
+            versions = self.versions(before)
+            mine = [v for v, at in versions if at == level]
+            if len(mine) >= self.fan:
+                held = self._held(versions)
+                split = self._split(held)
+                live = {b: at for b, at in held.items() if b not in split and at[1] == level}
+                if live:
+                    self._write(self._dealt(self._read(live), split), level + 1, mine[-1])
+                for v in mine:
+                    fs.delete(to_path(self._folder(level, v)), True)
+            elif all(at <= level for _, at in versions):
+                return
+            level += 1
 
     def add(self, ops: DataFrame, batch_id: int, tombstones_s: float | None) -> None:
         """Writes the touched buckets of a batch as its version.
@@ -329,8 +413,10 @@ class StateStore:
         time are forgotten in the buckets written; writes that come later than
         that are then undefined. None keeps them.
         """
-        news = stage(self._dealt(_fold(_facts(ops))), "stream-facts")
-        touched = [r[0] for r in news.select("bucket").distinct().collect()]  # at most buckets + 1
+        self.merge(batch_id)
+        split = self._split(self._held(self.versions(batch_id)))
+        news = stage(self._dealt(_fold(_facts(ops)), split), "stream-facts")
+        touched = {r[0] for r in news.select("bucket").distinct().collect()}  # as many as there are buckets
         if not touched:
             return
         folded = _fold(self.facts(batch_id, touched).unionByName(news).drop("bucket"))
@@ -338,14 +424,22 @@ class StateStore:
             latest = news.filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
             old = F.col("at.ts") < F.lit(latest) - F.make_dt_interval(secs=F.lit(tombstones_s))
             folded = folded.filter(~((F.col("fact.operation") == "delete") & old) | F.col("fact.operation").isNull())
-        (self._dealt(folded).repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket")
-         .parquet(f"{self.path}/version={batch_id}"))
+        folded = stage(folded, "stream-folded")
+        dealt = self._dealt(folded, split)
+        for r in dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > self.bucket_rows) & (F.col("bucket") > 0)).collect():
+            # As many halvings as bring it below the bound on average.
+            codes = [r["bucket"]]
+            for _ in range(math.ceil(math.log2(r["n"] / self.bucket_rows))):
+                split |= set(codes)
+                depth = codes[0].bit_length() - 1
+                codes = [(c & ((1 << depth) - 1)) | (bit << depth) | (1 << (depth + 1)) for c in codes for bit in (0, 1)]
+        self._write(self._dealt(folded, split), 0, batch_id)
 
     def state(self) -> DataFrame:
         return _state_of(self.facts())
 
     def latest(self):
-        return self.facts(only=[-1]).filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
+        return self.facts(only={-1}).filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
 
 
 def state_stream(

@@ -218,6 +218,38 @@ def test_a_repeated_batch_replaces_itself_and_touches_few_buckets(spark):
     assert sum(v == 1 for v in store.current().values()) == 2  # the key's bucket and the one for all keys
 
 
+def test_versions_merge_in_levels(spark):
+    rng = random.Random(2)
+    rows = [(at(i), i, rng.choice(["set", "set", "delete"]), f"k{rng.randrange(9)}", "query", f"v{i}", 50) for i in range(11)]
+    ops = spark.createDataFrame(rows, OPS)
+    store = jobs.StateStore(cl.replay(ops.limit(0)), new_path(spark, "state"), buckets=4, fan=3)
+    most = 0
+    for i in range(11):
+        store.add(ops.filter(f"seq = {i}"), i, None)
+        most = max(most, len(store.versions()))
+    # Eleven batches: at most three versions in each of three levels, and higher levels are in use.
+    assert most <= 6 and {level for _, level in store.versions()} >= {0, 2}
+    assert rows_of(store.state()) == rows_of(cl.replay(ops))
+    store.add(ops.filter("seq = 10"), 10, None)  # again, after a restart
+    assert rows_of(store.state()) == rows_of(cl.replay(ops))
+
+
+def test_crowded_buckets_split(spark):
+    rows = [(at(i), i, "set", f"k{i % 150}", "query", f"v{i}", 50) for i in range(300)] + [(at(400), 400, "delete", "k3", "query", None, None)]
+    ops = spark.createDataFrame(rows, OPS)
+    start = cl.replay(ops.filter("seq < 100"))
+    store = jobs.StateStore(start, new_path(spark, "state"), buckets=2, bucket_rows=40)
+    store.add(ops.filter("seq between 100 and 120"), 0, None)
+    assert {b.bit_length() - 1 for b in store.current() if b > 0} != {1}
+    store.add(ops.filter("seq between 121 and 299"), 1, None)
+    store.add(ops.filter("seq = 400"), 2, None)
+    assert rows_of(store.state()) == rows_of(cl.replay(ops))
+    sizes = [r["count"] for r in store.facts().filter("bucket > 0").groupBy("bucket").count().collect()]
+    assert max(sizes) <= 80 and len(sizes) >= 6
+    again = jobs.StateStore(start, store.path, buckets=2, bucket_rows=40)
+    assert rows_of(again.state()) == rows_of(cl.replay(ops))
+
+
 def test_old_tombstones_can_be_forgotten(spark):
     rows = [(at(0), 0, "set", "a", "query", "v", 50), (at(1), 1, "delete", "a", "query", None, None), (at(1000), 2, "set", "a", "result", "w", 50)]
     ops = spark.createDataFrame(rows, OPS)
