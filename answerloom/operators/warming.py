@@ -12,8 +12,14 @@ from .lookup import live, missing
 DAY_US = 24 * 3600 * 1_000_000
 
 
-def popular_items(log: DataFrame, limit: int = 10) -> DataFrame:
-    """Top keys by accesses; ``recent_accesses`` within a day of the key's own last access."""
+def popular_items(log: DataFrame, limit: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """Top keys by accesses; ``recent_accesses`` within a day of the key's own last access.
+
+    ``among``: a bounded table of the keys that come into question.
+    """
+    if among is not None:
+        named = among.select(F.col("key").alias("_named"))
+        log = log.join(F.broadcast(named), F.col("key").eqNullSafe(F.col("_named")), "left_semi")
     counts = log.groupBy("key").agg(
         F.count(F.lit(1)).alias("access_count"), F.max("ts").alias("last_access"),
         F.min(F.struct("ts", "seq")).alias("_first"),

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import monitor as mo, rules as ru, similarity as sm, warming as wa
+from ..plans import digests
 from ..session import beside
 from . import query
 from .similarity import _DRIFT, history as vector_history
@@ -233,6 +234,21 @@ def version_invalidate(spark, sf):
     return ru.invalidated(entries(spark, sf), actions(spark, sf)).select("key", "level")
 
 
+@query("corpus_changes", """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 17 <> 0
+  UNION ALL SELECT doc_id + 10000000, text FROM documents WHERE doc_id % 29 = 0)
+SELECT coalesce(a.doc_id, d.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM documents d FULL JOIN a ON a.doc_id = d.doc_id WHERE a.text IS DISTINCT FROM d.text""")
+def corpus_changes(spark, sf):
+    """Documents that differ between the corpus and an edited one, from kept digest trees."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    text = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    edited = docs.filter("doc_id % 17 <> 0").withColumn("text", text).unionByName(
+        docs.filter("doc_id % 29 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+    levels = digests.levels_for(docs.count())
+    trees = digests.digest_tree(docs, levels), digests.digest_tree(edited, levels)
+    return digests.changed_documents(docs, edited, levels=levels, trees=trees)
+
+
 @query("corpus_version", """SELECT (sum(('0x' || substr(md5(text), 1, 15))::BIGINT) % 2305843009213693951)::BIGINT AS version FROM documents""")
 def corpus_version(spark, sf):
     return ru.corpus_version(documents(spark, sf))
@@ -283,10 +299,13 @@ def invalidation_stats(spark, sf):
 
 # ----------------------------------------------------------------- warming
 
-@query("popular_items", f"""WITH {LOG}, c AS (SELECT key, count(*) AS access_count, max(ts) AS last_access, min((ts, seq)) AS first FROM log GROUP BY 1),
+POPULAR = f"""WITH {LOG}, c AS (SELECT key, count(*) AS access_count, max(ts) AS last_access, min((ts, seq)) AS first FROM log GROUP BY 1),
 top AS (SELECT * FROM c ORDER BY access_count DESC, first LIMIT 10)
 SELECT key, access_count, epoch_us(last_access) AS last_access,
-  (SELECT count(*) FROM log WHERE log.key = top.key AND epoch_us(log.ts) > epoch_us(top.last_access) - 86400000000) AS recent_accesses FROM top""")
+  (SELECT count(*) FROM log WHERE log.key = top.key AND epoch_us(log.ts) > epoch_us(top.last_access) - 86400000000) AS recent_accesses FROM top"""
+
+
+@query("popular_items", POPULAR)
 def popular_items(spark, sf):
     return wa.popular_items(access_log(spark, sf)).select("key", "access_count", *us("last_access"), "recent_accesses")
 

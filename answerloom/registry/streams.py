@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from ..operators.changelog import replay
 from ..session import new_path, stage
 from ..sources.snapshots import read_snapshot
-from ..streaming import jobs
+from ..streaming import hitters, jobs
 from ..streaming.run import run_to_parquet
 from . import query
 from .lifecycle import C, DAY, REPLAY
 from .lookup import _BEST_LIVE, _cached
-from .monitoring import _WINDOW
+from .monitoring import POPULAR, _WINDOW
 from .storage import STATE, _state
 from .views import (
-    ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, answer_index, answers, counted, op_log, requests, slow_alerts, table, us,
+    ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, access_log, answer_index, answers, counted, op_log, requests, slow_alerts, table, us,
 )
 
 
@@ -95,6 +95,14 @@ def stream_access_counts(spark, sf):
     return out.select(*us("window_start"), "key", "access_count", *us("last_access"))
 
 
+@query("stream_popular_items", POPULAR)
+def stream_popular_items(spark, sf):
+    """The most frequent keys out of a summary kept over micro-batches, counted again in the stored log."""
+    log = access_log(spark, sf)
+    summary = hitters.summarise(_in_disorder(spark, log, "accesses"), new_path(spark, "popular"))
+    return hitters.popular_items(log, summary).select("key", "access_count", *us("last_access"), "recent_accesses")
+
+
 _SLIDE = 6 * 3_600_000_000
 
 
