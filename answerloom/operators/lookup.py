@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.entries import is_expired, level_of_value, level_rank, ttl_for, expires_at
+from ..plans.ordering import SLICE, rank_in_group, row_slices
 from ..plans.search import nearest
 from ..plans.tree import Tree
 from ..schemas import LEVELS
@@ -12,6 +13,9 @@ from ..session import stage
 from .similarity import build_index
 
 
+WINDOW_ROWS = 100_000
+
+
 def live(entries: DataFrame, now) -> DataFrame:
     return entries.filter(~is_expired(F.col("expires_at"), now) & F.col("value").isNotNull())
 
@@ -54,14 +58,15 @@ def value_level(level: str) -> str:
 
 def semantic_match(
     requests: DataFrame, entries: DataFrame, index: DataFrame, now, threshold: float,
-    level: str = "result", scope: str = "live", placed: Tree | None = None, **search,
+    level: str = "result", scope: str = "live", placed: Tree | None = None, whole: bool = False, **search,
 ) -> DataFrame:
     """(qid, matched_query, sim, value) for requests whose best match has a live value.
 
     ``scope='all'`` takes the best match of the whole index and then asks
     whether its entry lives; ``'live'`` searches live rows only. ``placed`` is
     the index saved by :class:`~answerloom.plans.tree.Tree`; ``index`` then only says which of its
-    vectors have which level and query, and needs no vectors.
+    vectors have which level and query, and needs no vectors. ``whole`` says
+    that it holds no others than those to be searched.
     """
     if scope not in ("all", "live"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -73,7 +78,7 @@ def semantic_match(
     rows = rows.select("vec_id", "matched_query", *(["embedding"] if placed is None else []))
     if scope == "live":
         rows = rows.join(values.select("matched_query"), "matched_query", "left_semi")
-    searched = rows if placed is None else placed.only(rows)
+    searched = rows if placed is None else placed if whole else placed.only(rows)
     best = nearest(requests, searched, 1, threshold, **search).select("qid", "vec_id", "sim")
     return (
         best.join(rows.select("vec_id", "matched_query"), "vec_id")
@@ -103,9 +108,8 @@ def cached_answer(
     asked = stage(missed.filter("query is not null and _has").groupBy("query").agg(F.min("qid").alias("_asked")), "asked")
     rest = missed.join(asked, "query", "left").withColumn(
         "_asked", F.coalesce("_asked", F.when(F.col("query").isNull() & F.col("_has"), F.col("qid"))))
-    rest = stage(rest.select("qid", "query", "_asked"), "missed")
-    once = requests.select("qid", "embedding").join(
-        rest.select(F.col("_asked").alias("qid")).filter("qid is not null").distinct(), "qid", "left_semi")
+    alone = missed.filter("query is null and _has").select("qid")
+    once = requests.select("qid", "embedding").join(asked.select(F.col("_asked").alias("qid")).unionByName(alone), "qid", "left_semi")
     found = semantic_match(once, entries, index, now, threshold, level, scope, placed, **search)
     rest = rest.join(found.withColumnRenamed("qid", "_asked"), "_asked", "left").select(
         "qid", "query",
@@ -134,6 +138,17 @@ def write_back(answers: DataFrame, entries: DataFrame, ttl_scale: int = 1) -> Da
     return store.join(touched, ["key", "level"], "left_anti").unionByName(merged)
 
 
+def latest_entries(entries: DataFrame, n: int) -> DataFrame:
+    """The ``n`` entries created last (then by key and level); a large n goes by sliced ranks, which gather it in no task."""
+    if n <= WINDOW_ROWS:
+        return entries.orderBy(F.col("created_at").desc(), "key", "level").limit(n)
+    order = ["_age", "key", "level"]
+    aged = entries.withColumns({"_all": F.lit(0), "_age": -F.unix_micros("created_at")})
+    laid = row_slices(aged, ["_all"], order)
+    ranked = rank_in_group(laid, ["_all"], [F.col(c) for c in order], [F.col(SLICE)], name="_place")
+    return ranked.filter(F.col("_place") <= n).select(entries.columns)
+
+
 def store_answers(
     answers: DataFrame, entries: DataFrame, embed, capacity: int | None = None, ttl_scale: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
@@ -151,7 +166,7 @@ def store_answers(
         "key", "value", F.coalesce("level", level_of_value(F.col("value"))).alias("level"), "ttl", "ts"), "answers")
     after = write_back(placed, entries, ttl_scale)
     if capacity is not None:
-        after = after.orderBy(F.col("created_at").desc(), "key", "level").limit(capacity - 1)
+        after = latest_entries(after, capacity - 1)
     text = F.when(F.col("level") == "result", F.col("key")).when(F.col("level").isin("query", "embedding"), F.col("value"))
     rows = placed.withColumn("query", text).filter("query is not null").select(
         F.xxhash64("key", "level", "ts").alias("vec_id"), "level", "query", "ts", embed(F.col("query")).alias("embedding"))

@@ -313,9 +313,16 @@ class Tree:
         self.spark.createDataFrame([(seq, kind, rows)], BATCHES).write.mode("overwrite").parquet(f"{home}/batches/seq={seq}")
         return self.read(self.spark, self.path, self.block_rows, self.most_bytes)
 
-    def append(self, rows: DataFrame) -> Tree:
-        """The index with (vec_id, vec) rows added: each goes down to its cell, radii on its way grow to hold it."""
-        home, seq = self._next()
+    def append(self, rows: DataFrame, seq: int | None = None) -> Tree:
+        """The index with (vec_id, vec) rows added: each goes down to its cell, radii on its way grow to hold it.
+
+        ``seq``: a number of the caller's for the batch, larger than those
+        before; one that is there already changes nothing.
+        """
+        home, after = self._next()
+        if seq is not None and seq < after:
+            return self
+        seq = after if seq is None else seq
         new = stage(rows.select("vec_id", "vec"), "tree-new").filter("vec is not null")
         zero = ~F.exists("vec", lambda x: x != 0)
         at = new.withColumn("node", F.when(zero, ZERO).otherwise(ROOT).cast("bigint"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators.changelog import replay
 from ..session import new_path, stage
 from ..sources.snapshots import read_snapshot
-from ..streaming import hitters, jobs
+from ..streaming import answering, hitters, jobs
 from ..streaming.run import run_to_parquet
 from . import query
 from .lifecycle import C, DAY, REPLAY
@@ -13,7 +13,7 @@ from .lookup import _BEST_LIVE, _cached
 from .monitoring import POPULAR, _WINDOW
 from .storage import STATE, _state
 from .views import (
-    ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, access_log, answer_index, answers, counted, op_log, requests, slow_alerts, table, us,
+    ANSWERS, ANSWERS_NOW, LOG, OPS, SLOW_ALERTS, THRESHOLD, access_log, answer_index, answers, counted, op_log, requests, slow_alerts, table, us,
 )
 
 
@@ -121,6 +121,43 @@ def stream_semantic_lookup(spark, sf):
     return jobs.semantic_lookup_stream(asked, answers(spark, sf), answer_index(spark, sf), ANSWERS_NOW, THRESHOLD)
 
 
+def _replayed(batches: int) -> str:
+    """Batch after batch in SQL: what batch n asks of c<n>, and c<n+1> with the answers to what it missed."""
+    parts = ["c0 AS (SELECT l.key, l.value, x.e FROM live l JOIN x ON x.query = l.key)"]
+    for n in range(batches):
+        parts.append(f"""m{n} AS (SELECT r.qid, c.key, c.value, round(list_cosine_similarity(r.e, c.e), 6) AS sim FROM asked r, c{n} c WHERE r.b = {n}
+  QUALIFY row_number() OVER (PARTITION BY r.qid ORDER BY round(list_cosine_similarity(r.e, c.e), 6) DESC, c.key) = 1),
+o{n} AS (SELECT r.qid, r.query, r.e, CASE WHEN c.key IS NOT NULL THEN 'exact' WHEN m.sim >= {THRESHOLD} THEN 'semantic' ELSE 'miss' END AS source,
+  CASE WHEN c.key IS NOT NULL THEN r.query WHEN m.sim >= {THRESHOLD} THEN m.key END AS matched_query,
+  CASE WHEN c.key IS NOT NULL THEN 1.0::DOUBLE WHEN m.sim >= {THRESHOLD} THEN m.sim END AS sim,
+  CASE WHEN c.key IS NOT NULL THEN c.value WHEN m.sim >= {THRESHOLD} THEN m.value END AS value
+  FROM asked r LEFT JOIN c{n} c ON c.key = r.query LEFT JOIN m{n} m ON m.qid = r.qid WHERE r.b = {n}),
+c{n + 1} AS (SELECT * FROM c{n} UNION ALL SELECT query, 'Fresh: ' || query, e FROM o{n} WHERE source = 'miss'
+  QUALIFY row_number() OVER (PARTITION BY query ORDER BY qid) = 1)""")
+    return ",\n".join(parts)
+
+
+@query("stream_answering", f"""WITH {ANSWERS}, asked AS (SELECT qid, query, e, qid // 2 % 3 AS b FROM req
+  UNION ALL SELECT qid + 10000000, 'Once more: ' || query, e, (qid // 2 + 1) % 3 FROM req), {_replayed(3)}
+{' UNION ALL '.join(f'SELECT qid, query, source, matched_query, sim, value FROM o{n}' for n in range(3))}""")
+def stream_answering(spark, sf):
+    """Three micro-batches; what one had to fetch, later ones find, word for word or by its vector."""
+    base = requests(spark, sf).withColumn("b", F.floor(F.col("qid") / 2) % 3)
+    more = base.select(
+        (F.col("qid") + 10_000_000).alias("qid"), F.concat(F.lit("Once more: "), "query").alias("query"), "embedding", ((F.floor(F.col("qid") / 2) + 1) % 3).alias("b"))
+    asked, path = stage(base.unionByName(more), "requests"), new_path(spark, "requests")
+    for n in range(3):
+        asked.filter(F.col("b") == n).drop("b").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(asked.drop("b").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def fetch(missed):
+        return missed.select("query", F.concat(F.lit("Fresh: "), "query").alias("value"), F.lit(864_000).alias("ttl"))
+
+    out = answering.answering_stream(
+        source, answers(spark, sf), answer_index(spark, sf), new_path(spark, "answering"), ANSWERS_NOW, fetch, THRESHOLD)
+    return out.select("qid", "query", "source", "matched_query", "sim", "value")
+
+
 @query("stream_alert_cooldown", f"""WITH RECURSIVE {SLOW_ALERTS}, s AS (SELECT level, category, message, seq, epoch_us(ts) AS t,
   row_number() OVER (PARTITION BY level, category, message ORDER BY ts, seq) AS rn FROM raw),
 f AS (SELECT level, category, message, seq, t, rn, t AS last, true AS emitted FROM s WHERE rn = 1

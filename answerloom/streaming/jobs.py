@@ -217,7 +217,7 @@ def semantic_lookup_stream(
     return run_batches(requests, "lookups", work, schema).drop("batch_id")
 
 
-BUCKETS = 64  # by key, to begin with; a batch rewrites those it touches
+BUCKETS = 8  # by key, to begin with; a batch rewrites those it touches
 BUCKET_ROWS = 500_000
 FAN = 8  # versions of a level that are merged into one of the next
 
@@ -435,8 +435,8 @@ class StateStore:
                 codes = [(c & ((1 << depth) - 1)) | (bit << depth) | (1 << (depth + 1)) for c in codes for bit in (0, 1)]
         self._write(self._dealt(folded, split), 0, batch_id)
 
-    def state(self) -> DataFrame:
-        return _state_of(self.facts())
+    def state(self, before: int | None = None) -> DataFrame:
+        return _state_of(self.facts(before))
 
     def latest(self):
         return self.facts(only={-1}).filter("kind = 'latest'").agg(F.max("at.ts")).first()[0]
