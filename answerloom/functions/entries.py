@@ -87,3 +87,21 @@ def percent(part: Column, whole: Column, digits: int | None = None) -> Column:
 
 def ratio(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def parsed_value(value: Column, schema: str) -> Column:
+    """A stored JSON value as columns of ``schema``; null where it is none."""
+    return F.from_json(value, schema, {"mode": "PERMISSIVE"})
+
+
+# Settings with the smallest and largest value each may have.
+SETTING_LIMITS = (("threshold", 0.0, 1.0), ("ttl", 0.0, None), ("interval", 1.0, None))
+
+
+def setting_problem(name: Column, value: Column) -> Column:
+    """What is wrong with a setting; null where nothing is, or where the name is none of those known."""
+    found = F.lit(None).cast("string")
+    for setting, least, most in SETTING_LIMITS:
+        low = F.when(value.isNull() | F.isnan(value), f"{setting} is missing").when(value < least, f"{setting} is below {least:g}")
+        found = F.when(name == setting, low if most is None else low.when(value > most, f"{setting} is above {most:g}")).otherwise(found)
+    return found

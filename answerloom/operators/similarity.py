@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as tx, vectors as vx
 from ..functions.entries import percent
 from ..plans.components import connected, similar_edges
-from ..plans.search import nearest, within
+from ..plans.search import nearest, within, within_classes
 from ..plans.tree import Tree
 from ..schemas import LEVELS
 from ..session import stage
@@ -122,6 +122,18 @@ def semantic_join_all(queries, index, threshold, **search) -> DataFrame:
     return within(queries, index, threshold, **search)
 
 
+def semantic_join_classes(queries, index, threshold, **search) -> DataFrame:
+    """(qid, vec_id, sim, queries, vectors): one row per pair of classes of exact copies, by smallest ids, with their sizes.
+
+    The rows of :func:`semantic_join_all` are these, each ``queries * vectors`` times.
+    """
+    pairs, asked, stored = within_classes(queries, index, threshold, **search)
+    left = asked.groupBy("qid_rep").agg(F.count(F.lit(1)).alias("queries"))
+    right = stored.groupBy("vec_id_rep").agg(F.count(F.lit(1)).alias("vectors"))
+    return pairs.join(left, "qid_rep").join(right, "vec_id_rep").select(
+        F.col("qid_rep").alias("qid"), F.col("vec_id_rep").alias("vec_id"), "sim", "queries", "vectors")
+
+
 def semantic_duplicates(vectors: DataFrame, threshold: float, id_col="vec_id", vec_col="embedding", **search) -> DataFrame:
     """(id, group_id) of every row with a near copy; group_id is the smallest id."""
     return connected(similar_edges(vectors, threshold, id_col=id_col, vec_col=vec_col, **search))

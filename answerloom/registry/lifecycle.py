@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.entries import classify_level as classify, level_of_value as of_value, value_bytes, vector_bytes
+from ..functions.entries import (
+    classify_level as classify, level_of_value as of_value, parsed_value, setting_problem, value_bytes, vector_bytes,
+)
 from ..operators import lifecycle as lc
 from ..plans.reuse import reuse_distance as distances
 from . import query
@@ -228,3 +230,24 @@ def replay_hit_rates(spark, sf):
     replayed = lc.cache_replay(replay_ops(spark, sf), C)
     gets = replayed.filter("outcome in ('hit', 'miss')").withColumn("hit", F.col("outcome") == "hit")
     return lc.hit_summary(gets)
+
+
+@query("settings_problems", """WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'threshold' WHEN 1 THEN 'ttl' ELSE 'interval' END AS name,
+  CASE event_id % 3 WHEN 0 THEN value / 50 - 0.5 ELSE value - 20 END AS value FROM events)
+SELECT event_id, name, value, CASE WHEN value < 0 AND name <> 'interval' THEN name || ' is below 0' WHEN value < 1 AND name = 'interval' THEN 'interval is below 1'
+  ELSE 'threshold is above 1' END AS problem FROM s
+WHERE (name <> 'interval' AND value < 0) OR (name = 'interval' AND value < 1) OR (name = 'threshold' AND value > 1)""")
+def settings_problems(spark, sf):
+    """A setting per event; those a run would refuse."""
+    kind = F.col("event_id") % 3
+    value = F.when(kind == 0, F.col("value") / 50 - 0.5).otherwise(F.col("value") - 20)
+    name = F.when(kind == 0, "threshold").when(kind == 1, "ttl").otherwise("interval")
+    rows = table(spark, sf, "events").select("event_id", name.alias("name"), value.alias("value"))
+    return rows.withColumn("problem", setting_problem(F.col("name"), F.col("value"))).filter("problem is not null")
+
+
+@query("json_values", "SELECT event_id, (props->>'$.k')::BIGINT AS k, length(props)::INT AS size FROM events")
+def json_values(spark, sf):
+    """Stored JSON read into columns."""
+    return table(spark, sf, "events").select(
+        "event_id", parsed_value(F.col("props"), "k bigint")["k"].alias("k"), F.length("props").alias("size"))

@@ -186,6 +186,14 @@ def semantic_join_all(spark, sf):
     return sm.semantic_join_all(questions(spark, sf), index_rows(spark, sf), 0.3)
 
 
+@query("semantic_join_classes", f"""WITH {SCORES}, cq AS (SELECT e, min(qid) AS qid, count(*) AS queries FROM q GROUP BY e),
+cx AS (SELECT e, min(vec_id) AS vec_id, count(*) AS vectors FROM x GROUP BY e)
+SELECT qid, vec_id, sim, queries, vectors FROM scores JOIN cq USING (qid) JOIN cx USING (vec_id) WHERE sim >= 0.3""")
+def semantic_join_classes(spark, sf):
+    """Pairs of classes of equal vectors, with their sizes, instead of all pairs of copies."""
+    return sm.semantic_join_classes(questions(spark, sf), index_rows(spark, sf), 0.3)
+
+
 _GROUPS = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 e AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a, v b
   WHERE a.vec_id <> b.vec_id AND round(list_cosine_similarity(a.e, b.e), 6) >= {t}),
