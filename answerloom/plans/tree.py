@@ -379,7 +379,7 @@ class Tree:
     def only(self, ids: DataFrame) -> Tree:
         """The same cells with just the vectors whose ``vec_id`` is in ``ids``; their radii still bound."""
         kept = self.members.join(ids.select("vec_id").distinct(), "vec_id", "left_semi")
-        return Tree(self.nodes, self.radii, stage(kept.select("vec_id", "vec", "node"), "tree-members"), self.block_rows, self.most_bytes)
+        return Tree(self.nodes, self.radii, stage(kept.select("vec_id", "vec", "node"), "tree-members"), self.block_rows, self.most_bytes, single=self.rootless)
 
     # ----------------------------------------------------------- searching
 
@@ -428,8 +428,8 @@ class Tree:
             found = loose if found is None else found.unionByName(loose)
         return stage(found, "visits")
 
-    def scan(self, visits: DataFrame, q: DataFrame, k: int, threshold: float | None) -> DataFrame:
-        """(qid, vec_id, sim): k best of every block of a cell and its visitors."""
+    def blocks(self, visits: DataFrame, q: DataFrame):
+        """Both sides, visits with the vectors of ``q``, keyed (node, part, qpart) with a bounded number of rows per key."""
         crowd = visits.groupBy("node").agg(F.count(F.lit(1)).alias("asked"))
         plan = self.sizes.join(crowd, "node").select(
             "node", F.ceil(F.col("n") / self.block_rows).cast("int").alias("parts"),
@@ -448,6 +448,11 @@ class Tree:
         # Renamed, as the queries may come from the members themselves.
         right = right.select(*[F.col(c).alias(c) for c in [*keys, "vec_id", "vec"]])
 
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+
+    def scan(self, visits: DataFrame, q: DataFrame, k: int, threshold: float | None) -> DataFrame:
+        """(qid, vec_id, sim): k best of every block of a cell and its visitors."""
+
         def score(one: pa.Table, other: pa.Table) -> pa.Table:
             if one.num_rows == 0 or other.num_rows == 0:
                 return FOUND.empty_table()
@@ -455,7 +460,7 @@ class Tree:
                 one.column("qid").to_numpy(), matrix(one.column("vec")),
                 other.column("vec_id").to_numpy(), matrix(other.column("vec")), k, threshold))
 
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, FOUND_DDL)
+        return self.blocks(visits, q).applyInArrow(score, FOUND_DDL)
 
     def search(self, q: DataFrame, k: int, threshold: float | None) -> DataFrame:
         """(qid, vec_id, sim): candidates among which each query's k best are; ``q``: (qid, vec), written out."""
