@@ -251,7 +251,10 @@ def near_duplicates(
 
     Nulls: null or blank text has an empty set, linked with nothing. Rows with
     the same doc_id are one document; so are those with a null one, which comes
-    last. Empty input gives no rows.
+    last. Equal doc_ids with different texts print a row each. A very long text
+    is one set of hashes in its task, and a part of many of them is confirmed in
+    blocks. Ties don't arise: ids decide. No other column is read. Empty input
+    gives no rows.
     """
     signed = signatures(docs, k, trees, depth)
     classes = stage(

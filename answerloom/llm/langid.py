@@ -92,8 +92,11 @@ def classify(
     the compressed sizes, from 0 to 1. ``rejected`` where that is below
     ``narrow`` and where the language is ``und``: null text, no letter in it, or
     nothing learned. With a single language there is no margin and no rejection.
-    Ties go to the language that comes first in ``dictionaries``. Empty input
-    gives no rows.
+    Ties go to the language that comes first in ``dictionaries``. Very long texts
+    are packed whole, 4 KB at a time. Columns in
+    ``carry`` with a name of this operator's own are left out; no other column is
+    read. Empty input gives no
+    rows.
     """
     names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "lang_pred", "score", "rejected")]
     columns = ["doc_id", *packed(names)]

@@ -69,7 +69,8 @@ def scan(
 
     Phrases and templates have at least two words. Null text has no words and
     matches nothing. Rows with equal ids are taken together as one document.
-    Empty input gives no rows.
+    Very long texts are cut into rows in the scan. Ties don't arise: every place
+    counts. No other column is read. Empty input gives no rows.
     """
     spark = docs.sparkSession
     ids = list(ids)

@@ -132,7 +132,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, max_bits: int = 1 << 28, c
 
     Nulls: null text is one empty line. Null doc_id counts as one document after
     all others. Rows with the same doc_id are one document, so a line they share
-    does not repeat by that. Empty input gives no rows.
+    does not repeat by that. The smallest doc_id keeps a line, so ties don't
+    arise. A very long text is cut into lines in its own row. Columns in
+    ``carry`` with a name of this operator's own are left out; no other column is
+    read. Empty input
+    gives no rows.
     """
     spark = docs.sparkSession
     names = [c for c in carry if c not in ("doc_id", "n_lines", "n_dropped", "kept_text")]

@@ -176,7 +176,10 @@ def mix(
 
     Nulls: null text has size 0 and draws nothing; null source is a source of
     its own, last; null doc_id sorts as the text 'null'. Whole repeated rows
-    count each. Empty input gives no rows.
+    count each. Very long texts are only counted. Equal hashes are told apart by
+    doc_id and size. Columns in
+    ``carry`` with a name of this operator's own are left out; no other column is
+    read. Empty input gives no rows.
     """
     names = [c for c in dict.fromkeys(carry) if c not in ("doc_id", "source", "size", "source_size", "target", "draws")]
     narrow = stage(docs.select(

@@ -301,7 +301,10 @@ def drop_repeats(
 
     Nulls: null text is empty. A null doc_id is an id. Where a doc_id is not
     unique, rows are told apart by doc_id and text; whole repeated rows repeat
-    each other and lose all that a window covers. Empty input gives no rows.
+    each other and lose all that a window covers. A very long text is cut into
+    grams in its own row. Columns in
+    ``carry`` with a name of this operator's own are left out; no other column is
+    read. Empty input gives no rows.
     """
     names = [c for c in carry if c not in ("doc_id", "n_bytes", "spans", "kept")]
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")

@@ -318,7 +318,9 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
 
     Nulls: null html is an empty payload; null url has the key '-'; null page_id
     comes back as null. Whole repeated rows give a record each. Empty input
-    writes nothing and gives no rows.
+    writes nothing and gives no rows. A very long page is a record of its own
+    block; of equal payloads the smallest page_id is the response. No other
+    column is read.
     """
     path = new_path(spark, "warc")
     runs = write_index(write_archives(pages, path), path)
