@@ -121,3 +121,56 @@ def test_a_batch_that_failed_is_not_seen(spark, tmp_path):
     assert Tree.read(spark, str(tmp_path / "i")).members.filter("vec_id = 999").count() == 0
     saved = saved.append(index(df.filter("vec_id >= 20")))
     assert sorted(r.vec_id for r in saved.members.collect()) == list(range(40))
+
+
+def test_a_query_travels_once_to_cells_that_lie_together(spark):
+    rows, df = vectors(spark, 600, 8)
+    queries, q = vectors(spark, 30, 8, seed=2)
+    built = Tree.build(index(df), cell_rows=20, branch=6, block_rows=200)
+    sides = search.side(q, "vec_id", "embedding", "qid").withColumn("bound", F.lit(float(np.pi)))
+    visits = built.visits(sides)
+    cells = built.sizes.count()
+    bundles = visits.select("bundle").distinct().count()
+    assert cells > 40 and bundles <= 4
+    assert visits.count() == 30 * bundles
+    assert visits.agg(F.sum(F.bit_count("mask"))).first()[0] == 30 * cells
+    assert found(search.nearest(q.toDF("qid", "embedding"), built, 4)) == best(queries, rows, 4)
+
+
+@pytest.mark.parametrize("threshold", [None, 0.4])
+def test_best_of_blocks_with_copies_and_floors(threshold):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(5_000, 9))
+    x[:2_000] = x[0]
+    x[2_000:2_300] = x[0] + 1e-6 * rng.normal(size=(300, 9))
+    x[2_300:2_310] = 0
+    q = np.concatenate([x[:1], x[2_295:2_305], rng.normal(size=(700, 9))])
+    x, q = (np.divide(m, n, out=np.zeros_like(m), where=n > 0) for m in (x, q) for n in [np.linalg.norm(m, axis=1, keepdims=True)])
+    ids = rng.permutation(5_000) * 2
+    sims = np.rint(q @ x.T * 1e6) / 1e6 + 0.0
+    wanted, low = [], []
+    for i in range(len(q)):
+        order = np.lexsort((ids, -sims[i]))[:7]
+        low.append(sims[i, order[-1]] if i % 2 else np.nan)
+        wanted += [(i, int(ids[j]), float(sims[i, j])) for j in order if threshold is None or sims[i, j] >= threshold]
+    for given in (None, np.array(low)):
+        met = search.Best(np.arange(len(q)), q, 7, threshold, given)
+        for part in np.array_split(np.arange(5_000), 3):
+            met.add(ids[part], x[part])
+        assert sorted(zip(*(c.tolist() for c in met.found()))) == sorted(wanted)
+
+
+def test_ways_down_hold_no_vectors_per_visit():
+    """Two levels of 64 branches that all have to be entered: what is held is a row number and a cell per visit."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    kids = {tree.ROOT: tree._Kids([{"node": 64 + i, "vec": rng.normal(size=64), "radius": np.pi, "leaf": False} for i in range(64)])}
+    for n in range(64, 128):
+        kids[n] = tree._Kids([{"node": n * 64 + i, "vec": rng.normal(size=64), "radius": np.pi, "leaf": True} for i in range(4)])
+    m = rng.normal(size=(1_000, 64))
+    tracemalloc.start()
+    rows, to = tree._ways_down(kids, m / np.linalg.norm(m, axis=1, keepdims=True), np.full(1_000, np.pi), False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows) == len(to) == 1_000 * 256 and peak < 40 * len(rows)
