@@ -2,10 +2,10 @@
 
 A vector is the sum of its cell's centroid and a residual. The residual is cut
 into ``parts`` pieces, and each piece is replaced by the number of the nearest
-of at most 256 codewords: a byte a piece instead of four a component. A query
-works out one table of products (pieces x codewords) once; the score of a
-stored vector is then its cell's product and ``parts`` numbers read from the
-table. The best few by that score are scored again on the vectors themselves,
+of at most 256 codewords: a byte a piece instead of four a component. The score of
+a stored vector is the product with the sum that its cell and its codes name;
+sums are put together once for each block of codes, whatever number of queries
+meets it there. The best few by that score are scored again on the vectors themselves,
 so what comes back is exact but may lack some of the true best; the operator
 says what share of the bytes each query's scores came from, and
 :func:`~answerloom.plans.search.recall` says what it found.
@@ -26,13 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import vectors as vx
 from ..session import broadcast_if_small, stage
-from .search import BLOCK_ROWS, FOUND, FOUND_DDL, best_k, found_table, keep_best, matrix, merge_best, side, valid
+from .search import BLOCK_ROWS, FOUND, FOUND_DDL, TILE_COLS, Best, found_table, keep_best, matrix, side, valid
 
 CODES = 256
 MAX_CENTROIDS = 1_024
 FIT_ROWS = 100_000
 ROUNDS = 8
-TABLE_CELLS = 2_000_000  # numbers of query tables or scores held at a time
 CODED = "vec_id bigint, cell int, code binary"
 STORED = "vec_id bigint, cell int, vec array<float>"
 
@@ -68,6 +67,11 @@ class Codebook:
         pieces = q.reshape(len(q), self.parts, self.piece)
         return q @ self.centroids.T, np.einsum("qps,pcs->pqc", pieces, self.words)
 
+    def decode(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The sums that cells and codes stand for."""
+        left = self.words[np.arange(self.parts)[None, :], code].reshape(len(code), -1)
+        return self.centroids[cell] + left
+
     def rows(self) -> list[tuple]:
         out = [("cell", i, 0, [float(x) for x in c]) for i, c in enumerate(self.centroids)]
         return out + [("word", p, i, [float(x) for x in w]) for p, words in enumerate(self.words) for i, w in enumerate(words)]
@@ -94,7 +98,8 @@ def _means(sample: DataFrame, assign, centres: np.ndarray) -> np.ndarray:
         total, n = np.zeros((groups, k, dims)), np.zeros((groups, k), dtype=np.int64)
         for batch in batches:
             for g, (near, points) in enumerate(assign(matrix(batch.column(0)), shared.value)):
-                np.add.at(total[g], near, points)
+                for d in range(dims):
+                    total[g, :, d] += np.bincount(near, weights=points[:, d], minlength=k)
                 n[g] += np.bincount(near, minlength=k)
         g, i = np.nonzero(n)
         if len(g):
@@ -194,8 +199,8 @@ class Quantised:
         book = Codebook.of(spark.read.parquet(f"{path}/book").collect())
         return cls(book, spark.read.schema(CODED).parquet(f"{path}/codes"), spark.read.schema(STORED).parquet(f"{path}/vectors"))
 
-    def visits(self, q: DataFrame, probes: int | None) -> DataFrame:
-        """(qid, cell): the ``probes`` cells whose centroids score best, or all."""
+    def visits(self, q: DataFrame, probes: int) -> DataFrame:
+        """(qid, cell): the ``probes`` cells whose centroids score best."""
         ids = np.array(sorted(self.size), dtype=np.int32)
         book = self.book
 
@@ -205,46 +210,45 @@ class Quantised:
                 if not batch.num_rows:
                     continue
                 scores = (book.pad(matrix(batch.column(1))) @ book.centroids.T)[:, ids]
-                keep = len(ids) if probes is None else min(probes, len(ids))
+                keep = min(probes, len(ids))
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(np.repeat(np.arange(len(best)), keep))), pa.array(ids[best].ravel())], names=["qid", "cell"])
 
         return stage(q.select("qid", "vec").mapInArrow(go, "qid bigint, cell int"), "visits")
 
-    def scan(self, visits: DataFrame, q: DataFrame, k: int) -> DataFrame:
-        """(qid, vec_id, sim): the k best of every block of codes, by their coded scores."""
-        crowd = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-        plan = [(c, math.ceil(n / BLOCK_ROWS), math.ceil(crowd[c] / BLOCK_ROWS)) for c, n in self.size.items() if c in crowd]
-        parts = F.broadcast(self.spark.createDataFrame(plan, "cell int, parts int, qparts int"))
+    def scan(self, visits: DataFrame | None, q: DataFrame, k: int) -> DataFrame:
+        """(qid, vec_id, sim): the k best of every block of codes, by their coded scores; without ``visits`` of all codes, whatever their cell."""
+        if visits is None:
+            # Every query meets every code, so blocks need not be those of cells.
+            visits, codes = q.select("qid", F.lit(-1).alias("block")), self.codes.withColumn("block", F.lit(-1))
+            crowd, size = {-1: q.count()}, {-1: sum(self.size.values())}
+        else:
+            visits, codes, size = visits.withColumnRenamed("cell", "block"), self.codes.withColumn("block", F.col("cell")), self.size
+            # At most MAX_CENTROIDS rows.
+            crowd = {r["block"]: r["n"] for r in visits.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = [(c, math.ceil(n / BLOCK_ROWS), math.ceil(crowd[c] / BLOCK_ROWS)) for c, n in size.items() if crowd.get(c)]
+        parts = F.broadcast(self.spark.createDataFrame(plan, "block int, parts int, qparts int"))
         left = (
-            visits.join(parts, "cell").join(q.select(F.col("qid").alias("qid"), F.col("vec").alias("vec")), "qid")
+            visits.join(parts, "block").join(q.select(F.col("qid").alias("qid"), F.col("vec").alias("vec")), "qid")
             .withColumn("qpart", F.expr("pmod(xxhash64(qid), qparts)").cast("int"))
-            .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("cell", "part", "qpart", "qid", "vec"))
+            .withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("block", "part", "qpart", "qid", "vec"))
         right = (
-            self.codes.join(parts, "cell").withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)").cast("int"))
-            .withColumn("qpart", F.explode(F.expr("sequence(0, qparts - 1)"))).select("cell", "part", "qpart", "vec_id", "code"))
-        keys = ["cell", "part", "qpart"]
+            codes.join(parts, "block").withColumn("part", F.expr("pmod(xxhash64(vec_id), parts)").cast("int"))
+            .withColumn("qpart", F.explode(F.expr("sequence(0, qparts - 1)"))).select("block", "part", "qpart", "vec_id", "cell", "code"))
+        keys = ["block", "part", "qpart"]
         book = self.book
 
-        def score(key, one: pa.Table, other: pa.Table) -> pa.Table:
+        def score(one: pa.Table, other: pa.Table) -> pa.Table:
             if one.num_rows == 0 or other.num_rows == 0:
                 return FOUND.empty_table()
-            cell = key[0].as_py()
-            ids = other.column("vec_id").to_numpy()
+            ids, cell = other.column("vec_id").to_numpy(), other.column("cell").to_numpy()
             code = np.frombuffer(b"".join(other.column("code").to_pylist()), np.uint8).reshape(-1, book.parts)
-            order = np.argsort(ids, kind="stable")
-            ids, code = ids[order], code[order]
-            qids, m = one.column("qid").to_numpy(), matrix(one.column("vec"))
-            best = None
-            step = max(1, TABLE_CELLS // max(len(ids), book.parts * book.codes))
-            for at in range(0, len(qids), step):
-                base, table = book.tables(m[at:at + step])
-                scores = np.repeat(base[:, cell:cell + 1], len(ids), axis=1)
-                for p in range(book.parts):
-                    scores += table[p][:, code[:, p]]
-                best = merge_best(best, best_k(qids[at:at + step], scores, ids, k, None), k)
-            return found_table(best)
+            longest = np.sqrt((book.centroids ** 2).sum(axis=1).max()) + np.sqrt((book.words ** 2).sum(axis=2).max(axis=1).sum())
+            best = Best(one.column("qid").to_numpy(), book.pad(matrix(one.column("vec"))), k, longest=longest)
+            for a in range(0, len(ids), TILE_COLS):
+                best.add(ids[a:a + TILE_COLS], book.decode(cell[a:a + TILE_COLS], code[a:a + TILE_COLS]))
+            return found_table(best.found())
 
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, FOUND_DDL)
 
@@ -267,11 +271,14 @@ def nearest_quantised(
     q = stage(side(queries, query_id, query_vec, "qid"), "queries").filter("vec is not null")
     if not placed.size:
         return keep_best(spark.createDataFrame([], FOUND_DDL), k).withColumn("read_share", F.lit(0.0))
-    visits = placed.visits(q, probes)
+    visits = None if probes is None else placed.visits(q, probes)
     found = stage(keep_best(placed.scan(visits, q, rerank), rerank).select("qid", "vec_id"), "candidates")
     # Rows of the cells visited, each one code; and the candidates' vectors.
-    sizes = F.broadcast(spark.createDataFrame(list(placed.size.items()), "cell int, n bigint"))
-    coded = visits.join(sizes, "cell").groupBy("qid").agg(F.sum("n").alias("coded"))
+    if visits is None:
+        coded = q.select("qid", F.lit(sum(placed.size.values())).alias("coded")).dropDuplicates(["qid"])
+    else:
+        sizes = F.broadcast(spark.createDataFrame(list(placed.size.items()), "cell int, n bigint"))
+        coded = visits.join(sizes, "cell").groupBy("qid").agg(F.sum("n").alias("coded"))
     again = found.groupBy("qid").agg(F.count(F.lit(1)).alias("again"))
     bytes_each = 4 * placed.vectors.select(F.size("vec").alias("d")).filter("d > 0").limit(1).first()["d"]
     share = (F.col("coded") * placed.book.parts + F.col("again") * bytes_each) / F.lit(float(sum(placed.size.values()) * bytes_each))

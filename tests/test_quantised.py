@@ -69,3 +69,21 @@ def test_edge_indexes(spark):
     assert got == [(1, 1.0), (2, 0.0), (4, 0.0)]
     with pytest.raises(ValueError):
         nearest_quantised(q, Quantised.build(index(few), rounds=1), 3, rerank=2)
+
+
+def test_all_codes_are_met_without_visits_and_scores_are_those_of_the_tables(spark, data):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vec array<float>")
+    built = quantised.Quantised.build(df, cells=6, parts=5, codes=16)
+    q = df.limit(20).withColumnRenamed("vec_id", "qid")
+    got = {(r.qid, r.vec_id): r.sim for r in search.keep_best(built.scan(None, q, 400), 400).collect()}
+    assert len(got) == 20 * 400
+    coded = {r.vec_id: (r.cell, np.frombuffer(bytes(r.code), np.uint8)) for r in built.codes.collect()}
+    for r in q.collect():
+        v = np.array(r.vec, dtype=np.float64)[None]
+        base, table = built.book.tables(v / np.linalg.norm(v))
+        for i, (cell, code) in coded.items():
+            assert abs(got[r.qid, i] - (base[0, cell] + table[np.arange(5), 0, code].sum())) < 2e-6
