@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as tx, vectors as vx
 from ..functions.entries import percent
 from ..plans.components import connected, similar_edges
-from ..plans.search import nearest, within, within_classes
+from ..plans.search import crowds, nearest, within, within_classes
 from ..plans.tree import Tree
 from ..schemas import LEVELS
 from ..session import stage
@@ -128,10 +128,12 @@ def semantic_join_classes(queries, index, threshold, **search) -> DataFrame:
     The rows of :func:`semantic_join_all` are these, each ``queries * vectors`` times.
     """
     pairs, asked, stored = within_classes(queries, index, threshold, **search)
-    left = asked.groupBy("qid_rep").agg(F.count(F.lit(1)).alias("queries"))
-    right = stored.groupBy("vec_id_rep").agg(F.count(F.lit(1)).alias("vectors"))
-    return pairs.join(left, "qid_rep").join(right, "vec_id_rep").select(
-        F.col("qid_rep").alias("qid"), F.col("vec_id_rep").alias("vec_id"), "sim", "queries", "vectors")
+    left = crowds(asked, "qid_rep").withColumnRenamed("size", "queries")
+    right = crowds(stored, "vec_id_rep").withColumnRenamed("size", "vectors")
+    one = F.lit(1).cast("bigint")
+    return pairs.join(left, "qid_rep", "left").join(right, "vec_id_rep", "left").select(
+        F.col("qid_rep").alias("qid"), F.col("vec_id_rep").alias("vec_id"), "sim",
+        F.coalesce("queries", one).alias("queries"), F.coalesce("vectors", one).alias("vectors"))
 
 
 def semantic_duplicates(vectors: DataFrame, threshold: float, id_col="vec_id", vec_col="embedding", **search) -> DataFrame:

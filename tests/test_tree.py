@@ -174,3 +174,19 @@ def test_ways_down_hold_no_vectors_per_visit():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(rows) == len(to) == 1_000 * 256 and peak < 40 * len(rows)
+
+
+def test_pairs_of_classes_are_not_written_and_keep_their_sizes(spark, monkeypatch):
+    from answerloom.operators import similarity
+
+    x = np.random.default_rng(9).normal(size=(60, 4))
+    x[20:40] = x[0]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    staged = []
+    real = search.stage
+    monkeypatch.setattr(search, "stage", lambda d, name="stage": staged.append(name) or real(d, name))
+    got = similarity.semantic_join_classes(df.withColumnRenamed("vec_id", "qid"), df, 0.5).collect()
+    assert "pairs" not in staged
+    assert {(r.queries, r.vectors) for r in got if r.qid == 0 and r.vec_id == 0} == {(21, 21)}
+    every = similarity.semantic_join_all(df.withColumnRenamed("vec_id", "qid"), df, 0.5)
+    assert sum(r.queries * r.vectors for r in got) == every.count() == every.distinct().count()
