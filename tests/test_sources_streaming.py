@@ -289,3 +289,15 @@ def test_expiry_does_not_depend_on_batch_cuts(spark):
     swapped = [i ^ 1 for i in range(60)]
     for cuts in ([list(range(61))], [swapped[:20], swapped[20:41], swapped[41:], [60]], [[i] for i in swapped[:6]] + [swapped[6:], [60]]):
         assert expired(spark, ops, cuts, "60 seconds") == sorted(want)
+
+
+def test_recursive_chunks_leave_in_small_batches(spark, monkeypatch):
+    from answerloom.sources import corpus
+
+    rows = [(i, f"para {i}\n\n" + "word " * 400 + "\n" + "line " * 300) for i in range(40)] + [(90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    plain = [(i, n, c) for i, t in rows for n, c in enumerate(c for c in (c.strip() for c in corpus.split_text(t or "", 500, 100)) if c)]
+    monkeypatch.setattr(corpus, "CHARS_HELD", 2_000)
+    assert [tuple(r) for r in corpus.chunk_recursive(docs, 500, 100).collect()] == plain
+    made = list(corpus._chunk_rows(plain[:3]).to_pylist())
+    assert [tuple(r.values()) for r in made] == plain[:3]
