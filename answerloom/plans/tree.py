@@ -15,7 +15,7 @@ and gone through in one pass; a larger one is met level by level, in blocks of
 bounded rows, and never leaves the executors.
 
 **Scoring.** Cells that lie near each other make a bundle of about
-``block_rows`` rows. A query travels once to a bundle it visits, with a mask of
+``block_rows`` rows, or more of a large search (:meth:`Tree.wide`). A query travels once to a bundle it visits, with a mask of
 the cells it wants there, and is scored on those only.
 
 **Saved index.** ``path/v<k>`` holds one build: ``nodes``, ``members`` and
@@ -52,6 +52,10 @@ MERGE_SHARE = 0.25
 BUNDLE_CELLS = 62  # cells of a bundle are bits of a bigint
 FEW_CELLS = 100_000
 ROUTED = 4_096  # queries that go down a tree at a time
+VISITS_HELD = 500_000  # visits of theirs
+WIDE = 4  # so many times ``block_rows`` a block may have a side, in BLOCK_BYTES,
+BLOCK_BYTES = 16 << 20
+BLOCKS_A_CORE = 12  # if this many blocks a core are left
 TINY = 1e-6  # radius of a node that pivots cannot part
 ZERO, ROOT = 0, 1
 NODES = "node bigint, parent bigint, vec array<double>, leaf boolean"
@@ -224,21 +228,37 @@ class Tree:
         if self.sent is None:
             self.kids = stage(self.kids, "tree-kids")
         self.sizes = stage(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "tree-sizes")
-        loose = self.sizes.select("node", F.col("node").isin(ZERO, ROOT).alias("loose")).groupBy("loose").agg(F.sort_array(
-            F.collect_set(F.when(F.col("loose"), F.col("node")))).alias("nodes")).collect()
+        loose = self.sizes.select("node", "n", F.col("node").isin(ZERO, ROOT).alias("loose")).groupBy("loose").agg(F.sort_array(
+            F.collect_set(F.when(F.col("loose"), F.col("node")))).alias("nodes"), F.sum("n").alias("n")).collect()
         self.empty = not loose
+        self.rows = sum(r["n"] for r in loose)
         # Zero vectors, and rows of a tree without cells, lie under no pivot.
         self.loose = [n for r in loose for n in r["nodes"]]
         self.rootless = self.kids.isEmpty() if self.sent is None else not self.sent
-        self._packed = None
+        self._packed: dict[int, tuple[DataFrame, list | None]] = {}
 
-    def bundles(self) -> tuple[DataFrame, list | None]:
+    def wide(self, asked: int) -> int:
+        """Rows a side of the blocks of ``asked`` queries.
+
+        Each side travels once for every block of the other, so what is moved
+        falls with the size of blocks: they have up to WIDE times ``block_rows``
+        where all cores still have blocks enough.
+        """
+        side = math.sqrt(asked * self.rows / (BLOCKS_A_CORE * self.spark.sparkContext.defaultParallelism))
+        if side <= self.block_rows:
+            return self.block_rows
+        width = self.members.select(F.size("vec").alias("width")).first()["width"]
+        return int(max(self.block_rows, min(side, WIDE * self.block_rows, BLOCK_BYTES // (4 * max(1, width)))))
+
+    def bundles(self, side: int | None = None) -> tuple[DataFrame, list | None]:
         """(node, bundle, bit, parts) of every cell, and the same as a list of rows where cells are few.
 
-        Cells are packed in the order of their way down from the root: all of
-        them where they are few, else those of each parent.
+        Cells are packed, up to about ``side`` (or ``block_rows``) rows, in the
+        order of their way down from the root: all of them where they are few,
+        else those of each parent.
         """
-        if self._packed is None:
+        side = side or self.block_rows
+        if side not in self._packed:
             few = self.sizes.limit(FEW_CELLS + 1).count() <= FEW_CELLS
             # Six bits a level: shifted to the same depth, nodes stand in the order of their branches.
             level = F.floor((F.log2(F.greatest("node", F.lit(1))) + 1e-6) / 6)
@@ -246,15 +266,15 @@ class Tree:
                 .withColumn("_in", F.lit(0).cast("bigint") if few else F.shiftright("node", 6))
             w = Window.partitionBy("_in").orderBy("_way", "node")
             cells = cells.withColumns({
-                "_rows": F.floor((F.sum("n").over(w) - F.col("n")) / self.block_rows),
+                "_rows": F.floor((F.sum("n").over(w) - F.col("n")) / side),
                 "_cells": F.floor((F.row_number().over(w) - 1) / BUNDLE_CELLS)})
             mine = Window.partitionBy("_in", "_rows", "_cells")
             cells = stage(cells.select(
                 "node", F.min("node").over(mine).alias("bundle"),
                 (F.row_number().over(mine.orderBy("_way", "node")) - 1).cast("int").alias("bit"),
-                F.ceil(F.sum("n").over(mine) / self.block_rows).cast("int").alias("parts")), "tree-bundles")
-            self._packed = cells, cells.collect() if few else None
-        return self._packed
+                F.ceil(F.sum("n").over(mine) / side).cast("int").alias("parts")), "tree-bundles")
+            self._packed[side] = cells, cells.collect() if few else None
+        return self._packed[side]
 
     # ------------------------------------------------------------ building
 
@@ -448,12 +468,13 @@ class Tree:
 
     # ----------------------------------------------------------- searching
 
-    def visits(self, q: DataFrame, nearest_only: bool = False) -> DataFrame:
+    def visits(self, q: DataFrame, nearest_only: bool = False, side: int | None = None) -> DataFrame:
         """(qid, bundle, mask): the bundles, and in each the cells by their bits, where a score above the query's bound (an angle) is possible.
 
         ``nearest_only``: one cell each. A query may have several rows for a bundle, with different cells.
+        ``side``: see :meth:`bundles`.
         """
-        cells, listed = self.bundles()
+        cells, listed = self.bundles(side)
         if self.rootless:
             found = None
         elif self.sent is not None and listed is not None:
@@ -464,7 +485,7 @@ class Tree:
                 kids, node, bundle, bit = shared.value
                 numbers, at_bundle = np.unique(bundle, return_inverse=True)
                 # What is held is a row number and a cell for each visit of a piece.
-                step = max(64, min(ROUTED, SCORE_CELLS // max(1, len(node))))
+                step = max(64, min(ROUTED, VISITS_HELD // max(1, len(node))))
                 for batch in batches:
                     batch = valid(batch)
                     for a in range(0, batch.num_rows, step):
@@ -503,12 +524,13 @@ class Tree:
             found = loose if found is None else found.unionByName(loose)
         return stage(found, "visits")
 
-    def sides(self, visits: DataFrame, q: DataFrame, *more: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    def sides(self, visits: DataFrame, q: DataFrame, *more: str, side: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
         """Both sides, visits with the vectors (and columns ``more``) of ``q``, and the key: bounded numbers of rows have the same."""
-        cells = broadcast_if_small(self.bundles()[0])
+        packed = self.bundles(side)[0]
+        cells = broadcast_if_small(packed)
         crowd = visits.groupBy("bundle").agg(F.count(F.lit(1)).alias("asked"))
-        plan = self.bundles()[0].select("bundle", "parts").distinct().join(crowd, "bundle").select(
-            "bundle", "parts", F.ceil(F.col("asked") / self.block_rows).cast("int").alias("qparts"))
+        plan = packed.select("bundle", "parts").distinct().join(crowd, "bundle").select(
+            "bundle", "parts", F.ceil(F.col("asked") / (side or self.block_rows)).cast("int").alias("qparts"))
         plan = broadcast_if_small(stage(plan, "blocks"))
         asking = q.select(*[F.col(c).alias(c) for c in ("qid", "vec", *more)])
         left = (
@@ -525,7 +547,7 @@ class Tree:
         kept = [c for c in self.members.columns if c not in ("vec_id", "vec", "node")]
         return left, right.select(*[F.col(c).alias(c) for c in [*keys, "vec_id", "vec", "bit", *kept]]), keys
 
-    def scan(self, visits: DataFrame, q: DataFrame, k: int, threshold: float | None) -> DataFrame:
+    def scan(self, visits: DataFrame, q: DataFrame, k: int, threshold: float | None, side: int | None = None) -> DataFrame:
         """(qid, vec_id, sim): k best of every block of cells and their visitors; ``q`` may have ``low``, a score its k-th best reaches."""
         more = ["low"] if "low" in q.columns else []
 
@@ -538,7 +560,7 @@ class Tree:
                 best.add(cell.column("vec_id").to_numpy(), matrix(cell.column("vec")), rows)
             return found_table(best.found())
 
-        left, right, keys = self.sides(visits, q, *more)
+        left, right, keys = self.sides(visits, q, *more, side=side)
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, FOUND_DDL)
 
     def search(self, q: DataFrame, k: int, threshold: float | None) -> DataFrame:
@@ -548,15 +570,16 @@ class Tree:
             return q.sparkSession.createDataFrame([], FOUND_DDL)
         if self.rootless:
             return self.scan(self.visits(q.withColumn("bound", F.lit(math.pi))), q, k, threshold)
+        side = self.wide(q.count())
         if threshold is not None:
             bounded = q.withColumn("bound", F.lit(math.acos(max(-1.0, min(1.0, threshold - SLACK)))))
-            return self.scan(self.visits(bounded), q, k, threshold)
+            return self.scan(self.visits(bounded, side=side), q, k, threshold, side)
         # The k-th score in the nearest cell is a floor for the final k-th score.
-        probe = self.scan(self.visits(q.withColumn("bound", F.lit(math.pi)), nearest_only=True), q, k, None)
+        probe = self.scan(self.visits(q.withColumn("bound", F.lit(math.pi)), nearest_only=True, side=side), q, k, None, side)
         low = keep_best(probe, k).groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("low"))
         # Fewer than k there: no floor, every cell is visited.
         angle = F.when(F.col("n") == k, F.acos(F.greatest(F.lit(-1.0), F.col("low") - SLACK)))
         bounded = q.join(stage(low, "floor"), "qid", "left").select(
             "qid", "vec", F.coalesce(angle, F.lit(math.pi)).alias("bound"), F.when(F.col("n") == k, F.col("low")).alias("low"))
         bounded = stage(bounded, "bounded")
-        return self.scan(self.visits(bounded), bounded, k, None)
+        return self.scan(self.visits(bounded, side=side), bounded, k, None, side)

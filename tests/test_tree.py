@@ -190,3 +190,39 @@ def test_pairs_of_classes_are_not_written_and_keep_their_sizes(spark, monkeypatc
     assert {(r.queries, r.vectors) for r in got if r.qid == 0 and r.vec_id == 0} == {(21, 21)}
     every = similarity.semantic_join_all(df.withColumnRenamed("vec_id", "qid"), df, 0.5)
     assert sum(r.queries * r.vectors for r in got) == every.count() == every.distinct().count()
+
+
+def test_large_searches_move_less_by_wider_blocks(spark, monkeypatch):
+    """Where blocks are many, each side has up to four times the rows: vectors travel fewer times, results stay."""
+    rows, df = vectors(spark, 600, 8)
+    queries, q = vectors(spark, 400, 8, seed=2)
+    monkeypatch.setattr(tree, "BLOCKS_A_CORE", 0.1)
+    built = Tree.build(index(df), cell_rows=20, branch=6, block_rows=50)
+    sides = search.side(q, "vec_id", "embedding", "qid").withColumn("bound", F.lit(float(np.pi)))
+    assert built.wide(1) == 50 and built.wide(400) == 200
+    narrow, wide = (built.sides(built.visits(sides, side=n), sides, side=n) for n in (50, 200))
+    assert sum(d.count() for d in wide[:2]) < 0.4 * sum(d.count() for d in narrow[:2])
+    crowds = [d.groupBy(*wide[2]).count().agg(F.max("count")).first()[0] for d in wide[:2]]
+    assert max(crowds) < 2 * 200
+    assert found(search.nearest(q.toDF("qid", "embedding"), built, 4)) == best(queries, rows, 4)
+    # Wide vectors keep narrow blocks.
+    monkeypatch.setattr(tree, "BLOCK_BYTES", 4 * 8 * 60)
+    assert built.wide(400) == 60
+
+
+def test_unit_rows_are_made_without_a_second_copy():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.random.default_rng(7).normal(size=(20_000, 64)).astype(np.float32)
+    x[5] = 0
+    x[6] = np.nan
+    column = pa.ListArray.from_arrays(np.arange(0, x.size + 1, 64, dtype=np.int32), x.ravel())
+    tracemalloc.start()
+    m = search.matrix(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    wide = x.astype(np.float64)
+    norms = np.sqrt((wide * wide).sum(axis=1, keepdims=True))
+    assert (m == np.divide(wide, norms, out=np.zeros_like(wide), where=norms > 0)).all() and peak < 1.5 * m.nbytes
