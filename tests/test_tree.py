@@ -226,3 +226,50 @@ def test_unit_rows_are_made_without_a_second_copy():
     wide = x.astype(np.float64)
     norms = np.sqrt((wide * wide).sum(axis=1, keepdims=True))
     assert (m == np.divide(wide, norms, out=np.zeros_like(wide), where=norms > 0)).all() and peak < 1.5 * m.nbytes
+
+
+@pytest.mark.parametrize("threshold", [None, 0.5])
+def test_rounds_over_the_index_equal_scoring_everything(spark, monkeypatch, threshold):
+    rows, df = vectors(spark, 500, 6, crowd=150)
+    rows += [(5000, [0.0] * 6), (5001, [0.0] * 6)]
+    df = df.union(spark.createDataFrame(rows[-2:], df.schema)).union(spark.createDataFrame([(6000, None)], df.schema))
+    queries, q = vectors(spark, 90, 6, seed=2, first=100)
+    queries.append((7, [0.0] * 6))
+    q = q.union(spark.createDataFrame([queries[-1], (8, None)], q.schema)).toDF("qid", "embedding")
+    monkeypatch.setattr(search, "SLICE_ROWS", 10)
+    wanted = [r for r in best(queries, rows, 4) if threshold is None or r[2] >= threshold]
+    for index_ in (df, Tree.build(index(df), cell_rows=30, branch=5)):
+        assert found(search.nearest(q, index_, 4, threshold, plan="rounds")) == wanted
+    nothing = q.limit(0)
+    assert search.nearest(nothing, df, 4, plan="rounds").count() == search.nearest(q, df.limit(0), 4, plan="rounds").count() == 0
+
+
+def test_searches_that_cannot_be_pruned_move_neither_side(spark, monkeypatch):
+    """Random directions: blocks of cells would move each side many times; what passes over the index write is a few rows a query."""
+    rows, df = vectors(spark, 600, 16)
+    queries, q = vectors(spark, 400, 16, seed=2)
+    q = q.toDF("qid", "embedding")
+    monkeypatch.setattr(search, "MAX_BROADCAST_ROWS", 50)
+    monkeypatch.setattr(search, "MOVED_BYTES", 100_000)
+    monkeypatch.setattr(search, "SLICE_ROWS", 100)
+    monkeypatch.setattr(tree, "CELL_ROWS", 40)
+    staged, blocks = [], []
+    real, sides = search.stage, Tree.sides
+    monkeypatch.setattr(search, "stage", lambda d, name="stage": staged.append(name) or real(d, name))
+    monkeypatch.setattr(Tree, "sides", lambda *a, **b: blocks.append(1) or sides(*a, **b))
+    assert found(search.nearest(q, df, 4, block_rows=20)) == best(queries, rows, 4)
+    assert not blocks and set(staged) == {"index", "queries", "round"}
+    # In two dimensions bounds leave out most cells, and the tree stays.
+    (rows, df), (queries, q) = vectors(spark, 600, 2), vectors(spark, 400, 2, seed=2)
+    assert found(search.nearest(q.toDF("qid", "embedding"), df, 4, block_rows=20)) == best(queries, rows, 4)
+    assert blocks and staged.count("round") == 1
+
+
+def test_sampled_share_of_cells_to_visit(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 12)) * 30
+    crowds = [(i, [float(c) for c in centres[i % 20] + rng.normal(size=12)]) for i in range(800)]
+    apart = index(spark.createDataFrame(crowds, "vec_id bigint, embedding array<float>"))
+    spread = index(vectors(spark, 800, 12)[1])
+    shares = [search.share_met(x.select(x.vec_id.alias("qid"), "vec").limit(100), x, 20, 4, None) for x in (apart, spread)]
+    assert shares[0] < 0.3 and shares[1] > 0.9
