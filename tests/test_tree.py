@@ -160,6 +160,25 @@ def test_best_of_blocks_with_copies_and_floors(threshold):
         assert sorted(zip(*(c.tolist() for c in met.found()))) == sorted(wanted)
 
 
+def test_components_that_no_query_has_are_not_multiplied():
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(50, 12)), rng.normal(size=(3_000, 12))
+    q[:, [2, 3, 7]] = 0
+    q, x = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (q, x))
+    sims = np.rint(q @ x.T * 1e6) / 1e6 + 0.0
+    wanted = [(i, int(j), float(sims[i, j])) for i in range(50) for j in np.lexsort((np.arange(3_000), -sims[i]))[:5]]
+    # A row with what is no number, be it where no query has anything, is no query's best.
+    x = np.concatenate([x, x[:1]])
+    x[-1, 2] = np.nan
+    met = search.Best(np.arange(50), q, 5)
+    met.add(np.arange(3_001), x)
+    assert met.single.shape == (50, 9)
+    assert sorted(zip(*(c.tolist() for c in met.found()))) == sorted(wanted)
+    nothing = search.Best(np.arange(2), np.zeros((2, 12)), 3)
+    nothing.add(np.arange(3_000), x[:3_000])
+    assert sorted(zip(*(c.tolist() for c in nothing.found()))) == [(i, j, 0.0) for i in range(2) for j in range(3)]
+
+
 def test_ways_down_hold_no_vectors_per_visit():
     """Two levels of 64 branches that all have to be entered: what is held is a row number and a cell per visit."""
     import tracemalloc
